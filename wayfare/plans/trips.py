@@ -79,10 +79,12 @@ def _next_pickup(df: DataFrame, limit: int) -> DataFrame:
     )
 
 
-def driver_utilization(df: DataFrame, limit: int = GROUP_ROWS) -> DataFrame:
+def driver_utilization(
+    df: DataFrame, limit: int = GROUP_ROWS, digits: int | None = 4
+) -> DataFrame:
     """Per driver, in milliseconds: time on trips, idle time to the next pickup, and the share.
 
-    A driver's last trip has no idle time. The share has four decimals.
+    A driver's last trip has no idle time. digits=None leaves the share unrounded.
     """
     timed = _next_pickup(df, limit).select(
         "hack_license",
@@ -95,9 +97,9 @@ def driver_utilization(df: DataFrame, limit: int = GROUP_ROWS) -> DataFrame:
         F.sum("trip_duration_ms").alias("total_trip_duration_ms"),
         F.sum("idle_time_ms").alias("total_idle_time_ms"),
     )
+    rate = share("total_trip_duration_ms", "total_idle_time_ms")
     return totals.withColumn(
-        "utilization_rate",
-        F.round(share("total_trip_duration_ms", "total_idle_time_ms"), 4),
+        "utilization_rate", rate if digits is None else F.round(rate, digits)
     )
 
 
@@ -119,17 +121,22 @@ def next_fare_by_borough(df: DataFrame, boroughs, limit: int = GROUP_ROWS) -> Da
     )
 
 
-def borough_idle(df: DataFrame, boroughs, limit: int = GROUP_ROWS) -> DataFrame:
+def borough_idle(df: DataFrame, boroughs, limit: int = GROUP_ROWS,
+                 digits: int | None = 2) -> DataFrame:
     """Mean idle time to the driver's next pickup, and trips, by the borough of the dropoff."""
     linked = _next_pickup(df, limit).filter(F.col("next_pickup_unix").isNotNull())
     placed = boroughs.lookup(
         linked, "dropoff_longitude", "dropoff_latitude", "dropoff_borough", null_is_unknown=False
     )
     idle = (F.col("next_pickup_unix") - F.col("dropoff_unix")) * 1000
+    minutes_idle = F.col("avg_idle_time_ms") / 60000
     return (
         placed.groupBy("dropoff_borough")
         .agg(F.avg(idle).alias("avg_idle_time_ms"), F.count(F.lit(1)).alias("trip_count"))
-        .withColumn("avg_idle_time_minutes", F.round(F.col("avg_idle_time_ms") / 60000, 2))
+        .withColumn(
+            "avg_idle_time_minutes",
+            minutes_idle if digits is None else F.round(minutes_idle, digits),
+        )
     )
 
 

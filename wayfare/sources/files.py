@@ -42,9 +42,9 @@ def strip_names(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip() for c in df.columns])
 
 
-def with_file_name(df: DataFrame, out: str = "file_name") -> DataFrame:
-    """The last path part of the file each row comes from."""
-    return df.withColumn(out, F.element_at(F.split(F.input_file_name(), "/"), -1))
+def with_file_name(df: DataFrame, out: str = "file_name", level: int = 1) -> DataFrame:
+    """The file each row comes from, or with level=2 its folder."""
+    return df.withColumn(out, F.element_at(F.split(F.input_file_name(), "/"), -level))
 
 
 def read_parquet(spark: SparkSession, path, schema: str | None = None) -> DataFrame:
