@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from wayfare.operators.ranking import ranked
 from wayfare.operators.sampling import oversample, split_rows
 from wayfare.plans.flights import preprocess
+from wayfare.session import cut_lineage
 from wayfare.sources.files import read_csv_permissive
 
 # The feature columns.
@@ -91,9 +92,13 @@ def param_grid(estimator, grid: dict[str, list]):
 
 def training_sets(df: DataFrame, ratio: float = 0.4, fraction: float = 0.7,
                   seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(train, test): split first, then repeat cancelled flights in the training part only."""
-    train, test = split_rows(df, fraction, seed)
-    return oversample(train, ratio, seed=seed), test
+    """(train, test): split first, then repeat cancelled flights in the training part only.
+
+    Training reads its rows many times, so the few columns it needs are written once.
+    """
+    rows = cut_lineage(df.select(*CATEGORICAL, *NUMERIC, "label"))
+    train, test = split_rows(rows, fraction, seed)
+    return cut_lineage(oversample(train, ratio, seed=seed)), test
 
 
 def fit(train: DataFrame, estimator) -> PipelineModel:

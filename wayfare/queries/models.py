@@ -18,7 +18,7 @@ from wayfare.plans import classify as plans
 from wayfare.plans.flights import preprocess
 from wayfare.queries.base import FLIGHTS, TRIPS, ctes, query, stable, stable_sql
 from wayfare.queries.flights import FILLED, PREPARED, RENAMED
-from wayfare.session import cut_lineage, scratch_path
+from wayfare.session import scratch_path
 from wayfare.sources import derived
 
 PREPARED_FLIGHTS = ctes(FLIGHTS, RENAMED, FILLED, PREPARED)
@@ -167,7 +167,7 @@ def score(spark, sf_dir):
 @query("feature_importance")
 def feature_importance(spark, sf_dir):
     train, _ = plans.training_sets(_past(spark, sf_dir))
-    return _importances(spark, cut_lineage(train), ["DecisionTree"])
+    return _importances(spark, train, ["DecisionTree"])
 
 
 def _importances(spark, train, models):
@@ -187,7 +187,7 @@ def model_feature_rank(spark, sf_dir):
     """Features by their mean rank in a linear and a tree model."""
     models = ["LogisticRegression", "DecisionTree"]
     train, _ = plans.training_sets(_past(spark, sf_dir))
-    table = _importances(spark, cut_lineage(train), models)
+    table = _importances(spark, train, models)
     return plans.feature_ranking(plans.top_features(table, 10), models)
 
 

@@ -73,14 +73,12 @@ def profitability_windows(trips: DataFrame) -> DataFrame:
 
     The window takes part in the join, so both sides' state can be dropped as time passes.
     """
-    profit = _profit(trips, PROFIT_LATENESS).withColumn(
-        "around", F.window(F.window_time("window"), "30 minutes")
-    )
+    # one event-time column a side: the surrounding window stands in for the profit window
+    around = F.window(F.window_time("window"), "30 minutes")
+    profit = flat_window(_profit(trips, PROFIT_LATENESS).withColumn("around", around))
     taxis = _taxis(trips, EMPTY_LATENESS).withColumnRenamed("window", "around")
     joined = profit.join(taxis, ["around", *CELL]).drop("around")
-    return flat_window(joined).withColumn(
-        "profitability", profitability("median_fare_tip", "empty_taxis")
-    )
+    return joined.withColumn("profitability", profitability("median_fare_tip", "empty_taxis"))
 
 
 def run_profit_changes(trips: DataFrame, path: str, checkpoint: str, k: int = TOP,
