@@ -38,41 +38,68 @@ def cell_deg(latitude, longitude) -> Column:
     return cell_name(x + 1, y + 1)
 
 
-def _within(index: Column, limit: int) -> Column:
-    return F.when(index.between(1, limit), index.cast("int"))
-
-
-def cell_500m_y(latitude) -> Column:
-    metres = (F.lit(ORIGIN_LATITUDE) - _col(latitude)) * F.lit(METRES_PER_DEGREE)
-    return _within((metres / F.lit(500)).try_cast("bigint") + 1, GRID_500M_CELLS)
-
-
-def cell_500m_x(longitude, latitude) -> Column:
+def cells_east_500m(latitude, longitude) -> Column:
+    """Cells of 500 m east of the origin, as a fraction."""
     metres = (
         (_col(longitude) - F.lit(ORIGIN_LONGITUDE))
         * F.lit(METRES_PER_DEGREE)
         * F.cos(F.radians(_col(latitude)))
     )
-    return _within((metres / F.lit(500)).try_cast("bigint") + 1, GRID_500M_CELLS)
+    return metres / F.lit(500)
+
+
+def cells_south_500m(latitude) -> Column:
+    """Cells of 500 m south of the origin, as a fraction."""
+    return (F.lit(ORIGIN_LATITUDE) - _col(latitude)) * F.lit(METRES_PER_DEGREE) / F.lit(500)
+
+
+def in_500m_grid(cells) -> Column:
+    """Whether 1 + the whole part lies in 1..300. False for NaN, NULL for NULL."""
+    return (_col(cells) > -1) & (_col(cells) < GRID_500M_CELLS)
+
+
+def cell_500m_number(cells) -> Column:
+    return _col(cells).cast("int") + 1
 
 
 def cell_500m(latitude, longitude) -> Column:
     """Name of the 500 m cell, NULL outside the 300 x 300 grid."""
-    return cell_name(cell_500m_x(longitude, latitude), cell_500m_y(latitude))
+    east, south = cells_east_500m(latitude, longitude), cells_south_500m(latitude)
+    return F.when(
+        in_500m_grid(east) & in_500m_grid(south),
+        cell_name(cell_500m_number(east), cell_500m_number(south)),
+    )
 
 
-def cell_250m(latitude, longitude) -> Column:
-    """`struct<x:int,y:int>` of the 250 m cell, NULL outside the 600 x 600 grid."""
+def cells_east_250m(latitude, longitude) -> Column:
+    """Cells of 250 m east of the origin, as a fraction."""
     lat, lon = F.radians(_col(latitude)), F.radians(_col(longitude))
     lat0, lon0 = F.lit(math.radians(ORIGIN_LATITUDE)), F.lit(math.radians(ORIGIN_LONGITUDE))
-    east = F.lit(EARTH_RADIUS_METRES) * (lon - lon0) * F.cos((lat + lat0) / F.lit(2.0))
-    north = F.lit(EARTH_RADIUS_METRES) * (lat - lat0)
-    # floor() of NaN is 0, try_cast of NaN is NULL: floor first as a double, then cast
-    x = _floor(east / F.lit(250.0)) + 1
-    y = _floor(-north / F.lit(250.0)) + 1
-    inside = x.between(1, GRID_250M_CELLS) & y.between(1, GRID_250M_CELLS)
-    return F.when(inside, F.struct(x.cast("int").alias("x"), y.cast("int").alias("y")))
+    metres = F.lit(EARTH_RADIUS_METRES) * (lon - lon0) * F.cos((lat + lat0) / F.lit(2.0))
+    return metres / F.lit(250.0)
+
+
+def cells_south_250m(latitude) -> Column:
+    """Cells of 250 m south of the origin, as a fraction."""
+    metres = F.lit(EARTH_RADIUS_METRES) * (
+        F.radians(_col(latitude)) - F.lit(math.radians(ORIGIN_LATITUDE))
+    )
+    return -metres / F.lit(250.0)
+
+
+def in_250m_grid(cells) -> Column:
+    """Whether a fraction of cells lies in 0 <= c < 600. False for NaN, NULL for NULL."""
+    return (_col(cells) >= 0) & (_col(cells) < GRID_250M_CELLS)
 
 
-def _floor(value: Column) -> Column:
-    return F.when(~F.isnan(value), F.floor(value))
+def cell_250m_number(cells) -> Column:
+    return (F.floor(_col(cells)) + 1).cast("int")
+
+
+def cell_250m(latitude, longitude) -> Column:
+    """`struct<x:int,y:int>` of the 250 m cell, NULL outside the 600 x 600 grid."""
+    east, south = cells_east_250m(latitude, longitude), cells_south_250m(latitude)
+    return F.when(
+        in_250m_grid(east) & in_250m_grid(south),
+        F.struct(cell_250m_number(east).alias("x"), cell_250m_number(south).alias("y")),
+    )

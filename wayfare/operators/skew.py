@@ -33,19 +33,21 @@ def hot_groups(df: DataFrame, keys, limit: int = GROUP_ROWS, *extra: Column) ->
     return counted.filter(F.col("rows") > limit)
 
 
-def spread_rows(big: DataFrame, on, limit: int = GROUP_ROWS) -> tuple[DataFrame, DataFrame]:
-    """`big` with a `__salt` that divides its hot keys, and the hot keys with their `__salts`."""
-    hot = hot_groups(big, on, limit).select(
-        *on, F.ceil(F.col("rows") / F.lit(limit)).cast("int").alias("__salts")
-    )
+def salts_of(hot: DataFrame, on, limit: int = GROUP_ROWS) -> DataFrame:
+    """How many parts each hot key is divided into, from its `rows`."""
+    return hot.select(*on, F.ceil(F.col("rows") / F.lit(limit)).cast("int").alias("__salts"))
+
+
+def spread_rows(big: DataFrame, on, salts: DataFrame) -> DataFrame:
+    """`big` with a `__salt` that divides the rows of its hot keys."""
     salt = F.pmod(F.xxhash64(*big.columns), F.coalesce(F.col("__salts"), F.lit(1))).cast("int")
-    return attach_small(big, hot, on).withColumn("__salt", salt).drop("__salts"), hot
+    return attach_small(big, salts, on).withColumn("__salt", salt).drop("__salts")
 
 
-def join_spread(spread: DataFrame, hot: DataFrame, small: DataFrame, on,
+def join_spread(spread: DataFrame, salts: DataFrame, small: DataFrame, on,
                 how: str = "inner") -> DataFrame:
     """Join rows of `spread_rows` with `small`, whose hot keys are repeated once per salt."""
-    copies = attach_small(small, hot, on).withColumn(
+    copies = attach_small(small, salts, on).withColumn(
         "__salt",
         F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__salts"), F.lit(1)) - 1)),
     )
@@ -53,13 +55,15 @@ def join_spread(spread: DataFrame, hot: DataFrame, small: DataFrame, on,
 
 
 def salted_join(
-    big: DataFrame, small: DataFrame, on, how: str = "inner", limit: int = GROUP_ROWS
+    big: DataFrame, small: DataFrame, on, how: str = "inner", limit: int = GROUP_ROWS,
+    salts: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join in which a key of `big` may hold a large share of all rows.
 
     Rows of a hot key are spread over several salts, and only the matching rows of
     `small` are repeated, once per salt. Other keys have one salt, hence no copies.
-    `how` is "inner" or "left".
+    `how` is "inner" or "left". Keys are counted first, unless their `salts` are known.
     """
-    spread, hot = spread_rows(big, on, limit)
-    return join_spread(spread, hot, small, on, how)
+    if salts is None:
+        salts = salts_of(hot_groups(big, on, limit), on, limit)
+    return join_spread(spread_rows(big, on, salts), salts, small, on, how)

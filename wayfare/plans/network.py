@@ -6,9 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.operators.ranking import top_k
-from wayfare.operators.skew import GROUP_ROWS, join_spread, salted_join, spread_rows
+from wayfare.operators.skew import (
+    GROUP_ROWS,
+    join_spread,
+    salted_join,
+    salts_of,
+    spread_rows,
+)
 from wayfare.session import cut_lineage
 
+# Ranks of this many airports are a broadcast of some 50 MB.
+BROADCAST_VERTICES = 1_000_000
+
 
 def vertices(edges: DataFrame) -> DataFrame:
     """Every airport that a flight leaves or reaches."""
@@ -82,36 +91,40 @@ def neighbours(edges: DataFrame) -> DataFrame:
     )
 
 
-def _oriented(edges: DataFrame, limit: int) -> DataFrame:
-    """Pairs directed from the lower to the higher (degree, name).
+def _successors(edges: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs directed from the lower to the higher (degree, name), and the salts of hubs.
 
     In that direction no vertex has more than sqrt(2 x pairs) successors, so hubs do not
-    blow up the path join.
+    blow up the path join. A vertex has at most its degree in rows on either side, so one
+    table of high degrees tells every join which keys to divide.
     """
-    pairs = undirected(edges)
-    degree = neighbours(edges).groupBy("id").agg(F.count(F.lit(1)).alias("d"))
-    with_u = salted_join(
-        pairs, degree.select(F.col("id").alias("u"), F.col("d").alias("du")), ["u"], limit=limit
-    )
-    both = salted_join(
-        with_u, degree.select(F.col("id").alias("v"), F.col("d").alias("dv")), ["v"], limit=limit
-    )
+    pairs = cut_lineage(undirected(edges))
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("id"))
+    degree = cut_lineage(ends.groupBy("id").agg(F.count(F.lit(1)).alias("rows")))
+    salts = salts_of(degree.filter(F.col("rows") > limit), ["id"], limit)
+
+    def with_degree(df, column, out):
+        found = degree.select(F.col("id").alias(column), F.col("rows").alias(out))
+        return salted_join(df, found, [column], salts=salts.withColumnRenamed("id", column))
+
+    both = with_degree(with_degree(pairs, "u", "du"), "v", "dv")
     ends = (
         F.struct(F.col("du").alias("d"), F.col("u").alias("n")),
         F.struct(F.col("dv").alias("d"), F.col("v").alias("n")),
     )
-    return both.select(
+    directed = both.select(
         F.least(*ends)["n"].alias("low"), F.greatest(*ends)["n"].alias("high")
     )
+    return cut_lineage(directed), salts
 
 
 def triangles(edges: DataFrame, limit: int = GROUP_ROWS) -> DataFrame:
     """Every triangle of the undirected graph once, as (a, b, c)."""
-    directed = cut_lineage(_oriented(edges, limit))
+    directed, salts = _successors(edges, limit)
     first = directed.select(F.col("low").alias("a"), F.col("high").alias("b"))
     second = directed.select(F.col("low").alias("b"), F.col("high").alias("c"))
     closing = directed.select(F.col("low").alias("a"), F.col("high").alias("c"))
-    paths = salted_join(first, second, ["b"], limit=limit)
+    paths = salted_join(first, second, ["b"], salts=salts.withColumnRenamed("id", "b"))
     return paths.join(closing, ["a", "c"]).select("a", "b", "c")
 
 
@@ -165,37 +178,57 @@ def wedge_count(edges: DataFrame) -> DataFrame:
 
 
 def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85, normalize: bool = True,
-             checkpoint_every: int = 5, limit: int = GROUP_ROWS) -> DataFrame:
+             write_every: int = 5, limit: int = GROUP_ROWS,
+             broadcast_vertices: int = BROADCAST_VERTICES) -> DataFrame:
     """(id, rank) after a fixed number of rounds, from equal ranks.
 
     A flight passes its origin's rank, divided by the origin's flights, to its
     destination; with normalize=False it passes the whole rank. Rank of airports that no
     flight leaves is lost, not spread.
+
+    The ranks of up to `broadcast_vertices` airports travel to the edges; those of a larger
+    graph are joined by shuffle, with hot origins salted.
     """
-    # parallel flights become one weighted edge: a pair appears once per round
-    weighted = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("flights"))
+    # parallel flights become one weighted edge, whose weight is 1 / flights of the origin
+    parallel = cut_lineage(edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("flights")))
+    leaving = parallel.groupBy("src").agg(
+        F.sum("flights").alias("out"), F.count(F.lit(1)).alias("rows")
+    )
+    leaving = cut_lineage(leaving)
+    salts = cut_lineage(salts_of(leaving.filter(F.col("rows") > limit), ["src"], limit))
+    weight = F.col("flights").cast("double")
+    weighted = parallel.select("src", "dst", weight.alias("weight"))
     if normalize:
-        leaving = edges.groupBy("src").agg(F.count(F.lit(1)).cast("double").alias("out"))
-        weighted = salted_join(weighted, leaving, ["src"], limit=limit).select(
-            "src", "dst", (F.col("flights") / F.col("out")).alias("flights")
-        )
-    spread, hot = spread_rows(cut_lineage(weighted), ["src"], limit)
-    weighted, hot = cut_lineage(spread), cut_lineage(hot)
-    nodes = cut_lineage(vertices(weighted))
+        weighted = salted_join(
+            parallel, leaving.select("src", "out"), ["src"], salts=salts
+        ).select("src", "dst", (weight / F.col("out")).alias("weight"))
+    nodes = cut_lineage(vertices(parallel))
     n = nodes.count()
-    base = F.lit((1.0 - damping) / n if n else 0.0)
+    if n == 0:
+        return nodes.withColumn("rank", F.lit(0.0))
+
+    small = n <= broadcast_vertices
+    weighted = cut_lineage(weighted if small else spread_rows(weighted, ["src"], salts))
+    base = F.lit((1.0 - damping) / n)
+    nothing = nodes.select("id", F.lit(0.0).alias("passed"))
 
-    ranks = nodes.withColumn("rank", F.lit(1.0 / n if n else 0.0))
+    ranks = nodes.withColumn("rank", F.lit(1.0 / n))
     for i in range(1, rounds + 1):
-        passed = (
-            join_spread(weighted, hot, ranks.withColumnRenamed("id", "src"), ["src"])
-            .groupBy(F.col("dst").alias("id"))
-            .agg(F.sum(F.col("rank") * F.col("flights")).alias("passed"))
+        origins = ranks.withColumnRenamed("id", "src")
+        if small:
+            joined = weighted.join(F.broadcast(origins), "src")
+        else:
+            joined = join_spread(weighted, salts, origins, ["src"])
+        passed = joined.select(
+            F.col("dst").alias("id"), (F.col("rank") * F.col("weight")).alias("passed")
         )
-        ranks = nodes.join(passed, "id", "left").select(
-            "id",
-            (F.lit(damping) * F.coalesce("passed", F.lit(0.0)) + base).alias("rank"),
+        # a zero for every airport keeps those that no flight reaches, without a join
+        ranks = (
+            passed.unionByName(nothing)
+            .groupBy("id")
+            .agg(F.sum("passed").alias("passed"))
+            .select("id", (F.lit(damping) * F.col("passed") + base).alias("rank"))
         )
-        if i % checkpoint_every == 0 and i < rounds:
+        if i % write_every == 0 and i < rounds:
             ranks = cut_lineage(ranks)
     return ranks

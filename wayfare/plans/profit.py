@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.functions.cells import cell_250m, cell_name
+from wayfare.functions.cells import (
+    cell_250m_number,
+    cell_name,
+    cells_east_250m,
+    cells_south_250m,
+    in_250m_grid,
+)
 from wayfare.functions.measures import profitability
 from wayfare.functions.times import window_start
 from wayfare.operators.intervals import ticks_between
@@ -23,21 +31,18 @@ CELL = ["cell_x", "cell_y"]
 
 def with_250m_cells(df: DataFrame) -> DataFrame:
     """Trips inside the 250 m grid at both ends, with the four cell numbers."""
-    placed = df.withColumns(
-        {
-            "start_cell": cell_250m("pickup_latitude", "pickup_longitude"),
-            "end_cell": cell_250m("dropoff_latitude", "dropoff_longitude"),
-        }
-    ).filter(F.col("start_cell").isNotNull() & F.col("end_cell").isNotNull())
-    return placed.withColumns(
-        {
-            "start_cell_x": F.col("start_cell.x"),
-            "start_cell_y": F.col("start_cell.y"),
-            "end_cell_x": F.col("end_cell.x"),
-            "end_cell_y": F.col("end_cell.y"),
-            "fare_plus_tip": F.col("fare_amount") + F.col("tip_amount"),
-        }
-    ).drop("start_cell", "end_cell")
+    at = {
+        "start_cell_x": cells_east_250m("pickup_latitude", "pickup_longitude"),
+        "start_cell_y": cells_south_250m("pickup_latitude"),
+        "end_cell_x": cells_east_250m("dropoff_latitude", "dropoff_longitude"),
+        "end_cell_y": cells_south_250m("dropoff_latitude"),
+    }
+    measured = df.withColumns(at)
+    inside = measured.filter(reduce(lambda a, b: a & b, [in_250m_grid(c) for c in at]))
+    return inside.withColumns(
+        {c: cell_250m_number(c) for c in at}
+        | {"fare_plus_tip": F.col("fare_amount") + F.col("tip_amount")}
+    )
 
 
 def profit_by_cell(placed: DataFrame, size: int = PROFIT_SECONDS) -> DataFrame:

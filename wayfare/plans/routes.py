@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.functions.cells import cell_500m, cell_deg
+from wayfare.functions.cells import (
+    cell_500m_number,
+    cell_deg,
+    cell_name,
+    cells_east_500m,
+    cells_south_500m,
+    in_500m_grid,
+)
 from wayfare.functions.times import window_start
-from wayfare.operators.cleaning import in_grid, located_trips, non_loops
+from wayfare.operators.cleaning import located_trips, non_loops
 from wayfare.operators.intervals import counts_at_ticks
 from wayfare.operators.ranking import pad_ranks, ranked, top_k, widen_ranks
 from wayfare.operators.sequence import previous_value
@@ -33,14 +42,25 @@ def with_degree_cells(df: DataFrame) -> DataFrame:
 
 
 def with_500m_cells(df: DataFrame) -> DataFrame:
-    """Trips inside the 500 m grid at both ends, with their cells."""
-    placed = df.withColumns(
+    """Trips inside the 500 m grid at both ends, with their cells.
+
+    Positions are columns of their own first, so each is worked out once per trip.
+    """
+    at = {
+        "__sx": cells_east_500m("pickup_latitude", "pickup_longitude"),
+        "__sy": cells_south_500m("pickup_latitude"),
+        "__ex": cells_east_500m("dropoff_latitude", "dropoff_longitude"),
+        "__ey": cells_south_500m("dropoff_latitude"),
+    }
+    inside = df.withColumns(at).filter(
+        reduce(lambda a, b: a & b, [in_500m_grid(c) for c in at])
+    )
+    return inside.withColumns(
         {
-            "start_cell": cell_500m("pickup_latitude", "pickup_longitude"),
-            "end_cell": cell_500m("dropoff_latitude", "dropoff_longitude"),
+            "start_cell": cell_name(cell_500m_number("__sx"), cell_500m_number("__sy")),
+            "end_cell": cell_name(cell_500m_number("__ex"), cell_500m_number("__ey")),
         }
-    )
-    return in_grid(placed, "start_cell", "end_cell")
+    ).drop(*at)
 
 
 def route_counts(df: DataFrame, *by: str, out: str = "num_rides") -> DataFrame:
