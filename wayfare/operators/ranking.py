@@ -38,20 +38,19 @@ def pad_ranks(groups: DataFrame, rows: DataFrame, on, k: int, rank: str = "rank"
     return rank_template(groups, k, rank).join(rows, [*on, rank], "left")
 
 
+def rank_columns(values: dict[str, str], k: int, rank: str = "rank") -> list[Column]:
+    """Aggregates `{prefix}_{i}`: each source column's value at rank i, NULL without one."""
+    return [
+        F.max(F.when(F.col(rank) == i, F.col(c))).alias(f"{prefix}_{i}")
+        for i in range(1, k + 1)
+        for c, prefix in values.items()
+    ]
+
+
 def widen_ranks(rows: DataFrame, group, values: dict[str, str], k: int,
                 rank: str = "rank") -> DataFrame:
     """One row per group with the columns `{prefix}_{rank}` for ranks 1..k.
 
-    `values` maps a source column to its prefix; missing ranks give NULL.
+    `values` maps a source column to its prefix. Ranks must be unique within a group.
     """
-    first = [F.first(c, ignorenulls=True).alias(c) for c in values]
-    # a second aggregate keeps pivot from naming a single value column by the rank alone
-    wide = rows.groupBy(*group).pivot(rank, list(range(1, k + 1))).agg(
-        *first, F.count(F.lit(1)).alias("__n")
-    )
-    named = [
-        F.col(f"{i}_{c}").alias(f"{prefix}_{i}")
-        for i in range(1, k + 1)
-        for c, prefix in values.items()
-    ]
-    return wide.select(*group, *named)
+    return rows.groupBy(*group).agg(*rank_columns(values, k, rank))

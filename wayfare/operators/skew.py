@@ -45,13 +45,14 @@ def spread_rows(big: DataFrame, on, salts: DataFrame) -> DataFrame:
 
 
 def join_spread(spread: DataFrame, salts: DataFrame, small: DataFrame, on,
-                how: str = "inner") -> DataFrame:
+                how: str = "inner", keep_salt: bool = False) -> DataFrame:
     """Join rows of `spread_rows` with `small`, whose hot keys are repeated once per salt."""
     copies = attach_small(small, salts, on).withColumn(
         "__salt",
         F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__salts"), F.lit(1)) - 1)),
     )
-    return spread.join(copies.drop("__salts"), [*on, "__salt"], how).drop("__salt")
+    joined = spread.join(copies.drop("__salts"), [*on, "__salt"], how)
+    return joined if keep_salt else joined.drop("__salt")
 
 
 def salted_join(

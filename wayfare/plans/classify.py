@@ -91,11 +91,12 @@ def training_sets(df: DataFrame, ratio: float = 0.4, fraction: float = 0.7,
                   seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(train, test): split first, then repeat cancelled flights in the training part only.
 
-    Training reads its rows many times, so the few columns it needs are written once.
+    Training reads its rows many times, so the few columns it needs are written once, in
+    parts of even size.
     """
     rows = cut_lineage(df.select(*CATEGORICAL, *NUMERIC, "label"))
     train, test = split_rows(rows, fraction, seed)
-    return cut_lineage(oversample(train, ratio, seed=seed)), test
+    return cut_lineage(oversample(train, ratio, seed=seed).hint("rebalance")), test
 
 
 def fit(train: DataFrame, estimator) -> PipelineModel:

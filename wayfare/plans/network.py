@@ -191,34 +191,38 @@ def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85, normaliz
     """
     # parallel flights become one weighted edge, whose weight is 1 / flights of the origin
     parallel = cut_lineage(edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("flights")))
-    leaving = parallel.groupBy("src").agg(
-        F.sum("flights").alias("out"), F.count(F.lit(1)).alias("rows")
-    )
-    leaving = cut_lineage(leaving)
-    salts = cut_lineage(salts_of(leaving.filter(F.col("rows") > limit), ["src"], limit))
-    weight = F.col("flights").cast("double")
-    weighted = parallel.select("src", "dst", weight.alias("weight"))
-    if normalize:
-        weighted = salted_join(
-            parallel, leaving.select("src", "out"), ["src"], salts=salts
-        ).select("src", "dst", (weight / F.col("out")).alias("weight"))
     nodes = cut_lineage(vertices(parallel))
     n = nodes.count()
     if n == 0:
         return nodes.withColumn("rank", F.lit(0.0))
-
     small = n <= broadcast_vertices
-    weighted = cut_lineage(weighted if small else spread_rows(weighted, ["src"], salts))
+
+    leaving = parallel.groupBy("src").agg(
+        F.sum("flights").alias("out"), F.count(F.lit(1)).alias("rows")
+    )
+    if not small:
+        leaving = cut_lineage(leaving)
+        salts = cut_lineage(salts_of(leaving.filter(F.col("rows") > limit), ["src"], limit))
+        parallel = spread_rows(parallel, ["src"], salts)
+
+    def with_origin(df, table):
+        """Edges with a table of one row per origin; the salt of the edges stays."""
+        if small:
+            return df.join(F.broadcast(table), "src")
+        return join_spread(df, salts, table, ["src"], keep_salt=True)
+
+    weight = F.col("flights").cast("double")
+    if normalize:
+        parallel = with_origin(parallel, leaving.select("src", "out"))
+        weight = weight / F.col("out")
+    salt = [] if small else ["__salt"]
+    weighted = cut_lineage(parallel.select("src", "dst", weight.alias("weight"), *salt))
     base = F.lit((1.0 - damping) / n)
     nothing = nodes.select("id", F.lit(0.0).alias("passed"))
 
     ranks = nodes.withColumn("rank", F.lit(1.0 / n))
     for i in range(1, rounds + 1):
-        origins = ranks.withColumnRenamed("id", "src")
-        if small:
-            joined = weighted.join(F.broadcast(origins), "src")
-        else:
-            joined = join_spread(weighted, salts, origins, ["src"])
+        joined = with_origin(weighted, ranks.withColumnRenamed("id", "src"))
         passed = joined.select(
             F.col("dst").alias("id"), (F.col("rank") * F.col("weight")).alias("passed")
         )

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from wayfare.operators.ranking import ranked, widen_ranks
-from wayfare.operators.sequence import previous_value
+from wayfare.operators.ranking import rank_columns, ranked
 from wayfare.streaming.run import read_before, start, write_batch
 
 
@@ -21,30 +20,24 @@ def changes(rows: DataFrame, order, k: int, entry, ordered: bool, values: dict[s
     newest (window_start, entries) already known.
     """
     top = ranked(rows.withColumn("entry", entry), ["window_start"], order, k)
-    top = top.persist()  # at most k rows a window, used several times below
-    listed = F.array_sort(F.collect_list(F.struct("rank", "entry")))["entry"]
+    listed = F.array_sort(F.collect_list(F.struct("rank", "entry")))["entry"]  # k at most
     if not ordered:
         listed = F.array_sort(F.collect_set("entry"))
-    latest = F.max(
-        F.struct("trigger_dropoff", "trigger_pickup", "ingested")
-    )
+    placed = rank_columns(values, k)
     windows = top.groupBy("window_start", "window_end").agg(
-        F.array_join(listed, ",").alias("entries"), latest.alias("latest")
+        F.array_join(listed, ",").alias("entries"),
+        F.max(F.struct("trigger_dropoff", "trigger_pickup", "ingested")).alias("latest"),
+        *placed,
     )
-    known = windows.select("window_start", "entries", F.lit(1).alias("line"))
+    known = windows.withColumn("new", F.lit(True))
     if last is not None:
-        known = known.unionByName(last.withColumn("line", F.lit(1)))
-    # few rows: one a window; a long line of windows is cut into slices by the operator
-    linked = previous_value(known, ["line"], ["window_start"], "entries", "before")
-    changed = linked.filter(~F.col("entries").eqNullSafe(F.col("before"))).select(
-        F.col("window_start").alias("at")
-    )
-    wide = widen_ranks(top, ["window_start"], values, k)
-    joined = windows.join(
-        changed, windows["window_start"] == changed["at"], "left_semi"
-    ).join(wide, "window_start")
+        known = known.unionByName(last.withColumn("new", F.lit(False)), allowMissingColumns=True)
+    # one row a window, not a trip: a century of half hours is below two million rows
+    line = Window.partitionBy(F.lit(0)).orderBy("window_start")
+    linked = known.withColumn("before", F.lag("entries").over(line))
+    changed = linked.filter(F.col("new") & ~F.col("entries").eqNullSafe(F.col("before")))
     now = F.unix_micros(F.current_timestamp())
-    return joined.select(
+    return changed.select(
         "window_start",
         "window_end",
         F.col("latest.trigger_pickup").alias("pickup_datetime"),
