@@ -19,8 +19,6 @@ from wayfare.functions.times import window_start
 from wayfare.operators.intervals import ticks_between
 from wayfare.operators.medians import exact_median, median_element
 from wayfare.operators.ranking import ranked, widen_ranks
-from wayfare.operators.sequence import next_value
-from wayfare.operators.skew import GROUP_ROWS
 
 PROFIT_SECONDS = 15 * 60
 EMPTY_SECONDS = 30 * 60
@@ -79,53 +77,68 @@ def taxis_by_cell(placed: DataFrame, size: int = EMPTY_SECONDS, exact: bool = Tr
     ).agg(taxis.alias("empty_taxis"))
 
 
-def empty_taxis(placed: DataFrame, step: int = PROFIT_SECONDS, span: int = EMPTY_SECONDS,
-                limit: int = GROUP_ROWS) -> DataFrame:
-    """Empty taxis per cell at every multiple of `step`: (tick, cell_x, cell_y, empty_taxis).
+def taxi_events(placed: DataFrame) -> DataFrame:
+    """Pickup and dropoff of every trip of a known taxi as two rows, in one pass.
 
-    At time T a taxi is empty in the cell of its latest dropoff if that was at most `span`
-    ago and no pickup followed up to T. Pickups and dropoffs of a taxi form one time line;
-    a dropoff counts until the next event of the line.
+    `event` orders a taxi's events: by second, pickups before dropoffs, then by trip.
     """
-    known = placed.filter(F.col("medallion").isNotNull())
-    # both events of a trip in one pass over the trips
-    events = known.select(
+    none = F.lit(None).cast("int")
+
+    def event(at, is_dropoff, x, y):
+        return F.struct(
+            F.struct(
+                F.col(at).alias("at"), F.lit(is_dropoff).alias("is_dropoff"), "trip_id",
+                x.alias("cell_x"), y.alias("cell_y"),
+            ).alias("event")
+        )
+
+    return placed.filter(F.col("medallion").isNotNull()).select(
         "medallion",
-        "trip_id",
         F.inline(
             F.array(
-                F.struct(
-                    F.col("pickup_unix").alias("at"),
-                    F.lit(0).alias("is_dropoff"),
-                    F.lit(None).cast("int").alias("cell_x"),
-                    F.lit(None).cast("int").alias("cell_y"),
-                ),
-                F.struct(
-                    F.col("dropoff_unix").alias("at"),
-                    F.lit(1).alias("is_dropoff"),
-                    F.col("end_cell_x").alias("cell_x"),
-                    F.col("end_cell_y").alias("cell_y"),
-                ),
+                event("pickup_unix", 0, none, none),
+                event("dropoff_unix", 1, F.col("end_cell_x"), F.col("end_cell_y")),
             )
         ),
     )
-    linked = next_value(
-        events, ["medallion"], ["at", "is_dropoff", "trip_id"], "at", "next_at", limit
-    ).filter(F.col("is_dropoff") == 1)
-    last = F.least(F.col("at") + span, F.col("next_at") - 1)  # least() skips a NULL
-    at_ticks = linked.select(*CELL, F.explode(ticks_between(F.col("at"), last, step)).alias("tick"))
-    return at_ticks.groupBy("tick", *CELL).agg(F.count(F.lit(1)).alias("empty_taxis"))
 
 
-def profitable_areas(placed: DataFrame, k: int = TOP, step: int = PROFIT_SECONDS,
-                     limit: int = GROUP_ROWS) -> DataFrame:
+def events_at_ticks(events: DataFrame, step: int, span: int) -> DataFrame:
+    """Every event once per tick it can matter for: the ticks up to `span` after it."""
+    at = F.col("event.at")
+    return events.select("*", F.explode(ticks_between(at, at + span, step)).alias("tick"))
+
+
+def empty_taxis(placed: DataFrame, step: int = PROFIT_SECONDS,
+                span: int = EMPTY_SECONDS) -> DataFrame:
+    """Empty taxis per cell at every multiple of `step`: (tick, cell_x, cell_y, empty_taxis).
+
+    At time T a taxi is empty in the cell of its latest dropoff if that was at most `span`
+    ago and no pickup followed up to T, that is, if its latest event is that dropoff. The
+    latest event per taxi and tick is a maximum, which tasks merge before the shuffle, so
+    a busy taxi is no larger a group than others.
+    """
+    latest = (
+        events_at_ticks(taxi_events(placed), step, span)
+        .groupBy("medallion", "tick")
+        .agg(F.max("event").alias("event"))
+    )
+    return (
+        latest.filter(F.col("event.is_dropoff") == 1)
+        .groupBy("tick", F.col("event.cell_x").alias("cell_x"),
+                 F.col("event.cell_y").alias("cell_y"))
+        .agg(F.count(F.lit(1)).alias("empty_taxis"))
+    )
+
+
+def profitable_areas(placed: DataFrame, k: int = TOP, step: int = PROFIT_SECONDS) -> DataFrame:
     """The k most profitable cells at the end of every window, long form.
 
     (tick, rank, cell_x, cell_y, median_fare_tip, empty_taxis, profitability). Cells
     without empty taxis have no profitability and come last.
     """
     profit = profit_by_cell(placed, step).withColumn("tick", F.col("window_start") + step)
-    joined = profit.join(empty_taxis(placed, step, limit=limit), ["tick", *CELL], "left").select(
+    joined = profit.join(empty_taxis(placed, step), ["tick", *CELL], "left").select(
         "tick",
         *CELL,
         "median_fare_tip",

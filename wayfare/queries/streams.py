@@ -244,18 +244,12 @@ def profit_changes(spark, sf_dir):
     return files.read_table(spark, table)
 
 
-# only half hours that are closed: the watermark follows the greatest half-hour start
-@query("stream_empty_taxis", PLACED + f", {EMPTY}" + """, settled AS (
-    SELECT max(dropoff_unix) // 1800 * 1800 - 16200 AS until FROM placed)
-    SELECT tick, CAST(ex AS INT) AS cell_x, CAST(ey AS INT) AS cell_y, count(*) AS empty_taxis
-    FROM latest l WHERE n = 1 AND NOT EXISTS (
-        SELECT 1 FROM placed p WHERE p.medallion = l.medallion
-        AND p.pickup_unix > l.dropoff_unix AND p.pickup_unix <= l.tick)
-    AND (l.dropoff_unix // 1800 + 1) * 1800 <= (SELECT until FROM settled)
-    GROUP BY 1, 2, 3""")
+# only closed ticks: the watermark follows the last tick that any event reaches
+@query("stream_empty_taxis", PLACED + f", {EMPTY}" + """
+    SELECT * FROM empties WHERE tick <=
+        (SELECT (max(dropoff_unix) + 1800) // 900 * 900 - 16200 FROM placed)""")
 def stream_empty_taxis(spark, sf_dir):
     """Empty taxis per cell every quarter of an hour, from state kept per taxi."""
     table, checkpoint = _places(spark, "empty")
-    intervals = profit.empty_taxi_intervals(_clean_stream(spark, sf_dir))
-    drain(append_table(intervals, table, checkpoint))
-    return profit.empty_at_ticks(files.read_table(spark, table))
+    drain(append_table(profit.empty_taxi_ticks(_clean_stream(spark, sf_dir)), table, checkpoint))
+    return files.read_table(spark, table)

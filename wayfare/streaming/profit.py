@@ -9,9 +9,16 @@ from pyspark.sql.streaming import StreamingQuery
 from wayfare.functions.cells import cell_name
 from wayfare.functions.measures import profitability
 from wayfare.operators.cleaning import LONGEST_TRIP_SECONDS
-from wayfare.operators.intervals import ticks_between
 from wayfare.operators.medians import median_element
-from wayfare.plans.profit import CELL, EMPTY_SECONDS, PROFIT_SECONDS, TOP, with_250m_cells
+from wayfare.plans.profit import (
+    CELL,
+    EMPTY_SECONDS,
+    PROFIT_SECONDS,
+    TOP,
+    events_at_ticks,
+    taxi_events,
+    with_250m_cells,
+)
 from wayfare.streaming.feeds import run_changes
 from wayfare.streaming.routes import flat_window
 
@@ -91,58 +98,24 @@ def run_profit_changes(trips: DataFrame, path: str, checkpoint: str, k: int = TO
     )
 
 
-def empty_taxi_intervals(trips: DataFrame, span: int = EMPTY_SECONDS,
-                         longest_trip: int = LONGEST_TRIP_SECONDS) -> DataFrame:
-    """When and where taxis are empty: (medallion, cell_x, cell_y, empty_from, empty_until).
+def empty_taxi_ticks(trips: DataFrame, step: int = PROFIT_SECONDS, span: int = EMPTY_SECONDS,
+                     longest_trip: int = LONGEST_TRIP_SECONDS) -> DataFrame:
+    """Empty taxis per cell at every multiple of `step`, as in the batch plan.
 
-    State is kept per taxi and half hour, so a busy taxi has many small states. An event
-    is copied to the half hour before its own, where it can end an empty spell. A trip is
-    known only at its end, so a half hour closes once no trip that began in it can still
-    arrive.
+    The state is one event per taxi and tick, then one count per cell and tick. A trip is
+    known only at its end, so a tick closes once no trip that began before it can arrive.
     """
-    placed = with_250m_cells(trips).filter(F.col("medallion").isNotNull())
-    none = F.lit(None).cast("int")
-    events = placed.select(
-        "medallion",
-        F.inline(
-            F.array(
-                F.struct(F.col("pickup_unix").alias("at"), F.lit(0).alias("is_dropoff"),
-                         "trip_id", none.alias("x"), none.alias("y")),
-                F.struct(F.col("dropoff_unix").alias("at"), F.lit(1).alias("is_dropoff"),
-                         "trip_id", F.col("end_cell_x").alias("x"), F.col("end_cell_y").alias("y")),
-            )
-        ),
+    events = events_at_ticks(taxi_events(with_250m_cells(trips)), step, span)
+    latest = (
+        events.withColumn("tick", F.timestamp_seconds("tick"))
+        .withWatermark("tick", f"{longest_trip + span} seconds")
+        .groupBy("medallion", "tick")
+        .agg(F.max("event").alias("event"))
     )
-    home = F.floor(F.col("at") / F.lit(span))
-    grouped = (
-        events.withColumn("half_hour", F.explode(F.array(home, home - 1)))
-        .withColumn("own", F.col("half_hour") == home)
-        .withColumn("at_time", F.timestamp_seconds(F.col("half_hour") * F.lit(span)))
-        .withWatermark("at_time", f"{longest_trip + span} seconds")
-        .groupBy("medallion", F.window("at_time", f"{span} seconds"))
-        .agg(F.sort_array(F.collect_list(F.struct("at", "is_dropoff", "trip_id", "x", "y", "own")))
-             .alias("line"))
+    counted = (
+        latest.filter(F.col("event.is_dropoff") == 1)
+        .groupBy("tick", F.col("event.cell_x").alias("cell_x"),
+                 F.col("event.cell_y").alias("cell_y"))
+        .agg(F.count(F.lit(1)).alias("empty_taxis"))
     )
-    spells = F.transform(
-        "line",
-        lambda e, i: F.struct(
-            e["x"].alias("cell_x"),
-            e["y"].alias("cell_y"),
-            e["at"].alias("empty_from"),
-            F.least(e["at"] + span, F.get("line", i + 1)["at"] - 1).alias("empty_until"),
-            (e["own"] & (e["is_dropoff"] == 1)).alias("counts"),
-        ),
-    )
-    return (
-        grouped.select("medallion", F.inline(spells))
-        .filter(F.col("counts") & (F.col("empty_until") >= F.col("empty_from")))
-        .drop("counts")
-    )
-
-
-def empty_at_ticks(intervals: DataFrame, step: int = PROFIT_SECONDS) -> DataFrame:
-    """Empty taxis per cell at every multiple of `step`, from the written intervals."""
-    ticks = intervals.select(
-        *CELL, F.explode(ticks_between(F.col("empty_from"), F.col("empty_until"), step)).alias("tick")
-    )
-    return ticks.groupBy("tick", *CELL).agg(F.count(F.lit(1)).alias("empty_taxis"))
+    return counted.withColumn("tick", F.unix_seconds("tick"))
