@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wayfare.functions.cells import cell_500m, cell_250m, cell_deg, cell_name
 from wayfare.functions.measures import speed_mph
+from wayfare.functions.registered import register_borough_function, register_cell_function
 from wayfare.functions.times import hours, minutes, parse_timestamp, parse_unix
 from wayfare.operators.cleaning import (
     COORDINATES,
@@ -24,6 +25,7 @@ from wayfare.queries.base import (
     ON_EARTH,
     TRIPS,
     VALID,
+    boroughs_of,
     cell_250m_x_sql,
     cell_250m_y_sql,
     cell_500m_x_sql,
@@ -348,3 +350,29 @@ def trip_schema_columns(spark, sf_dir):
         }
     )
     return trips.select(column_names(TRIP_MIN))
+
+
+@query("sql_cell_function", ctes(TRIPS) + f"""
+    SELECT start_cell, count(*) AS trips FROM (
+        SELECT {cell_deg_sql('pickup_latitude', 'pickup_longitude')} AS start_cell FROM trips)
+    GROUP BY start_cell""")
+def sql_cell_function(spark, sf_dir):
+    """The grid lookup called from SQL text."""
+    register_cell_function(spark)
+    derived.trips(spark, sf_dir).createOrReplaceTempView("trips_for_cells")
+    return spark.sql(
+        "SELECT get_cell_id(pickup_latitude, pickup_longitude) AS start_cell, count(*) AS trips"
+        " FROM trips_for_cells GROUP BY 1"
+    )
+
+
+@query("sql_borough_function", ctes(TRIPS, boroughs_of("trips")) + """
+    SELECT dropoff_borough, count(*) AS trips FROM placed GROUP BY dropoff_borough""")
+def sql_borough_function(spark, sf_dir):
+    """The borough lookup called from SQL text."""
+    register_borough_function(spark, derived.borough_edges(spark))
+    derived.trips(spark, sf_dir).createOrReplaceTempView("trips_for_boroughs")
+    return spark.sql(
+        "SELECT to_borough(dropoff_longitude, dropoff_latitude) AS dropoff_borough,"
+        " count(*) AS trips FROM trips_for_boroughs GROUP BY 1"
+    )

@@ -134,6 +134,17 @@ _model_query("cancel_model_forest", "RandomForest")
 _model_query("cancel_model_boosted", "GBT")
 
 
+@query("model_comparison")
+def model_comparison(spark, sf_dir):
+    """Metrics of two models trained and tested on the same rows."""
+    train, test = plans.training_sets(_past(spark, sf_dir))
+    found = {
+        name: plans.metrics(plans.fit(train, plans.classifiers()[name]).transform(test))
+        for name in ("LogisticRegression", "DecisionTree")
+    }
+    return plans.comparison_table(spark, found)
+
+
 @query("cancel_cv")
 def cancel_cv(spark, sf_dir):
     """Mean area under ROC of every point of the logistic regression's grid."""
