@@ -72,8 +72,8 @@ def test_roc_area(spark):
     pos = [s for label, s in scores if label == 1]
     neg = [s for label, s in scores if label == 0]
     wins = sum((p > n) + (p == n) / 2 for p in pos for n in neg)
-    for bins in (1, 4, 1000):
-        assert plans.roc_area(df, "score", bins).first()[0] == pytest.approx(
+    for limit in (1, 4, 1000):
+        assert plans.roc_area(df, "score", limit).first()[0] == pytest.approx(
             wins / len(pos) / len(neg)
         )
 

@@ -1,4 +1,5 @@
 import random
+from statistics import median
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,10 +68,21 @@ def test_against_the_definition(spark, seed):
     assert empties(spark, rows) == sorted((t, x, n) for (t, x), n in expected.items())
 
 
-def test_medians(spark):
-    df = spark.createDataFrame([("e", v) for v in (1.0, 2.0, 2.0, 9.0, 9.5, 11.0)]
-                               + [("o", 3.0), ("o", 1.0), ("o", 2.0)], "g string, v double")
-    assert rows_of(exact_median(df, ["g"], "v", "m")) == [("e", 5.5), ("o", 2.0)]
+@pytest.mark.parametrize("limit", [1, 2, 1000])
+def test_medians(spark, limit):
+    rng = random.Random(5)
+    groups = {
+        "even": [1.0, 2.0, 2.0, 9.0, 9.5, 11.0], "odd": [3.0, 1.0, 2.0], "one": [4.5],
+        "same": [7.0] * 8, "gap": [1.0, None, 5.0, None], "none": [None, None],
+        "many": [float(rng.randrange(-50, 50)) for _ in range(301)],
+    }
+    rows = [(g, v) for g, values in groups.items() for v in values]
+    df = spark.createDataFrame([*rows, (None, 2.5)], "g string, v double")
+    expected = {None: 2.5}
+    for g, values in groups.items():
+        known = [v for v in values if v is not None]
+        expected[g] = median(known) if known else None
+    assert dict(rows_of(exact_median(df, ["g"], "v", "m", limit))) == expected
 
 
 def test_cells_without_empty_taxis_come_last(spark):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from helpers import rows_of
 from wayfare.operators.sequence import neighbour, next_value, previous_value
+from wayfare.operators.totals import running_total
 
 
 @pytest.fixture(scope="module")
@@ -45,3 +46,18 @@ def test_empty(spark):
 def test_step_is_checked(events):
     with pytest.raises(ValueError):
         neighbour(events, ["key"], ["at"], "v", "near", 2)
+
+
+@pytest.mark.parametrize("limit", [1, 5, 10_000])
+def test_running_totals(spark, limit):
+    rng = random.Random(9)
+    values = {k: rng.sample(range(-500, 500), 60) for k in ("a", "b")}
+    rows = [(k, v / 4, abs(v) % 7) for k, vs in values.items() for v in vs]
+    df = spark.createDataFrame(rows, "key string, v double, n bigint")
+    found = running_total(df, ["key"], "v", "n", "below", "total", limit)
+    expected = [
+        (k, v, sum(n2 for k2, v2, n2 in rows if k2 == k and v2 < v),
+         sum(n2 for k2, _, n2 in rows if k2 == k))
+        for k, v, _ in rows
+    ]
+    assert rows_of(found, "key", "v", "below", "total") == sorted(expected)

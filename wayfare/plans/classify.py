@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from wayfare.operators.ranking import ranked
 from wayfare.operators.sampling import oversample, split_rows
+from wayfare.operators.skew import GROUP_ROWS
+from wayfare.operators.totals import running_total
 from wayfare.plans.flights import preprocess
 from wayfare.session import cut_lineage
 from wayfare.sources.files import read_csv_permissive
@@ -187,31 +189,20 @@ def class_report(predictions: DataFrame) -> DataFrame:
     return counts.select(F.inline(F.array(*rows)))
 
 
-def roc_area(predictions: DataFrame, score: str, bins: int = 1000) -> DataFrame:
-    """Exact area under the ROC curve of a score in [0, 1], as one row `auc`.
+def roc_area(predictions: DataFrame, score: str, limit: int = GROUP_ROWS) -> DataFrame:
+    """Exact area under the ROC curve of a numeric score, as one row `auc`.
 
-    Rank sums need a running total over all scores. Scores are counted, then summed in two
-    steps: within a bin, and over the at most bins + 1 bin totals.
+    Equal scores are counted first; running counts over the distinct scores are sliced
+    when there are very many.
     """
-    from pyspark.sql import Window
-
     counted = predictions.groupBy(F.col(score).alias("score")).agg(
         F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")
-    ).withColumn("bin", F.floor(F.col("score") * bins))
-    totals = counted.groupBy("bin").agg(F.sum("neg").alias("bin_neg"))
-    below_bin = totals.select(
-        "bin",
-        F.coalesce(
-            F.sum("bin_neg").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)),
-            F.lit(0),
-        ).alias("below_bin"),
     )
-    inside = Window.partitionBy("bin").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    placed = counted.withColumn(
-        "below", F.coalesce(F.sum("neg").over(inside), F.lit(0))
-    ).join(F.broadcast(below_bin), "bin")
+    placed = running_total(
+        counted.withColumn("line", F.lit(0)), ["line"], "score", "neg", "below", "all_neg", limit
+    )
     # twice the area times pairs, in whole numbers: a tie counts half a win
-    won = F.sum(F.col("pos") * (2 * (F.col("below") + F.col("below_bin")) + F.col("neg")))
+    won = F.sum(F.col("pos") * (2 * F.col("below") + F.col("neg")))
     return placed.agg(
         F.try_divide(won.cast("double"), (2 * F.sum("pos") * F.sum("neg")).cast("double")).alias(
             "auc"

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB_PROVIDER = (
     "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 )
@@ -26,11 +27,17 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Set the runtime options every plan assumes. Safe to call again and again.
 
     Times are handled in UTC. Shuffle sizing and skewed sort-merge joins are left to
-    adaptive execution, so no partition number is fixed here.
+    adaptive execution, so no partition number is fixed here. Streaming state lives in
+    RocksDB, outside the heap, unless the session names another store.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    if not spark.conf.get(STATE_STORE, ""):
+        spark.conf.set(STATE_STORE, ROCKSDB_PROVIDER)
+        spark.conf.set(
+            "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true"
+        )
     return spark
 
 
