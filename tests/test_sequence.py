@@ -38,6 +38,15 @@ def test_all_at_one_second(spark):
     assert rows_of(found, "id", "after") == sorted([(i, i + 1) for i in range(39)] + [(39, None)])
 
 
+@pytest.mark.parametrize("limit", [4, 10_000])
+def test_one_line_without_keys(spark, limit):
+    df = spark.range(0, 90, 3).select((F.col("id") * 7 % 90).alias("at"), "id")
+    found = previous_value(df, [], ["at"], "at", "before", limit)
+    order = sorted(r["at"] for r in df.collect())
+    expected = dict(zip(order, [None, *order]))
+    assert dict(rows_of(found, "at", "before")) == expected
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "key string, at bigint, id bigint")
     assert previous_value(df, ["key"], ["at", "id"], "id", "before").count() == 0

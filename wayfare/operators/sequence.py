@@ -25,7 +25,9 @@ def neighbour(
     """Add `out`: `value` of the row before (step=-1) or after (step=1) within `keys`.
 
     `order` lists columns that order the rows totally; the first is a whole number of
-    seconds and is what hot keys are sliced by. NULL keys form one group.
+    seconds and is what hot keys are sliced by. NULL keys form one group. Without keys all
+    rows are one time line. `df` is read once more to count its keys, and again if a key is
+    hot, so write a costly `df` first.
     """
     if step not in (-1, 1):
         raise ValueError("step must be -1 (previous) or 1 (next)")

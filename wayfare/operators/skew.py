@@ -18,7 +18,12 @@ def same(left: DataFrame, right: DataFrame, names) -> Column:
 
 
 def attach_small(df: DataFrame, small: DataFrame, on) -> DataFrame:
-    """Left join, NULL keys included, with a table proven to be small."""
+    """Left join, NULL keys included, with a table proven to be small.
+
+    Without keys `small` has at most one row, and its columns are scalar subqueries.
+    """
+    if not on:
+        return df.withColumns({c: small.select(c).scalar() for c in small.columns})
     aliased = small.select(*[F.col(n).alias(f"__k_{n}") for n in on],
                            *[c for c in small.columns if c not in on])
     condition = reduce(

@@ -16,7 +16,7 @@ def running_total(df: DataFrame, keys, order: str, amount: str, below: str, tota
                   limit: int = GROUP_ROWS) -> DataFrame:
     """Add the sum of `amount` over lower values of `order` within `keys`, and over all.
 
-    `order` is a number and unique within a key.
+    `order` is a number and unique within a key. Without keys all rows are one line.
     """
     keys = list(keys)
     value = F.col(order)

@@ -198,9 +198,7 @@ def roc_area(predictions: DataFrame, score: str, limit: int = GROUP_ROWS) -> Dat
     counted = predictions.groupBy(F.col(score).alias("score")).agg(
         F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")
     )
-    placed = running_total(
-        counted.withColumn("line", F.lit(0)), ["line"], "score", "neg", "below", "all_neg", limit
-    )
+    placed = running_total(counted, [], "score", "neg", "below", "all_neg", limit)
     # twice the area times pairs, in whole numbers: a tie counts half a win
     won = F.sum(F.col("pos") * (2 * F.col("below") + F.col("neg")))
     return placed.agg(

@@ -20,6 +20,7 @@ from wayfare.operators.cleaning import located_trips, non_loops
 from wayfare.operators.intervals import counts_at_ticks
 from wayfare.operators.ranking import pad_ranks, ranked, top_k, widen_ranks
 from wayfare.operators.sequence import previous_value
+from wayfare.session import cut_lineage
 
 WINDOW_SECONDS = 30 * 60
 TOP = 10
@@ -172,7 +173,7 @@ def rolling_changes(df: DataFrame, k: int = TOP) -> DataFrame:
     sets = rolling_ranks(df, k).filter(route.isNotNull()).groupBy("tick").agg(
         F.array_join(F.sort_array(F.collect_list(route)), ",").alias("routes")
     )
-    keyed = sets.withColumn("__line", F.lit(0))
-    linked = previous_value(keyed, ["__line"], ["tick"], "routes", "previous_routes")
+    # one short row a minute, but dear to work out: written once for the passes below
+    linked = previous_value(cut_lineage(sets), [], ["tick"], "routes", "previous_routes")
     changed = linked.filter(~F.col("routes").eqNullSafe(F.col("previous_routes")))
     return changed.select("tick", "routes")
