@@ -22,10 +22,10 @@ _ONE_CELL = f"""
 # the shapes come in as an argument: a lambda must not hold a subquery
 _BOROUGH_AMONG = """
     CREATE OR REPLACE TEMPORARY FUNCTION borough_among(lon DOUBLE, lat DOUBLE, shapes ARRAY<STRUCT<
-        ordinal: INT, borough: STRING,
+        ordinal: INT, borough: STRING, west: DOUBLE, east: DOUBLE,
         edges: ARRAY<STRUCT<x1: DOUBLE, y1: DOUBLE, x2: DOUBLE, y2: DOUBLE>>>>) RETURNS STRING
     RETURN coalesce(
-        get(filter(shapes, s -> aggregate(s.edges, 0, (n, e) -> n + if(
+        get(filter(shapes, s -> lon BETWEEN s.west AND s.east AND aggregate(s.edges, 0, (n, e) -> n + if(
             (e.y1 > lat) != (e.y2 > lat)
             AND lon < try_divide(e.x2 - e.x1, e.y2 - e.y1) * (lat - e.y1) + e.x1,
             1, 0)) % 2 = 1), 0).borough,

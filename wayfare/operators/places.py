@@ -23,7 +23,7 @@ def slab_number(latitude: Column, height: float = SLAB_DEGREES) -> Column:
 
 
 def slab_index(edges: DataFrame, height: float = SLAB_DEGREES) -> DataFrame:
-    """`(slab, shapes array<struct<ordinal, borough, edges>>)` from polygon edges.
+    """`(slab, shapes array<struct<ordinal, borough, west, east, edges>>)` from polygon edges.
 
     `edges` has the columns ordinal, borough, x1, y1, x2, y2. Several features of one
     name stay apart and all count.
@@ -38,11 +38,17 @@ def slab_index(edges: DataFrame, height: float = SLAB_DEGREES) -> DataFrame:
         ),
     )
     per_shape = pieces.groupBy("slab", "ordinal", "borough").agg(
-        F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges")
-    )
-    return per_shape.groupBy("slab").agg(
-        F.sort_array(F.collect_list(F.struct("ordinal", "borough", "edges"))).alias("shapes")
+        F.min(F.least("x1", "x2")).alias("west"),
+        F.max(F.greatest("x1", "x2")).alias("east"),
+        F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"),
     )
+    listed = F.collect_list(F.struct("ordinal", "borough", "west", "east", "edges"))
+    return per_shape.groupBy("slab").agg(F.sort_array(listed).alias("shapes"))
+
+
+def holds(shape: Column, x: Column, y: Column) -> Column:
+    """Whether a shape's part of the slab holds the point; most are ruled out by west and east."""
+    return x.between(shape["west"], shape["east"]) & contains(shape["edges"], x, y)
 
 
 class Boroughs:
@@ -77,7 +83,7 @@ class Boroughs:
         else:
             joined = salted_join(placed, index, ["__slab"], "left")
         hit = F.get(
-            F.filter("shapes", lambda shape: contains(shape["edges"], x, y)), F.lit(0)
+            F.filter("shapes", lambda shape: holds(shape, x, y)), F.lit(0)
         )["borough"]
         name = F.coalesce(hit, F.lit("Unknown"))
         if not null_is_unknown:

@@ -101,9 +101,23 @@ def training_sets(df: DataFrame, ratio: float = 0.4, fraction: float = 0.7,
     return cut_lineage(oversample(train, ratio, seed=seed).hint("rebalance")), test
 
 
+def fit_all(train: DataFrame, estimators: dict) -> dict[str, PipelineModel]:
+    """Features and model in one fitted object per name, so that scoring needs nothing else.
+
+    All models learn from one set of vectors, which is kept while they do.
+    """
+    features = Pipeline(stages=feature_stages()).fit(train)
+    vectors = features.transform(train).select("features", "label").persist()
+    fitted = {
+        name: PipelineModel(stages=[*features.stages, estimator.fit(vectors)])
+        for name, estimator in estimators.items()
+    }
+    vectors.unpersist()
+    return fitted
+
+
 def fit(train: DataFrame, estimator) -> PipelineModel:
-    """Features and model in one fitted object, so that scoring needs nothing else."""
-    return Pipeline(stages=[*feature_stages(), estimator]).fit(train)
+    return fit_all(train, {"model": estimator})["model"]
 
 
 def tune(train: DataFrame, estimator, grid: dict[str, list], folds: int = 3,

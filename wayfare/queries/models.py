@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
@@ -119,6 +121,10 @@ def _fitted(spark, sf_dir, name: str):
     return plans.fit(train, plans.classifiers()[name]), test
 
 
+def _chosen(*names: str) -> dict:
+    return {name: plans.classifiers()[name] for name in names}
+
+
 def _model_query(key: str, name: str):
     @query(key)
     def model(spark, sf_dir):
@@ -138,10 +144,8 @@ _model_query("cancel_model_boosted", "GBT")
 def model_comparison(spark, sf_dir):
     """Metrics of two models trained and tested on the same rows."""
     train, test = plans.training_sets(_past(spark, sf_dir))
-    found = {
-        name: plans.metrics(plans.fit(train, plans.classifiers()[name]).transform(test))
-        for name in ("LogisticRegression", "DecisionTree")
-    }
+    fitted = plans.fit_all(train, _chosen("LogisticRegression", "DecisionTree"))
+    found = {name: plans.metrics(model.transform(test)) for name, model in fitted.items()}
     return plans.comparison_table(spark, found)
 
 
@@ -183,14 +187,10 @@ def feature_importance(spark, sf_dir):
 
 def _importances(spark, train, models):
     tables = []
-    for name in models:
-        fitted = plans.fit(train, plans.classifiers()[name])
+    for name, fitted in plans.fit_all(train, _chosen(*models)).items():
         names = plans.feature_names(fitted.transform(train))
         tables.append(plans.importances(spark, name, fitted.stages[-1], names))
-    table = tables[0]
-    for other in tables[1:]:
-        table = table.unionByName(other)
-    return table
+    return reduce(lambda a, b: a.unionByName(b), tables)
 
 
 @query("model_feature_rank")
