@@ -15,9 +15,4 @@ def crosses(edge: Column, x: Column, y: Column) -> Column:
 
 def contains(edges: Column, x: Column, y: Column) -> Column:
     """True when (x, y) lies in the region bounded by `edges`; holes work by themselves."""
-    crossings = F.aggregate(
-        edges,
-        F.lit(0),
-        lambda n, edge: n + F.when(crosses(edge, x, y), F.lit(1)).otherwise(F.lit(0)),
-    )
-    return crossings % 2 == 1
+    return F.size(F.filter(edges, lambda edge: crosses(edge, x, y))) % 2 == 1
