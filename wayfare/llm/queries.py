@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfare.llm import decontaminate as bench
-from wayfare.llm import language, packing, quality, sharding, token_files, urls, warc
+from wayfare.llm import language, packing, quality, repeats, sharding, token_files, urls, warc
 from wayfare.llm.common import table
 from wayfare.llm.tokens import vocabulary
 from wayfare.session import scratch_path
@@ -60,6 +60,14 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without repeated strings of 200 bytes."""
+    found = repeats.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+                        F.col("found.removed").alias("n_removed"), "found.n_spans",
+                        F.sha2("found.kept", 256).alias("kept_sha256"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict for every document."""
     found = quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
