@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfare.llm import decontaminate as bench
-from wayfare.llm import language, packing, quality, repeats, sharding, token_files, urls, warc
+from wayfare.llm import language, ngram_join, packing, quality, repeats, sharding, token_files, urls, warc
 from wayfare.llm.common import table
 from wayfare.llm.tokens import vocabulary
 from wayfare.session import scratch_path
@@ -68,6 +68,12 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("found.kept", 256).alias("kept_sha256"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near-equal texts of every document and the number of its links."""
+    found = ngram_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "class_id", "n_links")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict for every document."""
     found = quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
