@@ -63,7 +63,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every text without repeated strings of 200 bytes."""
     found = repeats.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+    return found.select("doc_id", (F.octet_length("found.kept") + F.col("found.removed")).alias("n_bytes"),
                         F.col("found.removed").alias("n_removed"), "found.n_spans",
                         F.sha2("found.kept", 256).alias("kept_sha256"))
 

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +33,8 @@ from wayfare.llm.words import powers
 
 LENGTH = 200
 GRAM = 8
-SHARD_BYTES = 2 << 20
-CORE_BYTES = 1 << 19  # of different segments with one core that a shard may get
+SHARD_BYTES = 1 << 20
+CORE_BYTES = 1 << 18  # of different segments with one core that a shard may get
 WIDTHS = (48, 24, 12, 6, 3, 1)  # strings per run when a crowded core is split
 _BYTES = random_words(256, 5)
 _INVERSE = np.uint64(pow(int(powers(2)[1]), -1, 1 << 64))
@@ -120,12 +121,24 @@ def run_column(length: int):
     return find
 
 
+@vectorized("binary")
+def squeezed(text: pa.Array) -> pa.Array:
+    """Texts packed for a shuffle; they are only unpacked where Python works on them anyway."""
+    pack = zstandard.ZstdCompressor(level=3)
+    return pa.array([None if t is None else pack.compress(t.encode()) for t in text.to_pylist()],
+                    pa.binary())
+
+
+def _unpacked(data: bytes | None) -> bytes:
+    return b"" if data is None else zstandard.ZstdDecompressor().decompress(data)
+
+
 def segment_column(length: int):
     @vectorized("array<struct<core:bigint,first:int,anchor:int,seg:binary>>")
-    def cut(text: pa.Array, chosen: pa.Array) -> pa.Array:
+    def cut(packed: pa.Array, chosen: pa.Array) -> pa.Array:
         out = []
-        for value, spans in zip(text.to_pylist(), chosen.to_pylist()):
-            data = (value or "").encode()
+        for value, spans in zip(packed.to_pylist(), chosen.to_pylist()):
+            data = _unpacked(value)
             out.append([(s["core"], s["first"], s["anchor"] - s["first"], data[s["first"]:s["last"] + length])
                         for s in spans])
         return pa.array([[dict(zip(("core", "first", "anchor", "seg"), s)) for s in row] for row in out],
@@ -222,8 +235,9 @@ def repeated_spans(docs: DataFrame, text_col: str, id_col: str, length: int = LE
     # collect_set: equal rows have equal keys and each brings its runs again below
     chosen = (flat.join(twice, "core", "left_semi").groupBy("ka", "kb")
               .agg(F.collect_set(F.struct("core", "anchor", "first", "last")).alias("chosen")))
-    cut = (rows.join(chosen, ["ka", "kb"])
-           .select("ka", "kb", F.explode(segment_column(length)("text", "chosen")).alias("s")))
+    packed = rows.select("ka", "kb", squeezed("text").alias("packed"))
+    cut = (packed.join(chosen, ["ka", "kb"])
+           .select("ka", "kb", F.explode(segment_column(length)("packed", "chosen")).alias("s")))
     segments = written(cut.select("ka", "kb", "s.core", F.xxhash64("s.seg").alias("h"), "s.first",
                                   "s.anchor", "s.seg"), "segments")
     different = written(segments.groupBy("core", "h", "anchor", "seg")
@@ -248,15 +262,12 @@ def repeated_spans(docs: DataFrame, text_col: str, id_col: str, length: int = LE
 
 def kept_column(length: int):
     @vectorized("struct<removed:bigint,n_spans:bigint,kept:binary>")
-    def keep(text: pa.Array, spans: pa.Array) -> pa.Array:
+    def keep(packed: pa.Array, spans: pa.Array) -> pa.Array:
         out = []
-        for value, found in zip(text, spans):
-            if not value.is_valid or not found.is_valid:
-                out.append(None)
-                continue
-            data = np.frombuffer(value.as_py().encode(), np.uint8)
+        for value, found in zip(packed.to_pylist(), spans):
+            data = np.frombuffer(_unpacked(value), np.uint8)
             depth = np.zeros(len(data) + 1, np.int32)
-            for s in found.as_py():
+            for s in found.as_py() or ():
                 depth[s["a"]] += 1
                 depth[s["b"] + length] -= 1
             gone = np.cumsum(depth)[:-1] > 0
@@ -270,15 +281,16 @@ def kept_column(length: int):
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     length: int = LENGTH, found: str = "found", **sizes) -> DataFrame:
-    """`docs` with a struct `found`: removed bytes, removed runs, and the remaining bytes."""
+    """`docs` with `was_text` (the text was not NULL) in place of the text and a struct `found`:
+    removed bytes, removed runs, and the remaining bytes."""
     spans = repeated_spans(docs, text_col, id_col, length, **sizes)
-    packed = docs.select(F.struct(*docs.columns).alias("doc"), *row_key(id_col, text_col),
-                         F.col(text_col).alias("body"))
-    joined = packed.join(spans, ["ka", "kb"], "left")
-    cut = kept_column(length)(F.when(F.col("spans").isNotNull(), F.col("body")), F.col("spans"))
-    whole = F.struct(F.lit(0).cast("long").alias("removed"), F.lit(0).cast("long").alias("n_spans"),
-                     F.coalesce(F.col("body").cast("binary"), F.lit(b"")).alias("kept"))
-    return joined.select("doc.*", F.coalesce(cut, whole).alias(found))
+    others = [c for c in docs.columns if c != text_col]
+    packed = docs.select(F.struct(F.lit(0), *others).alias("doc"), *row_key(id_col, text_col),
+                         squeezed(text_col).alias("packed"))
+    cut = packed.join(spans, ["ka", "kb"], "left").withColumn(
+        found, kept_column(length)("packed", "spans"))
+    return cut.select(*[F.col("doc").getField(c).alias(c) for c in others],
+                      F.col("packed").isNotNull().alias("was_text"), found)
 
 
 def as_text(kept: str):
