@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
+from functools import cache
 from pathlib import Path
 
 import numpy as np
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from wayfare.session import prepare, scratch_path
 
 BATCH_ROWS = 1000
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 19
 
 
 _shipped: set[str] = set()
@@ -47,11 +49,13 @@ def tuned(spark: SparkSession) -> SparkSession:
 def vectorized(kind: str):
     """Make a function over Arrow arrays a column function of this type.
 
-    The type is parsed on use, since workers import these modules without a session.
+    The type is parsed on use, since workers import these modules without a session. The optimizer
+    must not copy the call into filters it infers or pushes down, which would do the work twice;
+    calling it nondeterministic, though it is not, says so.
     """
     def wrap(function):
         def column(*columns):
-            return F.arrow_udf(function, returnType=kind)(*columns)
+            return F.arrow_udf(function, returnType=kind).asNondeterministic()(*columns)
 
         return column
 
@@ -98,6 +102,22 @@ def pieces(column: pa.Array, limit: int = PIECE_BYTES):
         stop = min(max(stop, begin + 1), rows)
         yield data[ends[begin]:ends[stop]], ends[begin:stop + 1] - ends[begin]
         begin = stop
+    give_back()
+
+
+@cache
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers live on and share the executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if _libc() is not None:
+        _libc().malloc_trim(0)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -22,7 +22,7 @@ WINDOW = 10
 BROADCAST_BYTES = 32 << 20  # of item texts in one scan; a larger benchmark takes more scans
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_STATE = "n_words long, from_word array<int>, to_word array<int>, items array<string>"
+_STATE = "n_words long, from_word array<int>, to_word array<int>, items array<string>, rest string"
 
 
 class WindowSet:
@@ -101,15 +101,21 @@ def scanner(window_set):
             first, last = _runs(hit, words.rows)
             rows = words.rows[first]
             counts = np.bincount(rows, minlength=n)
+            keep = np.ones(len(data), bool)
+            for a, b in zip(words.starts[first].tolist(), words.ends[last - 1].tolist()):
+                keep[a:b] = False
+            rest = [data[a:b][keep[a:b]].tobytes().decode() if hits else None
+                    for a, b, hits in zip(borders[:-1].tolist(), borders[1:].tolist(), counts.tolist())]
             out.append((words.counts, first - begin[rows], last - begin[rows], counts,
-                        [sorted(x) for x in items]))
+                        [sorted(x) for x in items], rest))
             row0 += n
         join = lambda i: np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.int64)
         return pa.StructArray.from_arrays(
             [pa.array(join(0), pa.int64()), lists(join(1), join(3), pa.int32()),
              lists(join(2), join(3), pa.int32()),
-             pa.array([x for part in out for x in part[4]], pa.list_(pa.string()))],
-            ["n_words", "from_word", "to_word", "items"])
+             pa.array([x for part in out for x in part[4]], pa.list_(pa.string())),
+             pa.array([x for part in out for x in part[5]], pa.string())],
+            ["n_words", "from_word", "to_word", "items", "rest"])
 
     return find
 
@@ -117,7 +123,8 @@ def scanner(window_set):
 def found_windows(docs: DataFrame, items: DataFrame, text_col: str = "text", size: int = WINDOW,
                   item_id: str = "item_id", item_text: str = "text", found: str = "found",
                   limit: int = BROADCAST_BYTES) -> DataFrame:
-    """`docs` with a struct `found`: n_words, runs of hit words, and the items that occur.
+    """`docs` with a struct `found`: n_words, runs of hit words, the items that occur, and, if any
+    does, the rest of the text without the bytes from the first to the last word of each run.
 
     The items are measured first. Up to `limit` bytes travel in one broadcast and the documents
     are scanned without any shuffle; a larger benchmark is divided and scanned part by part, each
@@ -142,22 +149,6 @@ def hit_words(found: str = "found"):
     return F.aggregate(spans, F.lit(0).cast("long"), lambda total, n: total + n)
 
 
-@vectorized("string")
-def without_words(text: pa.Array, found: pa.Array) -> pa.Array:
-    """The text without the bytes from the first to the last word of each run."""
-    out = []
-    for value, state in zip(text.to_pylist(), found.to_pylist()):
-        if value is None or not state["from_word"]:
-            out.append(value)
-            continue
-        data, borders = utf8(pa.array([value]))
-        words, keep = scan(data, borders, ALPHANUMERIC), np.ones(len(data), bool)
-        for a, b in zip(state["from_word"], state["to_word"]):
-            keep[words.starts[a]:words.ends[b - 1]] = False
-        out.append(data[keep].tobytes().decode())
-    return pa.array(out, pa.string())
-
-
 def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text",
                   drop_share: float = 0.5, **options) -> DataFrame:
     """Documents without the benchmark: hit spans are cut out, and a document of which at least
@@ -166,6 +157,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text",
     scanned = found_windows(packed, items, "body", **options)
     n = hit_words()
     kept = scanned.filter((n == 0) | (n < F.lit(drop_share) * F.col("found.n_words")))
-    text = F.when(F.size("found.from_word") > 0, without_words("body", "found")).otherwise(F.col("body"))
+    text = F.coalesce("found.rest", "body")
     return kept.select(*[text.alias(c) if c == text_col else F.col("doc").getField(c).alias(c)
                          for c in docs.columns])

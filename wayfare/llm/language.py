@@ -79,7 +79,7 @@ def _train(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 class Parser:
-    """The automata of all languages in one table: next state and whether a phrase ends."""
+    """The automata of all languages in one table: next state and whether a phrase begins."""
 
     def __init__(self, rows):
         rows = sorted(rows, key=lambda r: r["lang"])
@@ -98,8 +98,10 @@ class Parser:
             states = int(moves[:, [0, 2]].max()) + 1
             table = np.full((states, self.width), -1, np.int64)
             table[moves[:, 0], code[moves[:, 1]]] = moves[:, 2]
-            root = np.where(table[0] < 0, 0, table[0])  # a symbol the sample lacks is a phrase
+            # at the root a phrase begins; a symbol that the sample lacks is one by itself
+            root = np.where(table[0] < 0, 0, table[0])
             table = np.where(table < 0, (total + root) * 2 + 1, (total + table) * 2)
+            table[0] |= 1
             tables.append(table.astype(np.int32))
             self.roots.append(total)
             total += states
@@ -119,15 +121,15 @@ class Parser:
             return count
         codes = np.concatenate([self.code[data], np.zeros(BLOCK, np.uint8)])
         state = np.repeat(np.array(self.roots, np.int32)[:, None], len(row), 1)
-        ended = np.ones(state.shape, np.int32)  # the last phrase ends with its block
+        begun = np.zeros(state.shape, np.int32)
         active = np.searchsorted(-size, -np.arange(int(size[0])), "left")
         for step in range(int(size[0])):
             n = int(active[step])
             move = self.table[state[:, :n] * self.width + codes[start[:n] + step]]
-            ended[:, :n] += move & 1
+            begun[:, :n] += move & 1
             state[:, :n] = move >> 1
         for i in range(len(self.names)):
-            count[i] = np.bincount(row, ended[i], len(lengths))
+            count[i] = np.bincount(row, begun[i], len(lengths))
         return count
 
 
@@ -160,7 +162,7 @@ def identify(docs: DataFrame, trained: list, text_col: str = "text", lang: str =
     @vectorized("lang string, score double")
     def predict(text: pa.Array) -> pa.Array:
         parser, names, scores = known.value, [], []
-        for data, borders in pieces(text, 4 << 20):
+        for data, borders in pieces(text, 1 << 20):
             folded = _FOLD[data]
             if parser is None:
                 names += [None] * (len(borders) - 1)

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import lists, mixed, pieces, random_words, row_key, utf8, vectorized, written
+from wayfare.llm.common import give_back, lists, mixed, pieces, random_words, row_key, utf8, vectorized, written
 from wayfare.llm.suffix_array import repeated_starts
 from wayfare.llm.words import powers
 
@@ -167,6 +167,7 @@ def shard_decision(length: int):
         twice = shard.column("n").to_numpy() > 1
         hits = [_stretches(f | t) for f, t in zip(found, twice)]
         some = np.flatnonzero([bool(h) for h in hits])
+        give_back()
         keep = shard.select(["core", "h"]).take(pa.array(some))
         return pa.table([*keep.columns, pa.array([hits[i] for i in some], _HITS)], schema=_FOUND)
 
@@ -207,17 +208,17 @@ def _crowded(segments: DataFrame, length: int) -> DataFrame:
     for width in WIDTHS:
         parts = pending.withColumn("p", F.explode(_split(length, width)("seg", "anchor", "a", "b")))
         parts = written(parts.select("core", "h", "n", "seg", "anchor", "p.*"), f"split{width}")
-        same = parts.groupBy("core2", "h2").agg(F.sum("n").alias("same"))
-        alike = same.groupBy("core2").agg(F.sum("same").alias("alike"))
-        # few of the many cores occur twice
-        parts = (parts.join(same.filter("same > 1"), ["core2", "h2"], "left")
-                 .join(alike.filter("alike > 1"), "core2"))
-        parts = written(parts.withColumn("again", F.col("same").isNotNull()).drop("same", "alike"),
-                        f"level{width}")
-        hits = parts.filter("again").select("core", "h", F.array(F.struct("a", "b")).alias("hits"))
+        same = written(parts.groupBy("core2", "h2").agg(F.sum("n").alias("same")), f"same{width}")
+        again = parts.join(same.filter("same > 1"), ["core2", "h2"], "left_semi")
+        hits = again.select("core", "h", F.array(F.struct("a", "b")).alias("hits"))
         found = hits if found is None else found.unionByName(hits)
-        pending = parts.filter("not again").select("core", "h", "n", "seg", "anchor", "a", "b")
-        if width == 1 or pending.isEmpty():
+        # cores with different runs go on; of equal runs one stays as the partner of the others
+        mixed_cores = same.groupBy("core2").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+        fields = ["core", "h", "n", "seg", "anchor", "a", "b"]
+        pending = (parts.join(mixed_cores, "core2", "left_semi").groupBy("core2", "h2")
+                   .agg(F.min_by(F.struct(*fields), F.struct("core", "h", "a")).alias("one"))
+                   .select("one.*"))
+        if width == WIDTHS[-1] or mixed_cores.isEmpty():
             return found
     return found
 

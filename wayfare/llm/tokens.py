@@ -23,7 +23,7 @@ from wayfare.llm.words import powers
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
 
-KNOWN = 2_000_000
+KNOWN = 800_000
 _JOINED = 512
 _BYTES = random_words(256, 23)
 ODD, LETTER, NUMBER, MARK, SPACE, LINE = range(6)
