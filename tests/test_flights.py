@@ -29,19 +29,21 @@ def test_constant_flags_have_no_correlation(gaps):
     assert found["half", "word"] == pytest.approx(0.57735, abs=1e-5)
 
 
-def test_strategy():
+def test_strategy(spark):
     def row(name, percent, kind="double"):
-        return {"column": name, "missing_percent": percent, "data_type": kind}
+        return name, float(percent), kind
 
-    chosen = plans.choose_strategy([
+    profile = spark.createDataFrame([
         row("a", 0.0), row("b", 90.1), row("AIR_TIME", 1.0), row("CANCELLATION_CODE", 50, "string"),
         row("X_DELAY", 50), row("c", 4.9), row("d", 5.0), row("e", 19.9, "int"), row("f", 20.0),
         row("g", 90.0), row("h", 3, "string"), row("i", 3, "date"),
-    ])
+        row("j", 3, "bigint"), row("k", 10, "float"), row("l", 30, "decimal(10,2)"),
+    ], "column string, missing_percent double, data_type string")
+    chosen = dict(plans.strategies(profile).collect())
     assert chosen == {
         "b": "drop", "AIR_TIME": "drop", "CANCELLATION_CODE": "keep_missing",
         "X_DELAY": "fill_zero", "c": "mean", "d": "median", "e": "median", "f": "zero",
-        "g": "zero", "h": "mode", "i": "keep",
+        "g": "zero", "h": "mode", "i": "keep", "j": "mean", "k": "median", "l": "zero",
     }
 
 

@@ -44,13 +44,23 @@ def class_sizes(df: DataFrame, label: str = "label") -> tuple[int, int]:
 
 
 def oversample(df: DataFrame, ratio: float = 0.5, label: str = "label", seed: int = 42) -> DataFrame:
-    """Repeat rows of class 1 at random until they are about `ratio` times class 0."""
+    """Repeat rows of class 1 until they are about `ratio` times class 0.
+
+    Every row gets the whole part of the factor. The rest falls on rows by a fraction fixed by their
+    content; of equal rows, which are counted first, the due share gets it. So a re-run, also on
+    another layout, makes the same rows.
+    """
     n0, n1 = class_sizes(df, label)
     if n1 == 0:
         return df
-    factor = int(n0 * ratio) / n1
-    minority = df.filter(F.col(label) == 1).sample(True, factor, seed)
-    return df.filter(F.col(label) == 0).unionByName(minority)
+    whole, rest = divmod(int(n0 * ratio) / n1, 1)
+    minority, columns = df.filter(F.col(label) == 1), [F.col(c) for c in df.columns]
+    again = minority.groupBy(*columns).agg(F.count(F.lit(1)).alias("__rows")).withColumn(
+        "__more", F.floor(F.col("__rows") * rest + row_fraction(columns, seed)).cast("int"))
+    more = again.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__more"))))
+    repeated = minority.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.lit(int(whole)))))
+    return (df.filter(F.col(label) == 0).unionByName(repeated.drop("__copy"))
+            .unionByName(more.drop("__rows", "__more", "__copy")))
 
 
 def class_weights(df: DataFrame, ratio: float = 0.5, label: str = "label",

@@ -31,6 +31,7 @@ from wayfare.sources.files import read_csv_permissive
 CATEGORICAL = ["ORIGIN", "DEST", "DayOfWeek", "Month"]
 NUMERIC = ["DISTANCE", "CRSDepTime", "CRSArrTime", "CRSElapsedTime"]
 
+# The columns of scored files.
 SCORED_COLUMNS = ["FL_DATE", "UniqueCarrier", "FlightNum", "ORIGIN", "DEST", "prediction"]
 
 
@@ -127,7 +128,9 @@ def tune(train: DataFrame, estimator, grid: dict[str, list], folds: int = 3,
     validator = CrossValidator(
         estimator=estimator,
         estimatorParamMaps=param_grid(estimator, grid),
-        evaluator=BinaryClassificationEvaluator(metricName="areaUnderROC"),
+        evaluator=BinaryClassificationEvaluator(
+            rawPredictionCol="probability", metricName="areaUnderROC"
+        ),
         numFolds=folds,
         parallelism=parallelism,
         seed=seed,
@@ -137,7 +140,9 @@ def tune(train: DataFrame, estimator, grid: dict[str, list], folds: int = 3,
 
 
 def metrics(predictions: DataFrame) -> dict[str, float]:
-    """Accuracy, weighted precision and recall, F1, and area under ROC of the raw scores.
+    """Accuracy, weighted precision and recall, F1, and area under ROC of the probability.
+
+    The raw scores of a decision tree are counts in its leaves and do not rank rows.
 
     All but the area follow from the few counts of (label, prediction).
     """
@@ -154,7 +159,7 @@ def metrics(predictions: DataFrame) -> dict[str, float]:
         found["recall"] += share * hit / support
         found["f1"] += share * 2 * hit / (guessed + support)
     area = BinaryClassificationEvaluator(
-        labelCol="label", rawPredictionCol="rawPrediction", metricName="areaUnderROC"
+        labelCol="label", rawPredictionCol="probability", metricName="areaUnderROC"
     )
     return found | {"auc_roc": area.evaluate(predictions)}
 

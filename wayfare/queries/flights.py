@@ -210,7 +210,7 @@ def _strategy_sql() -> str:
             WHEN missing_percent > 90 OR "column" IN ({leaks}) THEN 'drop'
             WHEN "column" = 'CANCELLATION_CODE' THEN 'keep_missing'
             WHEN "column" LIKE '%\\_DELAY' ESCAPE '\\' THEN 'fill_zero'
-            WHEN data_type IN ('double', 'int') THEN CASE WHEN missing_percent < 5 THEN 'mean'
+            WHEN data_type IN ('double', 'float', 'int', 'bigint') THEN CASE WHEN missing_percent < 5 THEN 'mean'
                 WHEN missing_percent < 20 THEN 'median' ELSE 'zero' END
             WHEN data_type = 'string' THEN 'mode' ELSE 'keep' END AS strategy
         FROM profile WHERE missing_percent > 0)"""
@@ -219,10 +219,7 @@ def _strategy_sql() -> str:
 @query("imputation_strategy", ctes(
     FLIGHTS, _profile_sql("flights", KINDS, "profile"), _strategy_sql()) + "SELECT * FROM strategy")
 def imputation_strategy(spark, sf_dir):
-    found = missing_profile(_flights(spark, sf_dir)).collect()  # one row per column
-    return spark.createDataFrame(
-        list(plans.choose_strategy(found).items()), "column string, strategy string"
-    )
+    return plans.strategies(missing_profile(_flights(spark, sf_dir)))
 
 
 @query("imputed", ctes(FLIGHTS) + f"""

@@ -116,8 +116,8 @@ def feature_vectors(spark, sf_dir):
     return features.groupBy("label", width).agg(F.count(F.lit(1)).alias("flights"))
 
 
-def _fitted(spark, sf_dir, name: str):
-    train, test = plans.training_sets(_past(spark, sf_dir))
+def _fitted(spark, sf_dir, name: str, rows=_prepared):
+    train, test = plans.training_sets(rows(spark, sf_dir))
     return plans.fit(train, plans.classifiers()[name]), test
 
 
@@ -143,7 +143,7 @@ _model_query("cancel_model_boosted", "GBT")
 @query("model_comparison")
 def model_comparison(spark, sf_dir):
     """Metrics of two models trained and tested on the same rows."""
-    train, test = plans.training_sets(_past(spark, sf_dir))
+    train, test = plans.training_sets(_prepared(spark, sf_dir))
     fitted = plans.fit_all(train, _chosen("LogisticRegression", "DecisionTree"))
     found = {name: plans.metrics(model.transform(test)) for name, model in fitted.items()}
     return plans.comparison_table(spark, found)
@@ -152,7 +152,7 @@ def model_comparison(spark, sf_dir):
 @query("cancel_cv")
 def cancel_cv(spark, sf_dir):
     """Mean area under ROC of every point of the logistic regression's grid."""
-    train, _ = plans.training_sets(_past(spark, sf_dir))
+    train, _ = plans.training_sets(_prepared(spark, sf_dir))
     grid = plans.GRIDS["LogisticRegression"]
     _, areas = plans.tune(train, plans.classifiers()["LogisticRegression"], grid)
     rows = [(float(p), float(a)) for p, a in zip(grid["regParam"], areas)]
@@ -161,7 +161,7 @@ def cancel_cv(spark, sf_dir):
 
 @query("cancel_cv_tree")
 def cancel_cv_tree(spark, sf_dir):
-    train, _ = plans.training_sets(_past(spark, sf_dir))
+    train, _ = plans.training_sets(_prepared(spark, sf_dir))
     grid = plans.GRIDS["DecisionTree"]
     _, areas = plans.tune(train, plans.classifiers()["DecisionTree"], grid)
     rows = [(int(p), float(a)) for p, a in zip(grid["maxDepth"], areas)]
@@ -171,7 +171,7 @@ def cancel_cv_tree(spark, sf_dir):
 @query("score")
 def score(spark, sf_dir):
     """Train on earlier flights, save, load, score the later ones."""
-    fitted, _ = _fitted(spark, sf_dir, "DecisionTree")
+    fitted, _ = _fitted(spark, sf_dir, "DecisionTree", rows=_past)
     place = scratch_path(spark, "model")
     plans.save_model(fitted, place)
     return plans.score(
@@ -181,7 +181,7 @@ def score(spark, sf_dir):
 
 @query("feature_importance")
 def feature_importance(spark, sf_dir):
-    train, _ = plans.training_sets(_past(spark, sf_dir))
+    train, _ = plans.training_sets(_prepared(spark, sf_dir))
     return _importances(spark, train, ["DecisionTree"])
 
 
@@ -197,7 +197,7 @@ def _importances(spark, train, models):
 def model_feature_rank(spark, sf_dir):
     """Features by their mean rank in a linear and a tree model."""
     models = ["LogisticRegression", "DecisionTree"]
-    train, _ = plans.training_sets(_past(spark, sf_dir))
+    train, _ = plans.training_sets(_prepared(spark, sf_dir))
     table = _importances(spark, train, models)
     return plans.feature_ranking(plans.top_features(table, 10), models)
 
