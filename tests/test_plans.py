@@ -66,13 +66,17 @@ def test_only_needed_columns_are_read(stored):
     needed = {"medallion", "pickup_unix", "dropoff_unix", "trip_id"}
     for scan in scans(plan_of(trip_plans.taxi_utilization(stored))):
         assert read_columns(scan) <= needed
-    plan = plan_of(profit.empty_taxis(profit.with_250m_cells(stored)))
+    plan = plan_of(profit.empty_taxis(profit.with_end_cells(stored)))
     assert all("fare_amount" not in read_columns(scan) for scan in scans(plan))
 
 
-def test_counting_pass_reads_key_and_time_only(stored):
-    found = [read_columns(s) for s in scans(plan_of(trip_plans.taxi_utilization(stored)))]
-    assert {"medallion", "pickup_unix", "dropoff_unix"} in found
+def test_sampling_pass_moves_only_the_sample(stored):
+    """Keys are not counted: what is shuffled for the borders is filtered to the sample first."""
+    plan = plan_of(trip_plans.with_idle_time(stored))
+    assert "xxhash64(medallion" in plan and "partial_collect_list" in plan
+    needed = {"medallion", "pickup_unix", "dropoff_unix", "trip_id"}
+    scan = scans(plan_of(trip_plans.taxi_utilization(stored)))
+    assert all(read_columns(s) <= needed for s in scan)
 
 
 def test_top_k_is_trimmed_before_the_shuffle(stored):
@@ -89,5 +93,5 @@ def test_one_shuffle_of_trips_for_utilization(stored):
 
 
 def test_empty_taxis_merge_before_the_shuffle(stored):
-    plan = plan_of(profit.empty_taxis(profit.with_250m_cells(stored)))
+    plan = plan_of(profit.empty_taxis(profit.with_end_cells(stored)))
     assert "Window" not in plan and plan.count("partial_max") == 1

@@ -48,6 +48,25 @@ def test_unnamed_taxis_do_not_count(spark):
     assert empties(spark, [(None, 100, 900, 5)]) == []
 
 
+def test_pickup_clears_even_if_the_trip_ends_off_the_grid(spark):
+    rows = [("a", 100, 850, 5), ("a", 1000, 3000, None)]
+    found = plans.empty_taxis(placed(spark, rows))
+    assert rows_of(found, "tick", "cell_x", "empty_taxis") == [(900, 5, 1)]
+
+
+LAT, LON = 41.4, -74.8  # on the grid
+
+
+def test_end_cells(spark):
+    """A trip from or to elsewhere stays; one above the limit does not."""
+    rows = [(1, 0, 600, LAT, LON), (2, 0, 600, 10.0, LON), (3, 0, 14401, LAT, LON),
+            (4, 0, 14400, LAT, LON)]
+    df = spark.createDataFrame(rows, "trip_id bigint, pickup_unix bigint, dropoff_unix bigint,"
+                                     " dropoff_latitude double, dropoff_longitude double")
+    found = {r["trip_id"]: r["end_cell_x"] for r in plans.with_end_cells(df).collect()}
+    assert set(found) == {1, 2, 4} and found[2] is None and found[1] == found[4] is not None
+
+
 @pytest.mark.parametrize("seed", [3, 4])
 def test_against_the_definition(spark, seed):
     rng = random.Random(seed)
@@ -88,7 +107,7 @@ def test_medians(spark, limit):
 def test_cells_without_empty_taxis_come_last(spark):
     # cell 5 has an empty taxi at the tick, cell 7 has the higher fare and none
     rows = [("a", 100, 850, 5), ("b", 100, 800, 7), ("b", 850, 6000, 8)]
-    areas = plans.profitable_areas(placed(spark, rows)).filter(F.col("tick") == 900)
+    areas = plans.profitable_areas(placed(spark, rows), placed(spark, rows)).filter(F.col("tick") == 900)
     assert rows_of(areas, "rank", "cell_x", "empty_taxis", "profitability") == [
         (1, 5, 1, 0.0), (2, 7, 0, None)
     ]

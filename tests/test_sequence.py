@@ -5,6 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from helpers import rows_of
+from wayfare.operators.skew import attach_small, slice_borders, slice_number
 from wayfare.operators.sequence import neighbour, next_value, previous_value
 from wayfare.operators.totals import running_total
 
@@ -70,3 +71,19 @@ def test_running_totals(spark, limit):
         for k, v, _ in rows
     ]
     assert rows_of(found, "key", "v", "below", "total") == sorted(expected)
+
+
+@pytest.mark.parametrize("order", [["at", "id"], ["value"]])
+def test_slices_hold_equally_many_rows(spark, order):
+    """A burst, a tie of thousands and one outlier, as a time line and as values."""
+    limit, n = 1000, 40_000
+    burst = F.when(F.col("id") < n // 2, F.lit(5)).otherwise(F.col("id") % 700)
+    rows = spark.range(n).select(F.lit("hot").alias("key"), burst.alias("at"), "id",
+                                 F.exp(-F.col("id") / 1000.0).alias("value"))
+    far = spark.createDataFrame([("hot", 10**12, n, 1e9), ("cold", 1, n + 1, 0.5)], rows.schema)
+    df = rows.unionByName(far)
+    borders = slice_borders(df, ["key"], order, limit)
+    assert [r["key"] for r in borders.collect()] == ["hot"]
+    sizes = attach_small(df, borders, ["key"]).groupBy("key", slice_number(order)).count()
+    counts = [r["count"] for r in sizes.collect()]
+    assert max(counts) <= 2 * limit and len(counts) >= n // (2 * limit)

@@ -11,6 +11,7 @@ from wayfare.plans import routes as batch_routes
 from wayfare.session import scratch_path
 from wayfare.sources import derived, files, messages
 from wayfare.streaming import ingest, profit, routes
+from wayfare.streaming.feeds import run_changes
 from wayfare.streaming.run import (
     active_queries,
     append_table,
@@ -18,7 +19,11 @@ from wayfare.streaming.run import (
     console,
     drain,
     progress,
+    publish,
     read_complete,
+    read_published,
+    read_updates,
+    update_table,
 )
 
 HALF_HOUR = 1800
@@ -156,7 +161,7 @@ def test_profit_and_taxis_equal_batch(spark, trips, arriving):
     drain(append_table(profit.profitability_windows(stream(spark, arriving, trips)), table, checkpoint))
     columns = ["window_start", "cell_x", "cell_y", "median_fare_tip", "empty_taxis"]
     placed = batch_profit.with_250m_cells(trips)
-    taxis = batch_profit.taxis_by_cell(placed, exact=False).withColumnRenamed(
+    taxis = batch_profit.taxis_by_cell(placed).withColumnRenamed(
         "window_start", "empty_start"
     )
     joined = batch_profit.profit_by_cell(placed).withColumn(
@@ -175,19 +180,59 @@ def test_profit_changes(spark, trips, arriving):
 
 
 def test_empty_taxis_equal_batch(spark, trips, arriving):
-    """Trips longer than assumed may come too late, so only shorter ones are compared."""
-    short = F.col("trip_time_in_secs") <= 14400
+    """Trips of any length arrive; both leave out those above the limit."""
     table, checkpoint = places(spark)
-    source = stream(spark, arriving, trips).filter(short)
-    drain(append_table(profit.empty_taxi_ticks(source), table, checkpoint))
-    last = (latest(trips.filter(short)) + HALF_HOUR) // 900 * 900
-    expected = batch_profit.empty_taxis(batch_profit.with_250m_cells(trips.filter(short)))
+    drain(append_table(profit.empty_taxi_ticks(stream(spark, arriving, trips)), table, checkpoint))
+    ended = batch_profit.with_end_cells(trips)
+    last = (latest(ended) + HALF_HOUR) // 900 * 900
+    expected = batch_profit.empty_taxis(ended)
     columns = ["tick", "cell_x", "cell_y", "empty_taxis"]
     assert rows_of(files.read_table(spark, table), *columns) == rows_of(
         expected.filter(F.col("tick") <= last - 16200), *columns
     )
 
 
+def test_reader_is_not_disturbed_by_newer_versions(spark):
+    path = scratch_path(spark, "versions")
+    assert read_published(spark, path) is None
+    with pytest.raises(ValueError):
+        read_complete(spark, path)
+    publish(spark.range(3), path, 0)
+    reader = read_complete(spark, path)
+    for version in (1, 2):
+        publish(spark.range(10 * version), path, version)
+        assert read_complete(spark, path).count() == 10 * version
+    assert reader.count() == 3
+    publish(spark.range(7), path, 2)  # a repeated batch replaces its version
+    assert read_complete(spark, path).count() == 7
+    assert read_published(spark, path, before=2).count() == 10
+
+
+def test_feed_writes_only_changes_and_one_row_of_state(spark):
+    rows = [(w, w + 10, c, n) for w in range(0, 60, 10) for c, n in (("a", 2), ("b", 1))]
+    schema = "window_start bigint, window_end bigint, c string, n int"
+    source, (table, checkpoint) = scratch_path(spark, "windows"), places(spark)
+    now = F.current_timestamp()
+    for row in range(0, len(rows), 2):
+        spark.createDataFrame(rows[row:row + 2], schema).coalesce(1).write.mode("append").parquet(source)
+        arrived = ingest.file_stream(spark, source, schema).withColumns(
+            {"trigger_pickup": now, "trigger_dropoff": now, "ingested": now})
+        drain(run_changes(arrived, [F.desc("n"), F.asc("c")], 2, F.col("c"), True, {"c": "cell"},
+                          table, checkpoint))
+    found = files.read_table(spark, table)
+    assert rows_of(found, "window_start", "batch_id") == [(0, 0)]
+    assert read_published(spark, f"{checkpoint}/said").count() == 1
+
+
+def test_update_mode_equals_complete(spark, trips, arriving):
+    table, checkpoint = places(spark)
+    windows = routes.route_windows(stream(spark, arriving, trips))
+    drain(update_table(windows, table, checkpoint))
+    found = read_updates(spark, table, WINDOW_COLUMNS[:-1])
+    assert rows_of(found, *WINDOW_COLUMNS) == rows_of(
+        batch_routes.windowed_routes(trips), *WINDOW_COLUMNS)
+
+
 def test_garbage_goes_to_raw_but_not_to_clean(spark, trips):
     topic, (raw, checkpoint) = scratch_path(spark, "topic"), places(spark)
     rows = trips.select(schemas.column_names(schemas.TRIP_DEBS))

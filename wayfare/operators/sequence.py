@@ -1,8 +1,8 @@
 """Previous and next row of a key's time line, with hot keys cut into slices.
 
 `lag` and `lead` put a whole key into one task. Here a key above a size limit is cut
-into slices of its time line; each slice is a window group of its own, and the value at
-a slice border comes from a small table holding one row per slice.
+into slices of its time line with about equally many rows; each slice is a window group of
+its own, and the value at a slice border comes from a small table holding one row per slice.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfare.operators.skew import GROUP_ROWS, attach_small, hot_groups
+from wayfare.operators.skew import GROUP_ROWS, attach_small, slice_borders, slice_number
 
 
 def neighbour(
@@ -24,30 +24,18 @@ def neighbour(
 ) -> DataFrame:
     """Add `out`: `value` of the row before (step=-1) or after (step=1) within `keys`.
 
-    `order` lists columns that order the rows totally; the first is a whole number of
-    seconds and is what hot keys are sliced by. NULL keys form one group. Without keys all
-    rows are one time line. `df` is read once more to count its keys, and again if a key is
-    hot, so write a costly `df` first.
+    `order` lists columns that order the rows totally; rows of one second are told apart by
+    the others, so a burst is cut like any other stretch. NULL keys form one group. Without
+    keys all rows are one time line. `df` is read once more for a small sample, and again if
+    a key is hot, so write a costly `df` first.
     """
     if step not in (-1, 1):
         raise ValueError("step must be -1 (previous) or 1 (next)")
     keys, order = list(keys), list(order)
-    position = F.col(order[0])
-
-    span = F.max(position) - F.min(position) + 1
-    hot = hot_groups(
-        df, keys, limit, F.min(position).alias("__from"), span.alias("__span")
-    ).select(
-        *keys,
-        "__from",
-        F.greatest(
-            F.lit(1), F.floor(F.col("__span") * F.lit(float(limit)) / F.col("rows"))
-        ).cast("bigint").alias("__width"),
-    )
-    sliced = attach_small(df, hot, keys).withColumn(
-        "__slice",
-        F.coalesce(F.floor((position - F.col("__from")) / F.col("__width")), F.lit(0)),
-    )
+    borders = slice_borders(df, keys, order, limit)
+    sliced = attach_small(df, borders, keys).withColumns(
+        {"__slice": slice_number(order), "__hot": F.col("__borders").isNotNull()}
+    ).drop("__borders")
 
     group = [*keys, "__slice"]
     inside = Window.partitionBy(*group).orderBy(*order)
@@ -60,7 +48,7 @@ def neighbour(
     line = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)],
                     F.col(value).alias("v"))
     edges = (
-        sliced.filter(F.col("__width").isNotNull())
+        sliced.filter("__hot")
         .groupBy(*group)
         .agg(edge(line).alias("__edge"))
     )
@@ -71,7 +59,7 @@ def neighbour(
     return (
         attach_small(shifted, carried, group)
         .withColumn(out, F.coalesce(F.col("__near"), F.col("__carry"))["v"])
-        .drop("__from", "__width", "__slice", "__near", "__carry")
+        .drop("__hot", "__slice", "__near", "__carry")
     )
 
 

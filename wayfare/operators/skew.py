@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 # rows / limit entries, which is what makes it safe to broadcast.
 GROUP_ROWS = 4_000_000
 
+# Rows sampled for every slice of a hot key. The size of a slice varies by about 1/8; one of twice
+# the size asked for is a matter of 10^-9.
+SAMPLES = 64
+
 
 def same(left: DataFrame, right: DataFrame, names) -> Column:
     """NULL-safe equality over several columns."""
@@ -38,6 +42,38 @@ def hot_groups(df: DataFrame, keys, limit: int = GROUP_ROWS, *extra: Column) ->
     return counted.filter(F.col("rows") > limit)
 
 
+def slice_borders(df: DataFrame, keys, order, limit: int = GROUP_ROWS) -> DataFrame:
+    """Borders that cut every key above about `limit` rows into slices of about that many rows.
+
+    `order` lists columns that order the rows of a key totally. One row per hot key: the keys and
+    `__borders`, the sorted first positions of all slices but the first. The sample is chosen by
+    content, so a repeated task draws the same; it has SAMPLES rows per `limit`, and the borders
+    rows / limit entries in all.
+    """
+    every = max(1, limit // SAMPLES)  # of so many rows one is sampled
+    apart = max(1, limit // every)  # and of so many samples one is a border
+    position = F.struct(*order)
+    chosen = df.filter(F.pmod(F.xxhash64(*keys, *order), F.lit(every)) == 0)
+    gathered = chosen.groupBy(*keys).agg(F.sort_array(F.collect_list(position)).alias("all"))
+    picked = F.transform(
+        F.sequence(F.lit(1), F.floor((F.size("all") - 1) / F.lit(apart)).cast("int")),
+        lambda i: F.get("all", i * apart),
+    )
+    return gathered.filter(F.size("all") > apart).select(*keys, picked.alias("__borders"))
+
+
+def slice_number(order, borders: str = "__borders") -> Column:
+    """How many borders lie at or before a row, found by bisection; 0 where there are none."""
+    at = F.struct(*order)
+    strides = F.array(*[F.lit(1 << i) for i in range(20, -1, -1)])
+    found = F.aggregate(
+        strides, F.lit(0),
+        lambda low, stride: F.when(F.get(borders, low + stride - 1) <= at, low + stride)
+        .otherwise(low),
+    )
+    return F.when(F.col(borders).isNotNull(), found).otherwise(F.lit(0))
+
+
 def salts_of(hot: DataFrame, on, limit: int = GROUP_ROWS) -> DataFrame:
     """How many parts each hot key is divided into, from its `rows`."""
     return hot.select(*on, F.ceil(F.col("rows") / F.lit(limit)).cast("int").alias("__salts"))

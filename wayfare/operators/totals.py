@@ -1,7 +1,7 @@
 """Running totals along a key's values, with hot keys cut into slices.
 
-As in `sequence`, a key above a size limit is cut into ranges of its order column, each a
-window group of its own, and the totals of the ranges before come from a small table.
+As in `sequence`, a key above a size limit is cut into ranges of its order column with about
+equally many rows, each a window group of its own, and the totals of the ranges before come from a small table.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfare.operators.skew import GROUP_ROWS, attach_small, hot_groups
+from wayfare.operators.skew import GROUP_ROWS, attach_small, slice_borders, slice_number
 
 
 def running_total(df: DataFrame, keys, order: str, amount: str, below: str, total: str,
@@ -19,36 +19,25 @@ def running_total(df: DataFrame, keys, order: str, amount: str, below: str, tota
     `order` is a number and unique within a key. Without keys all rows are one line.
     """
     keys = list(keys)
-    value = F.col(order)
-    hot = hot_groups(
-        df, keys, limit,
-        F.min(value).alias("__low"), F.max(value).alias("__high"), F.sum(amount).alias("__all"),
-    ).select(
-        *keys,
-        "__low",
-        "__all",
-        F.try_divide(
-            (F.col("__high") - F.col("__low")) * F.lit(float(limit)), F.col("rows")
-        ).alias("__width"),
-    )
-    sliced = attach_small(df, hot, keys).withColumn(
-        "__slice",
-        F.coalesce(F.floor(F.try_divide(value - F.col("__low"), F.col("__width"))), F.lit(0)),
-    )
+    borders = slice_borders(df, keys, [order], limit)
+    sliced = attach_small(df, borders, keys).withColumns(
+        {"__slice": slice_number([order]), "__hot": F.col("__borders").isNotNull()}
+    ).drop("__borders")
     group = [*keys, "__slice"]
     before = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*group)
 
     # totals of the slices of hot keys: about rows / limit entries
     sums = (
-        sliced.filter(F.col("__width").isNotNull())
+        sliced.filter("__hot")
         .groupBy(*group)
         .agg(F.sum(amount).alias("__sum"))
     )
-    along = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(
-        Window.unboundedPreceding, -1
+    every = Window.partitionBy(*keys)
+    along = every.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.select(
+        *group, F.sum("__sum").over(along).alias("__carry"), F.sum("__sum").over(every).alias("__all")
     )
-    carried = sums.select(*group, F.sum("__sum").over(along).alias("__carry"))
 
     summed = sliced.withColumns(
         {"__before": F.sum(amount).over(before), "__whole": F.sum(amount).over(whole)}
@@ -58,5 +47,5 @@ def running_total(df: DataFrame, keys, order: str, amount: str, below: str, tota
         attach_small(summed, carried, group)
         .withColumn(below, F.coalesce("__before", nothing) + F.coalesce("__carry", nothing))
         .withColumn(total, F.coalesce("__all", "__whole"))
-        .drop("__low", "__width", "__all", "__slice", "__before", "__whole", "__carry")
+        .drop("__hot", "__all", "__slice", "__before", "__whole", "__carry")
     )

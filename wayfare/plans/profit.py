@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.functions.cells import (
+    cell_250m,
     cell_250m_number,
     cell_name,
     cells_east_250m,
@@ -16,6 +17,7 @@ from wayfare.functions.cells import (
 )
 from wayfare.functions.measures import profitability
 from wayfare.functions.times import window_start
+from wayfare.operators.cleaning import LONGEST_TRIP_SECONDS
 from wayfare.operators.intervals import ticks_between
 from wayfare.operators.medians import exact_median, median_element
 from wayfare.operators.ranking import ranked, widen_ranks
@@ -43,6 +45,20 @@ def with_250m_cells(df: DataFrame) -> DataFrame:
     )
 
 
+def with_end_cells(df: DataFrame, longest_trip: int = LONGEST_TRIP_SECONDS) -> DataFrame:
+    """Trips of up to `longest_trip` seconds with their end cell, NULL outside the 250 m grid.
+
+    A stream learns of a pickup only at the dropoff and must stop waiting some time; batch
+    and stream leave out the same trips. Trips that start or end off the grid stay, since
+    their pickup still makes a taxi busy.
+    """
+    cell = cell_250m("dropoff_latitude", "dropoff_longitude")
+    timely = df.filter(F.col("dropoff_unix") - F.col("pickup_unix") <= longest_trip)
+    return timely.withColumn("__cell", cell).withColumns(
+        {"end_cell_x": F.col("__cell.x"), "end_cell_y": F.col("__cell.y")}
+    ).drop("__cell")
+
+
 def profit_by_cell(placed: DataFrame, size: int = PROFIT_SECONDS) -> DataFrame:
     """Median fare and tip per (dropoff window, pickup cell), an element of the group."""
     return placed.groupBy(
@@ -77,7 +93,7 @@ def taxis_by_cell(placed: DataFrame, size: int = EMPTY_SECONDS, exact: bool = Tr
     ).agg(taxis.alias("empty_taxis"))
 
 
-def taxi_events(placed: DataFrame) -> DataFrame:
+def taxi_events(ended: DataFrame) -> DataFrame:
     """Pickup and dropoff of every trip of a known taxi as two rows, in one pass.
 
     `event` orders a taxi's events: by second, pickups before dropoffs, then by trip.
@@ -92,7 +108,7 @@ def taxi_events(placed: DataFrame) -> DataFrame:
             ).alias("event")
         )
 
-    return placed.filter(F.col("medallion").isNotNull()).select(
+    return ended.filter(F.col("medallion").isNotNull()).select(
         "medallion",
         F.inline(
             F.array(
@@ -109,36 +125,43 @@ def events_at_ticks(events: DataFrame, step: int, span: int) -> DataFrame:
     return events.select("*", F.explode(ticks_between(at, at + span, step)).alias("tick"))
 
 
-def empty_taxis(placed: DataFrame, step: int = PROFIT_SECONDS,
+def in_cells(latest: DataFrame) -> DataFrame:
+    """Taxis per tick and cell, of those whose latest event is a dropoff on the grid."""
+    return (
+        latest.filter(F.col("event.cell_x").isNotNull())  # a pickup has no cell
+        .groupBy("tick", F.col("event.cell_x").alias("cell_x"),
+                 F.col("event.cell_y").alias("cell_y"))
+        .agg(F.count(F.lit(1)).alias("empty_taxis"))
+    )
+
+
+def empty_taxis(ended: DataFrame, step: int = PROFIT_SECONDS,
                 span: int = EMPTY_SECONDS) -> DataFrame:
     """Empty taxis per cell at every multiple of `step`: (tick, cell_x, cell_y, empty_taxis).
 
-    At time T a taxi is empty in the cell of its latest dropoff if that was at most `span`
-    ago and no pickup followed up to T, that is, if its latest event is that dropoff. The
-    latest event per taxi and tick is a maximum, which tasks merge before the shuffle, so
-    a busy taxi is no larger a group than others.
+    `ended` are trips of `with_end_cells`. At time T a taxi is empty in the cell of its
+    latest dropoff if that was at most `span` ago and no pickup followed up to T, that is,
+    if its latest event is that dropoff. The latest event per taxi and tick is a maximum,
+    which tasks merge before the shuffle, so a busy taxi is no larger a group than others.
     """
-    latest = (
-        events_at_ticks(taxi_events(placed), step, span)
+    return in_cells(
+        events_at_ticks(taxi_events(ended), step, span)
         .groupBy("medallion", "tick")
         .agg(F.max("event").alias("event"))
     )
-    return (
-        latest.filter(F.col("event.is_dropoff") == 1)
-        .groupBy("tick", F.col("event.cell_x").alias("cell_x"),
-                 F.col("event.cell_y").alias("cell_y"))
-        .agg(F.count(F.lit(1)).alias("empty_taxis"))
-    )
 
 
-def profitable_areas(placed: DataFrame, k: int = TOP, step: int = PROFIT_SECONDS) -> DataFrame:
+def profitable_areas(placed: DataFrame, ended: DataFrame, k: int = TOP,
+                     step: int = PROFIT_SECONDS) -> DataFrame:
     """The k most profitable cells at the end of every window, long form.
 
+    `placed` are trips of `with_250m_cells`, `ended` those of `with_end_cells`.
+
     (tick, rank, cell_x, cell_y, median_fare_tip, empty_taxis, profitability). Cells
     without empty taxis have no profitability and come last.
     """
     profit = profit_by_cell(placed, step).withColumn("tick", F.col("window_start") + step)
-    joined = profit.join(empty_taxis(placed, step), ["tick", *CELL], "left").select(
+    joined = profit.join(empty_taxis(ended, step), ["tick", *CELL], "left").select(
         "tick",
         *CELL,
         "median_fare_tip",

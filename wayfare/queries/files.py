@@ -209,15 +209,19 @@ def result_tables(spark, sf_dir):
     return spark.sql(f"SELECT * FROM {counts} JOIN {taxis} USING (payment_type)")
 
 
-@query("table_statistics")
+@query("table_statistics", ctes(TRIPS) + "SELECT count(*) AS rows FROM trips")
 def table_statistics(spark, sf_dir):
     path, name = scratch_path(spark, "trips"), _new_name("trips")
     files.write_table(_plain(spark, sf_dir), path)
     catalog.register_table(spark, name, path)
-    return catalog.analyze(spark, name)
+    rows = F.regexp_extract("statistics", r"(\d+) rows", 1).cast("bigint")
+    return catalog.analyze(spark, name).select(rows.alias("rows"))
 
 
-@query("catalog_inspection")
+@query("catalog_inspection", ctes(TRIPS) + """
+    SELECT true AS listed, column_name, data_type, (SELECT count(*) FROM trips) AS table_rows
+    FROM (VALUES ('trip_id', 'bigint'), ('medallion', 'string'), ('pickup_unix', 'bigint'),
+        ('fare_amount', 'double')) AS c(column_name, data_type)""")
 def catalog_inspection(spark, sf_dir):
     """Columns of a registered table, with the rows it holds."""
     path, name = scratch_path(spark, "trips"), _new_name("trips")
@@ -314,14 +318,19 @@ def envelope_mixed(spark, sf_dir):
     ).agg(F.count(F.lit(1)).alias("messages"))
 
 
-@query("sliced_publish")
+@query("sliced_publish", ctes(TRIPS) + """
+    SELECT count(*) AS trips, true AS contiguous FROM trips""")
 def sliced_publish(spark, sf_dir):
-    """Contiguous slices of the trips, with their bounds."""
+    """Slices of the trips hold all of them and do not overlap."""
     sliced = messages.sliced(derived.trips(spark, sf_dir).select("trip_id"), 4, "trip_id")
-    return sliced.groupBy("slice").agg(
+    bounds = sliced.groupBy("slice").agg(
         F.min("trip_id").alias("first"), F.max("trip_id").alias("last"),
         F.count(F.lit(1)).alias("trips"),
-    )
+    )  # a row per slice
+    line = F.array_sort(F.collect_list(F.struct("first", "last")))
+    flat = F.flatten(F.transform(line, lambda s: F.array(s["first"], s["last"])))
+    return bounds.agg(F.sum("trips").alias("trips"),
+                      (flat == F.array_sort(flat)).alias("contiguous"))
 
 
 @query("polygon_scan", ctes(TRIPS, boroughs_of("trips")) + """

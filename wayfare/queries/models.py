@@ -63,33 +63,41 @@ def sample(spark, sf_dir):
     return bernoulli(derived.trips(spark, sf_dir), 0.04).select("trip_id", "medallion")
 
 
-@query("seeded_shuffle")
+@query("seeded_shuffle", ctes(TRIPS) + "SELECT trip_id, medallion FROM trips")
 def shuffle(spark, sf_dir):
     return shuffled(derived.trips(spark, sf_dir).select("trip_id", "medallion"))
 
 
-@query("random_split")
+@query("random_split", ctes(TRIPS) + "SELECT trip_id, 1::BIGINT AS parts FROM trips")
 def random_split(spark, sf_dir):
+    """Every trip is in one part."""
     train, test = derived.trips(spark, sf_dir).select("trip_id").randomSplit([0.7, 0.3], 42)
-    return train.withColumn("part", F.lit("train")).unionByName(
-        test.withColumn("part", F.lit("test"))
-    )
+    return train.unionByName(test).groupBy("trip_id").agg(F.count(F.lit(1)).alias("parts"))
 
 
-@query("class_split")
+@query("class_split", PREPARED_FLIGHTS + """
+    SELECT label, count(*) AS flights, true AS even FROM prepared GROUP BY label""")
 def class_split(spark, sf_dir):
-    """Both parts keep the share of cancelled flights."""
+    """Both parts together are the flights, and keep the share of cancelled ones."""
     train, test = split_rows(_prepared(spark, sf_dir))
-    both = train.withColumn("part", F.lit("train")).unionByName(
-        test.withColumn("part", F.lit("test"))
+    both = train.select("label", F.lit(1).alias("train")).unionByName(
+        test.select("label", F.lit(0).alias("train"))
+    )
+    share = F.avg("train")
+    return both.groupBy("label").agg(
+        F.count(F.lit(1)).alias("flights"), share.between(0.55, 0.85).alias("even")
     )
-    return both.groupBy("part", "label").agg(F.count(F.lit(1)).alias("flights"))
 
 
-@query("oversampled")
+@query("oversampled", PREPARED_FLIGHTS + """
+    SELECT count(*) FILTER (label = 0) AS others, true AS balanced FROM prepared""")
 def oversampled(spark, sf_dir):
-    balanced = oversample(_prepared(spark, sf_dir), 0.5)
-    return balanced.groupBy("label").agg(F.count(F.lit(1)).alias("flights"))
+    """All other flights, and about half as many cancelled ones."""
+    n = F.count_if(F.col("label") == 0)
+    share = F.count_if(F.col("label") == 1) / n
+    return oversample(_prepared(spark, sf_dir), 0.5).agg(
+        n.alias("others"), share.between(0.45, 0.55).alias("balanced")
+    )
 
 
 @query("class_weights", PREPARED_FLIGHTS + """, sizes AS (
@@ -105,7 +113,10 @@ def weights(spark, sf_dir):
 # -- features and models ------------------------------------------------------------------
 
 
-@query("feature_vectors")
+@query("feature_vectors", PREPARED_FLIGHTS + f"""
+    SELECT label, (SELECT {' + '.join(f'count(DISTINCT {c})' for c in plans.CATEGORICAL)}
+        + {len(plans.NUMERIC)} FROM prepared)::INT AS width, count(*) AS flights FROM prepared
+    WHERE {' AND '.join(f'{c} IS NOT NULL' for c in plans.NUMERIC)} GROUP BY label""")
 def feature_vectors(spark, sf_dir):
     """Rows and width of the assembled feature vectors, by label."""
     from pyspark.ml.functions import vector_to_array

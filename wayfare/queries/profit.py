@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from wayfare.operators.cleaning import clean_trips
 from wayfare.plans import profit as plans
-from wayfare.queries.base import CLEAN, TRIPS, ctes, placed_of, query
+from wayfare.queries.base import CLEAN, TRIPS, cell_250m_x_sql, cell_250m_y_sql, ctes, placed_of, query
 from wayfare.sources import derived
 
 SIX_HOURS = 6 * 3600
@@ -15,7 +15,11 @@ def _placed(spark, sf_dir):
     return plans.with_250m_cells(clean_trips(derived.trips(spark, sf_dir)))
 
 
-def _profit_sql(size: int, median: str) -> str:
+def _ended(spark, sf_dir):
+    return plans.with_end_cells(clean_trips(derived.trips(spark, sf_dir)))
+
+
+def profit_sql(size: int, median: str) -> str:
     return f"""profit AS (
         SELECT dropoff_unix - dropoff_unix % {size} AS window_start, CAST(sx AS INT) AS cell_x,
             CAST(sy AS INT) AS cell_y, {median} AS median_fare_tip,
@@ -26,24 +30,24 @@ def _profit_sql(size: int, median: str) -> str:
 ELEMENT = "quantile_disc(fare_plus_tip, 0.5)"
 
 
-@query("profit_by_cell", PLACED + ", " + _profit_sql(900, ELEMENT) + "SELECT * FROM profit")
+@query("profit_by_cell", PLACED + ", " + profit_sql(900, ELEMENT) + "SELECT * FROM profit")
 def profit_by_cell(spark, sf_dir):
     return plans.profit_by_cell(_placed(spark, sf_dir))
 
 
-@query("profit_by_cell_six_hours", PLACED + ", " + _profit_sql(SIX_HOURS, ELEMENT)
+@query("profit_by_cell_six_hours", PLACED + ", " + profit_sql(SIX_HOURS, ELEMENT)
        + "SELECT * FROM profit")
 def profit_by_cell_six_hours(spark, sf_dir):
     return plans.profit_by_cell(_placed(spark, sf_dir), SIX_HOURS)
 
 
-@query("exact_profit_by_cell", PLACED + ", " + _profit_sql(900, "median(fare_plus_tip)") + """
+@query("exact_profit_by_cell", PLACED + ", " + profit_sql(900, "median(fare_plus_tip)") + """
     SELECT window_start, cell_x, cell_y, median_fare_tip FROM profit""")
 def exact_profit_by_cell(spark, sf_dir):
     return plans.exact_profit_by_cell(_placed(spark, sf_dir))
 
 
-@query("exact_profit_six_hours", PLACED + ", " + _profit_sql(SIX_HOURS, "median(fare_plus_tip)") + """
+@query("exact_profit_six_hours", PLACED + ", " + profit_sql(SIX_HOURS, "median(fare_plus_tip)") + """
     SELECT window_start, cell_x, cell_y, median_fare_tip FROM profit""")
 def exact_profit_six_hours(spark, sf_dir):
     return plans.exact_profit_by_cell(_placed(spark, sf_dir), SIX_HOURS)
@@ -66,28 +70,33 @@ def empty_taxis_approximate(spark, sf_dir):
 
 
 # the definition itself: the latest dropoff up to T, at most 30 minutes old, no pickup since
-EMPTY = """bounds AS (SELECT min(dropoff_unix) AS lo, max(dropoff_unix) AS hi FROM placed),
+EMPTY = f"""ended AS (SELECT trip_id, medallion, pickup_unix, dropoff_unix,
+        CASE WHEN ex BETWEEN 1 AND 600 AND ey BETWEEN 1 AND 600 THEN ex END AS ex, ey
+        FROM (SELECT *, {cell_250m_x_sql("dropoff_latitude", "dropoff_longitude")} AS ex,
+            {cell_250m_y_sql("dropoff_latitude")} AS ey FROM clean)
+        WHERE dropoff_unix - pickup_unix <= 14400),
+    bounds AS (SELECT min(dropoff_unix) AS lo, max(dropoff_unix) AS hi FROM ended),
     ticks AS (SELECT unnest(range((lo // 900) * 900, hi + 2700, 900)) AS tick FROM bounds),
     latest AS (
         SELECT t.tick, d.medallion, d.dropoff_unix, d.ex, d.ey,
             row_number() OVER (PARTITION BY t.tick, d.medallion
                 ORDER BY d.dropoff_unix DESC, d.trip_id DESC) AS n
-        FROM ticks t JOIN placed d
+        FROM ticks t JOIN ended d
         ON d.dropoff_unix <= t.tick AND d.dropoff_unix >= t.tick - 1800),
     empties AS (
         SELECT tick, CAST(ex AS INT) AS cell_x, CAST(ey AS INT) AS cell_y, count(*) AS empty_taxis
-        FROM latest l WHERE n = 1 AND NOT EXISTS (
-            SELECT 1 FROM placed p WHERE p.medallion = l.medallion
+        FROM latest l WHERE n = 1 AND ex IS NOT NULL AND NOT EXISTS (
+            SELECT 1 FROM ended p WHERE p.medallion = l.medallion
             AND p.pickup_unix > l.dropoff_unix AND p.pickup_unix <= l.tick)
         GROUP BY 1, 2, 3)"""
 
 
 @query("empty_taxis", PLACED + f", {EMPTY} SELECT * FROM empties")
 def empty_taxis(spark, sf_dir):
-    return plans.empty_taxis(_placed(spark, sf_dir))
+    return plans.empty_taxis(_ended(spark, sf_dir))
 
 
-@query("profitability_by_window", PLACED + ", " + _profit_sql(900, ELEMENT) + f""", {TAXIS}
+@query("profitability_by_window", PLACED + ", " + profit_sql(900, ELEMENT) + f""", {TAXIS}
     SELECT p.*, t.window_start AS empty_start, t.empty_taxis,
         p.median_fare_tip / t.empty_taxis AS profitability
     FROM profit p JOIN taxis t ON p.cell_x = t.cell_x AND p.cell_y = t.cell_y
@@ -96,7 +105,7 @@ def profitability_by_window(spark, sf_dir):
     return plans.profitability_by_window(_placed(spark, sf_dir))
 
 
-AREAS = PLACED + ", " + _profit_sql(900, ELEMENT) + f""", {EMPTY}, scored AS (
+AREAS = PLACED + ", " + profit_sql(900, ELEMENT) + f""", {EMPTY}, scored AS (
     SELECT p.window_start + 900 AS tick, p.cell_x, p.cell_y, p.median_fare_tip,
         coalesce(e.empty_taxis, 0) AS empty_taxis, p.trigger_pickup, p.trigger_dropoff,
         CASE WHEN e.empty_taxis > 0 THEN p.median_fare_tip / e.empty_taxis END AS profitability
@@ -109,7 +118,7 @@ AREAS = PLACED + ", " + _profit_sql(900, ELEMENT) + f""", {EMPTY}, scored AS (
 
 @query("profitable_areas", AREAS + "SELECT * FROM areas")
 def profitable_areas(spark, sf_dir):
-    return plans.profitable_areas(_placed(spark, sf_dir))
+    return plans.profitable_areas(_placed(spark, sf_dir), _ended(spark, sf_dir))
 
 
 @query("profitable_areas_wide", AREAS + "SELECT tick, " + ", ".join(
@@ -119,4 +128,4 @@ def profitable_areas(spark, sf_dir):
     f" max(CASE WHEN rank = {i} THEN profitability END) AS profitability_of_cell_{i}"
     for i in range(1, 11)) + " FROM areas GROUP BY tick")
 def profitable_areas_wide(spark, sf_dir):
-    return plans.profitable_areas_wide(plans.profitable_areas(_placed(spark, sf_dir)))
+    return plans.profitable_areas_wide(plans.profitable_areas(_placed(spark, sf_dir), _ended(spark, sf_dir)))

@@ -17,12 +17,21 @@ from wayfare.queries.base import (
     query,
 )
 from wayfare.queries.files import DEBS_COLUMNS, debs_rows
-from wayfare.queries.profit import EMPTY
+from wayfare.queries.profit import ELEMENT, EMPTY, TAXIS, profit_sql
 from wayfare.queries.routes import CLEAN_WINDOWS, TOTALS
 from wayfare.session import scratch_path
 from wayfare.sources import derived, files, messages
 from wayfare.streaming import ingest, profit, routes
-from wayfare.streaming.run import append_table, drain, progress, read_complete
+from wayfare.streaming.run import (
+    append_table,
+    drain,
+    progress,
+    read_complete,
+    read_updates,
+    update_table,
+)
+
+PARTS = 3  # the trips arrive in so many parts, in the order of their dropoffs
 
 
 def _places(spark, name: str) -> tuple[str, str]:
@@ -30,8 +39,28 @@ def _places(spark, name: str) -> tuple[str, str]:
     return f"{base}/table", f"{base}/checkpoint"
 
 
-def _clean_stream(spark, sf_dir):
-    return clean_trips(derived.trip_stream(spark, sf_dir))
+def _parts(rows):
+    """The rows in PARTS parts of about equal size, by dropoff."""
+    shares = [i / PARTS for i in range(1, PARTS)]
+    cuts = rows.agg(F.percentile_approx("dropoff_unix", shares)).first()[0] or []
+    number = sum([(F.col("dropoff_unix") >= c).cast("int") for c in cuts], F.lit(0))
+    marked = rows.withColumn("part", F.coalesce(number, F.lit(0)))
+    return [marked.filter(F.col("part") == i).drop("part") for i in range(len(cuts) + 1)]
+
+
+def _arrived(spark, sf_dir, name: str, run) -> str:
+    """The table that a stream of clean trips has written when all parts have arrived.
+
+    `run(stream, table, checkpoint)` is started anew for every part, so every query here goes
+    through several micro-batches, restarts and what it remembers of the part before.
+    """
+    table, checkpoint = _places(spark, name)
+    source = scratch_path(spark, "arriving")
+    rows = clean_trips(derived.trips(spark, sf_dir))
+    for part in _parts(rows):
+        part.write.mode("append").parquet(source)
+        drain(run(ingest.file_stream(spark, source, rows.schema), table, checkpoint))
+    return table
 
 
 # -- messages to raw and clean tables -----------------------------------------------------
@@ -74,22 +103,15 @@ def stream_clean(spark, sf_dir):
     return _shown(files.read_table(spark, clean))
 
 
-@query("stream_messages")
-def stream_messages(spark, sf_dir):
-    """The message stream as a broker delivers it: key, value and time."""
-    topic = scratch_path(spark, "topic")
-    messages.publish_files(debs_rows(spark, sf_dir), topic, F.col("dropoff_datetime"))
-    copy, checkpoint = _places(spark, "copy")
-    drain(append_table(ingest.message_files(spark, topic), copy, checkpoint))
-    return files.read_table(spark, copy)
-
-
 @query("stream_from_files", ctes(TRIPS) + """
     SELECT payment_type, count(*) AS trips FROM trips GROUP BY payment_type""")
 def stream_from_files(spark, sf_dir):
     """One file at a time, to stand for data that arrives bit by bit."""
-    copy, checkpoint = _places(spark, "copy")
-    drain(append_table(derived.trip_stream(spark, sf_dir, max_files=1), copy, checkpoint))
+    source, (copy, checkpoint) = scratch_path(spark, "arriving"), _places(spark, "copy")
+    rows = derived.trips(spark, sf_dir)
+    for part in _parts(rows):
+        part.write.mode("append").parquet(source)
+    drain(append_table(ingest.file_stream(spark, source, rows.schema, max_files=1), copy, checkpoint))
     return files.read_table(spark, copy).groupBy("payment_type").agg(
         F.count(F.lit(1)).alias("trips")
     )
@@ -107,22 +129,22 @@ def stream_from_table(spark, sf_dir):
     return _shown(files.read_table(spark, copy))
 
 
-@query("stream_progress")
+@query("stream_progress", ctes(TRIPS) + "SELECT count(*) AS rows FROM trips")
 def stream_progress(spark, sf_dir):
+    """The rows that the progress reports of all micro-batches add up to."""
     copy, checkpoint = _places(spark, "copy")
     done = drain(append_table(derived.trip_stream(spark, sf_dir), copy, checkpoint, name=None))
-    rows = [(p["batch_id"], p["rows"]) for p in progress(done)]
-    return spark.createDataFrame(rows, "batch_id bigint, rows bigint")
+    return spark.createDataFrame([(sum(p["rows"] for p in progress(done)),)], "rows bigint")
 
 
 # -- routes -------------------------------------------------------------------------------
 
 
 def _complete_windows(spark, sf_dir, slide=None):
-    table, checkpoint = _places(spark, "routes")
-    stream = _clean_stream(spark, sf_dir)
-    drain(routes.run_route_windows(stream, table, checkpoint, slide=slide))
-    return read_complete(spark, table)
+    return read_complete(spark, _arrived(
+        spark, sf_dir, "routes",
+        lambda stream, table, checkpoint: routes.run_route_windows(
+            stream, table, checkpoint, slide=slide)))
 
 
 @query("stream_route_windows", CLEAN_WINDOWS + "SELECT * FROM windows")
@@ -131,6 +153,15 @@ def stream_route_windows(spark, sf_dir):
     return _complete_windows(spark, sf_dir)
 
 
+@query("stream_route_updates", CLEAN_WINDOWS + "SELECT * FROM windows")
+def stream_route_updates(spark, sf_dir):
+    """The same in update mode: each trigger writes only what changed."""
+    keys = ["window_start", "window_end", "start_cell", "end_cell"]
+    return read_updates(spark, _arrived(
+        spark, sf_dir, "updates",
+        lambda stream, *places: update_table(routes.route_windows(stream), *places)), keys)
+
+
 @query("stream_routes_top10", CLEAN_WINDOWS + """
     SELECT * FROM windows WHERE window_end >= (SELECT max(window_end) FROM windows) - 1800
     ORDER BY number_of_rides DESC, window_start, start_cell, end_cell LIMIT 10""")
@@ -156,9 +187,9 @@ CLOSED = "window_end <= (SELECT max(dropoff_unix) FROM clean) - {0}"
 @query("stream_closed_windows", CLEAN_WINDOWS + f"SELECT * FROM windows WHERE {CLOSED.format(1800)}")
 def stream_closed_windows(spark, sf_dir):
     """Append mode: a window is written once, when the watermark has passed its end."""
-    table, checkpoint = _places(spark, "closed")
-    drain(append_table(routes.route_windows(_clean_stream(spark, sf_dir)), table, checkpoint))
-    return files.read_table(spark, table)
+    return files.read_table(spark, _arrived(
+        spark, sf_dir, "closed",
+        lambda stream, *places: append_table(routes.route_windows(stream), *places)))
 
 
 @query("stream_sliding_windows", CLEAN_WINDOWS + """
@@ -196,8 +227,7 @@ CHANGE_PAIRS = [(f"start_cell_id_{i}", f"end_cell_id_{i}") for i in range(1, 11)
     WHERE entries IS DISTINCT FROM b""")
 def route_changes(spark, sf_dir):
     """The change feed of the ten most frequent routes."""
-    table, checkpoint = _places(spark, "changes")
-    drain(routes.run_route_changes(_clean_stream(spark, sf_dir), table, checkpoint))
+    table = _arrived(spark, sf_dir, "changes", routes.run_route_changes)
     return files.read_table(spark, table).select(
         "window_start", F.unix_seconds("dropoff_datetime").alias("dropoff_unix"),
         *[c for pair in CHANGE_PAIRS for c in pair],
@@ -215,41 +245,79 @@ PLACED = ctes(TRIPS, CLEAN, placed_of("clean"))
     FROM placed GROUP BY 1, 2, 3
     HAVING window_start + 900 <= (SELECT max(dropoff_unix) FROM placed) - 1200""")
 def stream_profit_by_cell(spark, sf_dir):
-    table, checkpoint = _places(spark, "profit")
-    drain(append_table(profit.profit_windows(_clean_stream(spark, sf_dir)), table, checkpoint))
+    table = _arrived(spark, sf_dir, "profit",
+                     lambda stream, *places: append_table(profit.profit_windows(stream), *places))
     return files.read_table(spark, table).select(
         "window_start", "cell_x", "cell_y", "median_fare_tip"
     )
 
 
-@query("stream_taxis_by_cell")
+CLOSED_TAXIS = "t.window_start + 1800 <= (SELECT max(dropoff_unix) FROM placed) - 2100"
+
+
+@query("stream_taxis_by_cell", PLACED + f""", {TAXIS}
+    SELECT window_start, window_start + 1800 AS window_end, cell_x, cell_y, empty_taxis
+    FROM taxis t WHERE {CLOSED_TAXIS}""")
 def stream_taxis_by_cell(spark, sf_dir):
-    table, checkpoint = _places(spark, "taxis")
-    drain(append_table(profit.taxi_windows(_clean_stream(spark, sf_dir)), table, checkpoint))
-    return files.read_table(spark, table)
+    """Distinct taxis, counted by two aggregates in a row."""
+    return files.read_table(spark, _arrived(
+        spark, sf_dir, "taxis",
+        lambda stream, *places: append_table(profit.taxi_windows(stream), *places)))
 
 
-@query("stream_profitability")
+JOINED = PLACED + ", " + profit_sql(900, ELEMENT) + f""", {TAXIS}, joined AS (
+    SELECT p.*, t.empty_taxis, p.median_fare_tip / t.empty_taxis AS profitability,
+        p.cell_x || '.' || p.cell_y AS cell
+    FROM profit p JOIN taxis t ON p.cell_x = t.cell_x AND p.cell_y = t.cell_y
+        AND p.window_start - p.window_start % 1800 = t.window_start
+    WHERE {CLOSED_TAXIS})"""
+
+
+@query("stream_profitability", JOINED + """
+    SELECT window_start, cell_x, cell_y, median_fare_tip, empty_taxis, profitability FROM joined""")
 def stream_profitability(spark, sf_dir):
-    """Two windowed aggregates of one stream, joined within their time."""
-    table, checkpoint = _places(spark, "profitability")
-    drain(append_table(profit.profitability_windows(_clean_stream(spark, sf_dir)), table, checkpoint))
-    return files.read_table(spark, table)
+    """Windowed aggregates of one stream, joined within their time."""
+    table = _arrived(spark, sf_dir, "profitability", lambda stream, *places: append_table(
+        profit.profitability_windows(stream), *places))
+    return files.read_table(spark, table).select(
+        "window_start", "cell_x", "cell_y", "median_fare_tip", "empty_taxis", "profitability"
+    )
 
 
-@query("profit_changes")
+PROFIT_SHOWN = {
+    "profitable_cell_id": "cell",
+    "empty_taxies_in_cell_id": "empty_taxis",
+    "median_profit_in_cell_id": "median_fare_tip",
+    "profitability_of_cell": "profitability",
+}
+
+
+@query("profit_changes", JOINED + f""", ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY window_start ORDER BY profitability DESC NULLS LAST,
+        median_fare_tip DESC, cell) AS r FROM joined),
+    windows AS (SELECT window_start, string_agg(cell, ',' ORDER BY r) AS entries,
+        max(trigger_dropoff) AS dropoff_unix, {', '.join(
+            f"max(CASE WHEN r = {i} THEN {c} END) AS {name}_{i}"
+            for i in range(1, 11) for name, c in PROFIT_SHOWN.items())}
+        FROM ranked WHERE r <= 10 GROUP BY window_start)
+    SELECT * EXCLUDE (entries, b)
+    FROM (SELECT *, lag(entries) OVER (ORDER BY window_start) AS b FROM windows)
+    WHERE entries IS DISTINCT FROM b""")
 def profit_changes(spark, sf_dir):
-    table, checkpoint = _places(spark, "changes")
-    drain(profit.run_profit_changes(_clean_stream(spark, sf_dir), table, checkpoint))
-    return files.read_table(spark, table)
+    """The change feed of the ten most profitable cells."""
+    table = _arrived(spark, sf_dir, "changes", profit.run_profit_changes)
+    return files.read_table(spark, table).select(
+        "window_start", F.unix_seconds("dropoff_datetime").alias("dropoff_unix"),
+        *[f"{name}_{i}" for i in range(1, 11) for name in PROFIT_SHOWN],
+    )
 
 
 # only closed ticks: the watermark follows the last tick that any event reaches
 @query("stream_empty_taxis", PLACED + f", {EMPTY}" + """
     SELECT * FROM empties WHERE tick <=
-        (SELECT (max(dropoff_unix) + 1800) // 900 * 900 - 16200 FROM placed)""")
+        (SELECT (max(dropoff_unix) + 1800) // 900 * 900 - 16200 FROM ended)""")
 def stream_empty_taxis(spark, sf_dir):
     """Empty taxis per cell every quarter of an hour, from state kept per taxi."""
-    table, checkpoint = _places(spark, "empty")
-    drain(append_table(profit.empty_taxi_ticks(_clean_stream(spark, sf_dir)), table, checkpoint))
-    return files.read_table(spark, table)
+    return files.read_table(spark, _arrived(
+        spark, sf_dir, "empty",
+        lambda stream, *places: append_table(profit.empty_taxi_ticks(stream), *places)))

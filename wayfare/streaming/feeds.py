@@ -2,42 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from wayfare.operators.ranking import rank_columns, ranked
-from wayfare.streaming.run import read_before, start, write_batch
+from wayfare.operators.sequence import previous_value
+from wayfare.streaming.run import publish, read_published, start, write_batch
 
 
-def changes(rows: DataFrame, order, k: int, entry, ordered: bool, values: dict[str, str],
-            last: DataFrame | None = None) -> DataFrame:
-    """Windows whose k first entries differ from those of the window before.
+def window_entries(rows: DataFrame, order, k: int, entry, ordered: bool,
+                   values: dict[str, str]) -> DataFrame:
+    """One row per window: its k first entries, what stands at each rank, and its latest times.
 
     `rows` has window_start and window_end (epoch seconds), trigger_pickup,
     trigger_dropoff, ingested (timestamps) and the columns in `values`; `entry` names a
-    row. Entries are compared as a list if `ordered`, else as a set. `last` holds the
-    newest (window_start, entries) already known.
+    row. Entries are listed in order if `ordered`, else as a set.
     """
     top = ranked(rows.withColumn("entry", entry), ["window_start"], order, k)
     listed = F.array_sort(F.collect_list(F.struct("rank", "entry")))["entry"]  # k at most
     if not ordered:
         listed = F.array_sort(F.collect_set("entry"))
     placed = rank_columns(values, k)
-    windows = top.groupBy("window_start", "window_end").agg(
+    return top.groupBy("window_start", "window_end").agg(
         F.array_join(listed, ",").alias("entries"),
         F.max(F.struct("trigger_dropoff", "trigger_pickup", "ingested")).alias("latest"),
         *placed,
     )
+
+
+def changed(windows: DataFrame, k: int, values: dict[str, str],
+            last: DataFrame | None = None) -> DataFrame:
+    """Windows of `window_entries` whose entries differ from those of the window before.
+
+    `last` holds the newest (window_start, entries) already known.
+    """
     known = windows.withColumn("new", F.lit(True))
     if last is not None:
         known = known.unionByName(last.withColumn("new", F.lit(False)), allowMissingColumns=True)
-    # one row a window, not a trip: a century of half hours is below two million rows
-    line = Window.partitionBy(F.lit(0)).orderBy("window_start")
-    linked = known.withColumn("before", F.lag("entries").over(line))
-    changed = linked.filter(F.col("new") & ~F.col("entries").eqNullSafe(F.col("before")))
+    linked = previous_value(known, [], ["window_start"], "entries", "before")
+    differ = linked.filter(F.col("new") & ~F.col("entries").eqNullSafe(F.col("before")))
     now = F.unix_micros(F.current_timestamp())
-    return changed.select(
+    return differ.select(
         "window_start",
         "window_end",
         F.col("latest.trigger_pickup").alias("pickup_datetime"),
@@ -48,24 +54,34 @@ def changes(rows: DataFrame, order, k: int, entry, ordered: bool, values: dict[s
     )
 
 
+def changes(rows: DataFrame, order, k: int, entry, ordered: bool, values: dict[str, str],
+            last: DataFrame | None = None) -> DataFrame:
+    """Windows whose k first entries differ from those of the window before."""
+    return changed(window_entries(rows, order, k, entry, ordered, values), k, values, last)
+
+
 def run_changes(windows: DataFrame, order, k: int, entry, ordered: bool,
                 values: dict[str, str], path: str, checkpoint: str,
                 every: str | None = None) -> StreamingQuery:
     """Write the change feed of a stream of closed windows.
 
-    What the feed said last is read back from its own table, so it survives a restart, and
-    a repeated micro-batch replaces its rows.
+    What the feed said last is one row beside the checkpoint, replaced after each batch that
+    brought a change, so the feed survives a restart and never reads its own history. A repeated
+    micro-batch replaces its rows; one without a change writes nothing.
     """
+    said = f"{checkpoint}/said"
+
     def emit(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = read_before(spark, path, batch_id)
-        last = None
-        if before is not None:
-            last = before.orderBy(F.desc("window_start")).limit(1).select(
-                "window_start", "entries"
-            )
-        found = changes(batch, order, k, entry, ordered, values, last)
-        write_batch(found, batch_id, path)
+        # one row a window, used more than once: the stateful part must run but once
+        closed = window_entries(batch, order, k, entry, ordered, values).persist()
+        last = read_published(batch.sparkSession, said, batch_id)
+        found = changed(closed, k, values, last).persist()
+        if not found.isEmpty():
+            write_batch(found, batch_id, path)
+            newest = found.orderBy(F.desc("window_start")).limit(1)
+            publish(newest.select("window_start", "entries"), said, batch_id)
+        found.unpersist()
+        closed.unpersist()
 
     writer = windows.writeStream.outputMode("append").foreachBatch(emit)
     return start(writer.option("checkpointLocation", checkpoint), every)

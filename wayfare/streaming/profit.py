@@ -16,8 +16,10 @@ from wayfare.plans.profit import (
     PROFIT_SECONDS,
     TOP,
     events_at_ticks,
+    in_cells,
     taxi_events,
     with_250m_cells,
+    with_end_cells,
 )
 from wayfare.streaming.feeds import run_changes
 from wayfare.streaming.routes import flat_window
@@ -52,17 +54,19 @@ def _profit(trips: DataFrame, lateness: str) -> DataFrame:
     )
 
 
-def _taxis(trips: DataFrame, lateness: str) -> DataFrame:
-    return (
-        with_250m_cells(trips)
-        .withWatermark("dropoff_datetime", lateness)
-        .groupBy(
-            F.window("dropoff_datetime", "30 minutes"),
-            F.col("end_cell_x").alias("cell_x"),
-            F.col("end_cell_y").alias("cell_y"),
-        )
-        .agg(F.approx_count_distinct("medallion").alias("empty_taxis"))
+def _taxis(trips: DataFrame, lateness: str, exact: bool) -> DataFrame:
+    """The exact form keeps one entry per taxi, cell and window, the other a sketch per cell."""
+    where = ["window", "cell_x", "cell_y"]
+    placed = with_250m_cells(trips).withWatermark("dropoff_datetime", lateness).select(
+        F.window("dropoff_datetime", "30 minutes").alias("window"),
+        F.col("end_cell_x").alias("cell_x"),
+        F.col("end_cell_y").alias("cell_y"),
+        "medallion",
     )
+    if not exact:
+        return placed.groupBy(*where).agg(F.approx_count_distinct("medallion").alias("empty_taxis"))
+    once = placed.groupBy(*where, "medallion").agg(F.count(F.lit(1)).alias("trips"))
+    return once.groupBy(*where).agg(F.count("medallion").alias("empty_taxis"))
 
 
 def profit_windows(trips: DataFrame, lateness: str = PROFIT_LATENESS) -> DataFrame:
@@ -70,12 +74,12 @@ def profit_windows(trips: DataFrame, lateness: str = PROFIT_LATENESS) -> DataFra
     return flat_window(_profit(trips, lateness))
 
 
-def taxi_windows(trips: DataFrame, lateness: str = EMPTY_LATENESS) -> DataFrame:
-    """Distinct taxis (approximate) per 30-minute window and dropoff cell."""
-    return flat_window(_taxis(trips, lateness))
+def taxi_windows(trips: DataFrame, lateness: str = EMPTY_LATENESS, exact: bool = True) -> DataFrame:
+    """Distinct taxis per 30-minute window and dropoff cell."""
+    return flat_window(_taxis(trips, lateness, exact))
 
 
-def profitability_windows(trips: DataFrame) -> DataFrame:
+def profitability_windows(trips: DataFrame, exact: bool = True) -> DataFrame:
     """Profit joined with the taxis of the 30-minute window around it.
 
     The window takes part in the join, so both sides' state can be dropped as time passes.
@@ -83,7 +87,7 @@ def profitability_windows(trips: DataFrame) -> DataFrame:
     # one event-time column a side: the surrounding window stands in for the profit window
     around = F.window(F.window_time("window"), "30 minutes")
     profit = flat_window(_profit(trips, PROFIT_LATENESS).withColumn("around", around))
-    taxis = _taxis(trips, EMPTY_LATENESS).withColumnRenamed("window", "around")
+    taxis = _taxis(trips, EMPTY_LATENESS, exact).withColumnRenamed("window", "around")
     joined = profit.join(taxis, ["around", *CELL]).drop("around")
     return joined.withColumn("profitability", profitability("median_fare_tip", "empty_taxis"))
 
@@ -103,19 +107,14 @@ def empty_taxi_ticks(trips: DataFrame, step: int = PROFIT_SECONDS, span: int = E
     """Empty taxis per cell at every multiple of `step`, as in the batch plan.
 
     The state is one event per taxi and tick, then one count per cell and tick. A trip is
-    known only at its end, so a tick closes once no trip that began before it can arrive.
+    known only at its end, so a tick closes once no trip that began before it can arrive;
+    trips above `longest_trip` seconds take no part, here as in the batch plan.
     """
-    events = events_at_ticks(taxi_events(with_250m_cells(trips)), step, span)
+    events = events_at_ticks(taxi_events(with_end_cells(trips, longest_trip)), step, span)
     latest = (
         events.withColumn("tick", F.timestamp_seconds("tick"))
         .withWatermark("tick", f"{longest_trip + span} seconds")
         .groupBy("medallion", "tick")
         .agg(F.max("event").alias("event"))
     )
-    counted = (
-        latest.filter(F.col("event.is_dropoff") == 1)
-        .groupBy("tick", F.col("event.cell_x").alias("cell_x"),
-                 F.col("event.cell_y").alias("cell_y"))
-        .agg(F.count(F.lit(1)).alias("empty_taxis"))
-    )
-    return counted.withColumn("tick", F.unix_seconds("tick"))
+    return in_cells(latest).withColumn("tick", F.unix_seconds("tick"))
