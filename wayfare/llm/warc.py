@@ -36,64 +36,83 @@ def _urn(page_id: Column) -> Column:
     return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("")), F.lit(">"))
 
 
-def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
-            payload_col: str = "html", least: int = LEAST_REVISIT) -> DataFrame:
-    """One row per page: id, url, digest, type, archive, length and the record's text."""
+def _rows(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
+          payload_col: str = "html") -> DataFrame:
+    """page_id, url, html, bytes and digest of every page."""
     html = F.coalesce(F.col(payload_col), F.lit(""))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), html.alias("html"))
-    rows = rows.withColumns({"bytes": F.octet_length("html").cast("long"),
+    return rows.withColumns({"bytes": F.octet_length("html").cast("long"),
                              "digest": F.sha2(F.encode("html", "UTF-8"), 256)})
-    total = rows.agg(F.sum(F.col("bytes"))).first()[0] or 0
-    # only ids and digests meet to find copies; the table has one row per digest with copies
-    first = (rows.filter(F.col("bytes") >= least).groupBy("digest")
-             .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-             .filter("n > 1 and first is not null").select("digest", "first"))
-    rows = rows.join(first, "digest", "left").withColumn(
-        "refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
-    revisit = F.col("refers_to").isNotNull()
-    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
-                    F.col("bytes"), F.lit(END))
-    block = F.when(revisit, F.lit("")).otherwise(F.concat(http, F.col("html")))
+
+
+def _revisit() -> Column:
+    return F.col("refers_to").isNotNull()
+
+
+def _http() -> Column:
+    """What stands before a payload; nothing in a revisit, which has none."""
+    start = F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: ")
+    return F.when(_revisit(), F.lit("")).otherwise(F.concat(start, F.col("bytes"), F.lit(END)))
+
+
+def _block_bytes() -> Column:
+    return F.octet_length(_http()) + F.when(_revisit(), F.lit(0)).otherwise(F.col("bytes"))
+
+
+def _head() -> Column:
     # white space and control characters may not stand in a header
     target = F.regexp_replace("url", r"[\x00-\x20\x7f]", "%20")
-    head = _lines(
+    return _lines(
         F.lit("WARC/1.1"),
-        F.concat(F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response")),
+        F.concat(F.lit("WARC-Type: "), F.when(_revisit(), "revisit").otherwise("response")),
         F.concat(F.lit("WARC-Record-ID: "), _urn(F.col("page_id"))),
         F.concat(F.lit("WARC-Date: "), F.lit(DATE)),
         F.concat(F.lit("WARC-Target-URI: "), target),
         F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("digest")),
         F.concat(F.lit("WARC-Identified-Payload-Length: "), F.col("bytes")),
-        F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), _urn(F.col("refers_to")))),
-        F.when(revisit, F.lit(f"WARC-Profile: {PROFILE}")),
+        F.when(_revisit(), F.concat(F.lit("WARC-Refers-To: "), _urn(F.col("refers_to")))),
+        F.when(_revisit(), F.lit(f"WARC-Profile: {PROFILE}")),
         F.concat(F.lit("Content-Type: "),
                  F.lit("application/http; msgtype=response")),
-        F.concat(F.lit("Content-Length: "), F.octet_length(block)),
+        F.concat(F.lit("Content-Length: "), _block_bytes()),
     )
-    n = max(1, -(-total // ARCHIVE_BYTES))
-    return rows.select(
-        "page_id", "url", "digest", F.when(revisit, "revisit").otherwise("response").alias("type"),
-        F.pmod(F.xxhash64("page_id", "url", "digest"), F.lit(n)).cast("int").alias("archive"),
-        F.concat(head, F.lit(END), block).alias("record"),
-    ).withColumn("length", F.octet_length("record") + len(END))
 
 
 _ORDER = ["page_id", "digest", "url"]
 
 
-def write_archives(pages: DataFrame, **columns) -> tuple[DataFrame, str]:
+def write_archives(pages: DataFrame, least: int = LEAST_REVISIT, **columns) -> tuple[DataFrame, str]:
     """Write the index, then the archives; return the index and the archives' folder.
 
-    An archive is one file, written by one task: its records in the order of the index, each closed
-    by the empty lines that end a WARC record.
+    The index follows from ids, URLs, digests and sizes alone. Payloads move once, to the task that
+    writes their archive; there they meet what the index says of revisits. An archive is one file:
+    its records in the order of the index, each closed by the empty lines that end a WARC record.
     """
-    rows = written(records(pages, **columns), "records")
+    rows = _rows(pages, **columns)
+    sizes = written(rows.drop("html"), "sizes")
+    n = max(1, -(-(sizes.agg(F.sum("bytes")).first()[0] or 0) // ARCHIVE_BYTES))
+    archive = F.pmod(F.xxhash64("page_id", "url", "digest"), F.lit(n)).cast("int")
+    first = (sizes.filter(F.col("bytes") >= least).groupBy("digest")
+             .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
+             .filter("n > 1 and first is not null").select("digest", "first"))
+    known = sizes.join(first, "digest", "left").withColumn(
+        "refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
+    length = F.octet_length(_head()) + len(END) + _block_bytes() + len(END)
     before = F.sum("length").over(Window.partitionBy("archive").orderBy(*_ORDER)
                                   .rowsBetween(Window.unboundedPreceding, 0))
-    index = written(rows.drop("record").withColumn("offset", (before - F.col("length")).cast("long")), "index")
+    index = written(
+        known.select(*_ORDER, "refers_to", F.when(_revisit(), "revisit").otherwise("response").alias("type"),
+                     archive.alias("archive"), length.cast("long").alias("length"))
+        .withColumn("offset", before - F.col("length")), "index")
+    said = index.filter(_revisit()).select("archive", *_ORDER, F.col("refers_to").alias("said")).distinct()
+    same = Window.partitionBy("archive", *_ORDER)
+    met = (rows.withColumn("archive", archive).unionByName(said, allowMissingColumns=True)
+           .repartition(n, "archive").withColumn("refers_to", F.max("said").over(same))
+           .filter(F.col("html").isNotNull()))
+    payload = F.when(_revisit(), F.lit("")).otherwise(F.col("html"))
     folder = scratch_path(pages.sparkSession, "warc")
-    n = (rows.agg(F.max("archive")).first()[0] or 0) + 1
-    (rows.repartition(n, "archive").sortWithinPartitions("archive", *_ORDER)
+    (met.withColumn("record", F.concat(_head(), F.lit(END), _http(), payload))
+     .sortWithinPartitions("archive", *_ORDER)
      .select("archive", "record").write.partitionBy("archive").option("lineSep", END).text(folder))
     return index, folder
 
