@@ -31,7 +31,7 @@ class Output:
 
     def write(self, data: bytes) -> None:
         self.stream.write(data)
-        self.size += len(data)
+        self.size += memoryview(data).nbytes
 
     def done(self) -> None:
         self.stream.close()

@@ -3,23 +3,28 @@
 Each page becomes a record. Of pages with equal payloads of some length, the one with the smallest
 id is a response and the others are revisits of it. The index (archive, offset, length, URL,
 digest) is worked out with the records, so a selection of records is read as few sorted, merged byte
-ranges. A NULL payload is empty; a NULL URL has no target header; pages without an id are
-responses unless an equal payload has an id; rows repeated with the smallest id are all responses.
+ranges. Every record is a gzip member of its own, so offsets and lengths are those in the file. A NULL
+payload is empty; a NULL URL has no target header; pages without an id are responses unless an
+equal payload has an id; rows repeated with the smallest id are all responses.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import zlib
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import written
-from wayfare.llm.files import reader
+from wayfare.llm.common import vectorized, written
+from wayfare.llm.files import Output, reader
 from wayfare.session import scratch_path
 
 ARCHIVE_BYTES = 32 << 20
+LEVEL = 6  # of compression
 READ_BYTES = 4 << 20  # most bytes of one merged read, unless one record is longer
 GAP_BYTES = 64 << 10  # unselected bytes that are read along rather than skipped
 LEAST_REVISIT = 100
@@ -78,45 +83,84 @@ def _head() -> Column:
     )
 
 
+def _record(payload: Column) -> Column:
+    return F.concat(_head(), F.lit(END), _http(), payload, F.lit(END))
+
+
+@vectorized("binary")
+def _member(records: pa.Array) -> pa.Array:
+    """The gzip member of each record, without a time stamp; NULL stays NULL."""
+    return pa.array([zlib.compress(r.as_py().encode(), LEVEL, wbits=31) if r.is_valid else None
+                     for r in records], pa.binary())
+
+
+def _path(folder: str) -> Column:
+    return F.concat(F.lit(f"{folder}/"), F.format_string("%06d.warc.gz", "archive"))
+
+
 _ORDER = ["page_id", "digest", "url"]
 
 
 def write_archives(pages: DataFrame, least: int = LEAST_REVISIT, **columns) -> tuple[DataFrame, str]:
     """Write the index, then the archives; return the index and the archives' folder.
 
-    The index follows from ids, URLs, digests and sizes alone. Payloads move once, to the task that
-    writes their archive; there they meet what the index says of revisits. An archive is one file:
-    its records in the order of the index, each closed by the empty lines that end a WARC record.
+    The index follows from ids, URLs, digests and sizes alone; a payload's compressed size is found
+    where it is read. Records move once and compressed, to the task that writes their archive; there
+    they meet what the index says of revisits. An archive is one file: its records in the order of
+    the index, each closed by the empty lines that end a WARC record.
     """
-    rows = _rows(pages, **columns)
-    sizes = written(rows.drop("html"), "sizes")
-    n = max(1, -(-(sizes.agg(F.sum("bytes")).first()[0] or 0) // ARCHIVE_BYTES))
+    rows = (_rows(pages, **columns).withColumn("refers_to", F.lit(None).cast("string"))
+            .withColumn("member", _member(_record(F.col("html")))).drop("html", "refers_to"))
+    sizes = written(rows.withColumn("whole", F.octet_length("member").cast("long")).drop("member"), "sizes")
+    n = max(1, -(-(sizes.agg(F.sum("whole")).first()[0] or 0) // ARCHIVE_BYTES))
     archive = F.pmod(F.xxhash64("page_id", "url", "digest"), F.lit(n)).cast("int")
     first = (sizes.filter(F.col("bytes") >= least).groupBy("digest")
              .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
              .filter("n > 1 and first is not null").select("digest", "first"))
     known = sizes.join(first, "digest", "left").withColumn(
         "refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
-    length = F.octet_length(_head()) + len(END) + _block_bytes() + len(END)
+    revisit = _member(F.when(_revisit(), _record(F.lit(""))))
     before = F.sum("length").over(Window.partitionBy("archive").orderBy(*_ORDER)
                                   .rowsBetween(Window.unboundedPreceding, 0))
     index = written(
-        known.select(*_ORDER, "refers_to", F.when(_revisit(), "revisit").otherwise("response").alias("type"),
-                     archive.alias("archive"), length.cast("long").alias("length"))
+        known.withColumn("revisit", revisit)
+        .select(*_ORDER, "refers_to", F.when(_revisit(), "revisit").otherwise("response").alias("type"),
+                archive.alias("archive"),
+                F.coalesce(F.octet_length("revisit").cast("long"), "whole").alias("length"))
         .withColumn("offset", before - F.col("length")), "index")
     said = index.filter(_revisit()).select("archive", *_ORDER, F.col("refers_to").alias("said")).distinct()
     same = Window.partitionBy("archive", *_ORDER)
     met = (rows.withColumn("archive", archive).unionByName(said, allowMissingColumns=True)
            .repartition(n, "archive").withColumn("refers_to", F.max("said").over(same))
-           .filter(F.col("html").isNotNull()))
-    payload = F.when(_revisit(), F.lit("")).otherwise(F.col("html"))
+           .filter(F.col("member").isNotNull()))
     folder = scratch_path(pages.sparkSession, "warc")
-    (met.withColumn("record", F.concat(_head(), F.lit(END), _http(), payload))
-     .sortWithinPartitions("archive", *_ORDER)
-     .select("archive", "record").write.partitionBy("archive").option("lineSep", END).text(folder))
+    files = (met.withColumn("revisit", revisit).withColumn("path", _path(folder))
+             .sortWithinPartitions("archive", *_ORDER)
+             .select("path", F.coalesce("revisit", "member").alias("member")))
+    written(files.mapInArrow(_write, "path string, bytes long"), "archives")
     return index, folder
 
 
+def _write(batches):
+    """Write sorted records to the archives they name; one row per archive."""
+    path, file = None, None
+    for batch in batches:
+        for name, member in zip(batch.column("path").to_pylist(), batch.column("member")):
+            if name != path:
+                if file is not None:
+                    file.done()
+                    yield _done(path, file)
+                path, file = name, Output(name)
+            file.write(member.as_buffer())
+    if file is not None:
+        file.done()
+        yield _done(path, file)
+
+
+def _done(path: str, file: Output) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"path": [path], "bytes": [file.size]})
+
+
 def byte_ranges(index: DataFrame, read_bytes: int = READ_BYTES, gap: int = GAP_BYTES) -> DataFrame:
     """Merged reads of the selected records: archive, start, end and the records' places.
 
@@ -162,18 +206,18 @@ _READ = ("page_id string, url string, payload_bytes long, payload_digest string,
 
 def read_records(index: DataFrame, folder: str, with_payload: bool = False) -> DataFrame:
     """The selected records, read from the archives and checked against their digests."""
-    files = index.sparkSession.read.format("binaryFile").load(folder).select("archive", "path")
-    reads = byte_ranges(index).join(files, "archive")
+    schema = _READ + (", payload binary" if with_payload else "")
+    columns = [c.split()[0] for c in schema.split(", ")]
 
     def read(frames):
         for frame in frames:
             for path, start, end, places in zip(frame["path"], frame["start"], frame["end"], frame["places"]):
                 with reader(path) as file:
                     data = file.read_at(end - start, start)
-                out = []
+                out, held = [], 0
                 for place in places:
                     at = place["offset"] - start
-                    headers, payload = parsed(data[at:at + place["length"]])
+                    headers, payload = parsed(gzip.decompress(data[at:at + place["length"]]))
                     row = [_name(headers["WARC-Record-ID"]), headers.get("WARC-Target-URI"),
                            int(headers["WARC-Identified-Payload-Length"]),
                            headers["WARC-Payload-Digest"].removeprefix("sha256:"),
@@ -181,7 +225,11 @@ def read_records(index: DataFrame, folder: str, with_payload: bool = False) -> D
                     if headers["WARC-Type"] == "response" and row[2] != len(payload):
                         raise ValueError("a payload's length is wrong")
                     out.append((*row, payload) if with_payload else tuple(row))
-                yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+                    held += len(payload) if with_payload else 0
+                    if held > READ_BYTES:
+                        yield pd.DataFrame(out, columns=columns)
+                        out, held = [], 0
+                yield pd.DataFrame(out, columns=columns)
 
-    schema = _READ + (", payload binary" if with_payload else "")
+    reads = byte_ranges(index).withColumn("path", _path(folder))
     return reads.select("path", "start", "end", "places").mapInPandas(read, schema)
