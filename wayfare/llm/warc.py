@@ -205,7 +205,10 @@ _READ = ("page_id string, url string, payload_bytes long, payload_digest string,
 
 
 def read_records(index: DataFrame, folder: str, with_payload: bool = False) -> DataFrame:
-    """The selected records, read from the archives and checked against their digests."""
+    """The selected records, read from the archives and checked against their digests.
+
+    The index is small beside the archives, so tasks follow the bytes to read, not its rows.
+    """
     schema = _READ + (", payload binary" if with_payload else "")
     columns = [c.split()[0] for c in schema.split(", ")]
 
@@ -231,5 +234,6 @@ def read_records(index: DataFrame, folder: str, with_payload: bool = False) -> D
                         out, held = [], 0
                 yield pd.DataFrame(out, columns=columns)
 
-    reads = byte_ranges(index).withColumn("path", _path(folder))
+    n = max(1, -(-(index.agg(F.sum("length")).first()[0] or 0) // ARCHIVE_BYTES))
+    reads = byte_ranges(index).withColumn("path", _path(folder)).repartition(n, "path", "start")
     return reads.select("path", "start", "end", "places").mapInPandas(read, schema)
