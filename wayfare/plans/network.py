@@ -91,55 +91,74 @@ def neighbours(edges: DataFrame) -> DataFrame:
     )
 
 
-def _successors(edges: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs directed from the lower to the higher (degree, name), and the salts of hubs.
+def _successors(edges: DataFrame, limit: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Successor lists (low, successors), numbers of the airports, and the salts of hubs by number.
 
-    In that direction no vertex has more than sqrt(2 x pairs) successors, so hubs do not
-    blow up the path join. A vertex has at most its degree in rows on either side, so one
-    table of high degrees tells every join which keys to divide.
+    Pairs are directed from the lower to the higher (degree, number). In that direction no
+    vertex has more than sqrt(2 x pairs) successors, so a list is bounded by itself. Numbers are
+    given as the degrees are written, and stay. A vertex has at most its degree in rows on either
+    side, so one table of high degrees tells every join which keys to divide.
     """
     pairs = cut_lineage(undirected(edges))
     ends = pairs.select(F.explode(F.array("u", "v")).alias("id"))
-    degree = cut_lineage(ends.groupBy("id").agg(F.count(F.lit(1)).alias("rows")))
-    salts = salts_of(degree.filter(F.col("rows") > limit), ["id"], limit)
+    degree = cut_lineage(ends.groupBy("id").agg(F.count(F.lit(1)).alias("rows"))
+                         .withColumn("number", F.monotonically_increasing_id()))
+    hot = degree.filter(F.col("rows") > limit)
 
-    def with_degree(df, column, out):
-        found = degree.select(F.col("id").alias(column), F.col("rows").alias(out))
-        return salted_join(df, found, [column], salts=salts.withColumnRenamed("id", column))
+    def ranked(df, column):
+        found = degree.select(F.col("id").alias(column), F.struct("rows", "number").alias(f"__{column}"))
+        salts = salts_of(hot.withColumnRenamed("id", column), [column], limit)
+        return salted_join(df, found, [column], salts=salts)
+
+    both = ranked(ranked(pairs, "u"), "v")
+    directed = both.select(F.least("__u", "__v")["number"].alias("low"),
+                           F.greatest("__u", "__v")["number"].alias("high"))
+    lists = directed.groupBy("low").agg(F.collect_list("high").alias("successors"))
+    return (cut_lineage(lists), degree.select("number", "id"),
+            salts_of(hot.withColumnRenamed("number", "b"), ["b"], limit))
 
-    both = with_degree(with_degree(pairs, "u", "du"), "v", "dv")
-    ends = (
-        F.struct(F.col("du").alias("d"), F.col("u").alias("n")),
-        F.struct(F.col("dv").alias("d"), F.col("v").alias("n")),
-    )
-    directed = both.select(
-        F.least(*ends)["n"].alias("low"), F.greatest(*ends)["n"].alias("high")
-    )
-    return cut_lineage(directed), salts
+
+def _closed(edges: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b, third): per directed pair the successors that both ends share; and the numbers.
+
+    Every pair carries the list of its lower end to the list of its higher end, where the two are
+    intersected. No path of two pairs is ever a row.
+    """
+    lists, numbers, salts = _successors(edges, limit)
+    pairs = lists.filter(F.size("successors") > 1).select(
+        F.col("low").alias("a"), F.explode("successors").alias("b"), F.col("successors").alias("of_a"))
+    of_b = lists.select(F.col("low").alias("b"), F.col("successors").alias("of_b"))
+    met = salted_join(pairs, of_b, ["b"], salts=salts)
+    return met.select("a", "b", F.array_intersect("of_a", "of_b").alias("third")), numbers
 
 
 def triangles(edges: DataFrame, limit: int = GROUP_ROWS) -> DataFrame:
     """Every triangle of the undirected graph once, as (a, b, c)."""
-    directed, salts = _successors(edges, limit)
-    first = directed.select(F.col("low").alias("a"), F.col("high").alias("b"))
-    second = directed.select(F.col("low").alias("b"), F.col("high").alias("c"))
-    closing = directed.select(F.col("low").alias("a"), F.col("high").alias("c"))
-    paths = salted_join(first, second, ["b"], salts=salts.withColumnRenamed("id", "b"))
-    return paths.join(closing, ["a", "c"]).select("a", "b", "c")
+    closed, numbers = _closed(edges, limit)
+    found = closed.select("a", "b", F.explode("third").alias("c"))
+    for corner in ("a", "b", "c"):
+        names = numbers.select(F.col("number").alias(corner), F.col("id").alias(f"__{corner}"))
+        found = found.join(names, corner)
+    return found.select(*[F.col(f"__{corner}").alias(corner) for corner in ("a", "b", "c")])
 
 
 def triangles_total(edges: DataFrame, limit: int = GROUP_ROWS) -> DataFrame:
-    return triangles(edges, limit).agg(F.count(F.lit(1)).alias("triangles"))
+    closed, _ = _closed(edges, limit)
+    total = F.coalesce(F.sum(F.size("third")), F.lit(0))
+    return closed.agg(total.cast("bigint").alias("triangles"))
 
 
 def triangles_per_node(edges: DataFrame, limit: int = GROUP_ROWS) -> DataFrame:
     """(node, triangle_count) of airports that are in a triangle."""
-    return (
-        triangles(edges, limit)
-        .select(F.explode(F.array("a", "b", "c")).alias("node"))
-        .groupBy("node")
-        .agg(F.count(F.lit(1)).alias("triangle_count"))
-    )
+    closed, numbers = _closed(edges, limit)
+    n = F.size("third").cast("bigint")
+    corners = F.concat(
+        F.array(F.struct(F.col("a").alias("number"), n.alias("n")),
+                F.struct(F.col("b").alias("number"), n.alias("n"))),
+        F.transform("third", lambda c: F.struct(c.alias("number"), F.lit(1).cast("bigint").alias("n"))))
+    counted = (closed.filter(F.size("third") > 0).select(F.inline(corners))
+               .groupBy("number").agg(F.sum("n").alias("triangle_count")))
+    return counted.join(numbers, "number").select(F.col("id").alias("node"), "triangle_count")
 
 
 def degrees_and_triangles(edges: DataFrame, limit: int = GROUP_ROWS) -> DataFrame:
