@@ -1,6 +1,6 @@
 import pytest
 
-from wayfare.operators.places import Boroughs
+from wayfare.operators.places import Boroughs, cell_index
 from wayfare.session import scratch_path
 from wayfare.sources import derived
 from wayfare.sources.polygons import read_geojson
@@ -34,8 +34,9 @@ def expected(null):
 
 @pytest.mark.parametrize("height", [0.0007, 0.01, 5.0])
 @pytest.mark.parametrize("broadcast_edges", [0, 10_000])
-def test_lookup(spark, points, height, broadcast_edges):
-    boroughs = Boroughs(derived.borough_edges(spark), height, broadcast_edges)
+@pytest.mark.parametrize("width", [0.003, 0.5])
+def test_lookup(spark, points, height, broadcast_edges, width):
+    boroughs = Boroughs(derived.borough_edges(spark), height, broadcast_edges, width)
     found = boroughs.lookup(points, "lon", "lat", "borough")
     assert {r["name"]: r["borough"] for r in found.collect()} == expected("Unknown")
 
@@ -61,3 +62,17 @@ def test_point_on_a_west_edge_is_inside_and_on_an_east_edge_outside(spark):
                                "name string, lon double, lat double")
     found = Boroughs(box).lookup(at, "lon", "lat", "b").collect()
     assert {r["name"]: r["b"] for r in found} == {"w": "box", "e": "Unknown", "m": "box"}
+
+
+def test_shapes_on_one_parallel_share_no_row(spark):
+    n = 300
+    corners = [(0.0, 0.0, 0.4, 0.0), (0.4, 0.0, 0.4, 0.005), (0.4, 0.005, 0.0, 0.005),
+               (0.0, 0.005, 0.0, 0.0)]
+    boxes = spark.createDataFrame(
+        [(i, f"box {i}", i + a, b, i + c, d) for i in range(n) for a, b, c, d in corners],
+        "ordinal int, borough string, x1 double, y1 double, x2 double, y2 double")
+    sizes = cell_index(boxes).selectExpr("max(size(shapes))", "count(*)").first()
+    assert tuple(sizes) == (1, n)
+    at = spark.createDataFrame([(i, i + 0.2) for i in range(n)], "i int, lon double")
+    found = Boroughs(boxes).lookup(at.selectExpr("*", "0.001D AS lat"), "lon", "lat", "b").collect()
+    assert all(r["b"] == f"box {r['i']}" for r in found)

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from wayfare.functions import cells
-from wayfare.operators.places import SLAB_DEGREES, slab_index
+from wayfare.operators.places import CELL_DEGREES, SLAB_DEGREES, cell_index
+from wayfare.session import cut_lineage
 
 _ONE_CELL = f"""
     CREATE OR REPLACE TEMPORARY FUNCTION get_cell_id(lat DOUBLE, lon DOUBLE) RETURNS STRING
@@ -35,7 +36,8 @@ _BOROUGH_AMONG = """
 _BOROUGH = """
     CREATE OR REPLACE TEMPORARY FUNCTION to_borough(lon DOUBLE, lat DOUBLE) RETURNS STRING
     RETURN borough_among(lon, lat,
-        (SELECT any_value(shapes) FROM {view} WHERE slab = floor(lat / {height}D)))
+        (SELECT any_value(shapes) FROM {view}
+         WHERE slab = floor(lat / {height}D) AND cell = floor(lon / {width}D)))
 """
 
 
@@ -45,12 +47,14 @@ def register_cell_function(spark: SparkSession) -> None:
 
 
 def register_borough_function(spark: SparkSession, edges: DataFrame,
-                              view: str = "borough_slabs",
-                              height: float = SLAB_DEGREES) -> None:
+                              view: str = "borough_cells",
+                              height: float = SLAB_DEGREES,
+                              width: float = CELL_DEGREES) -> None:
     """`to_borough(lon, lat)`: the first polygon that holds the point, else 'Unknown'.
 
-    Spark turns the lookup of the point's slab into a join.
+    Spark turns the lookup of the point's cell into a join with the written index, whose size it
+    then knows: a small one is broadcast, a large one shuffled and hot cells divided at run time.
     """
-    slab_index(edges, height).createOrReplaceTempView(view)
+    cut_lineage(cell_index(edges, height, width)).createOrReplaceTempView(view)
     spark.sql(_BOROUGH_AMONG)
-    spark.sql(_BOROUGH.format(view=view, height=height))
+    spark.sql(_BOROUGH.format(view=view, height=height, width=width))

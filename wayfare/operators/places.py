@@ -1,8 +1,9 @@
 """Point to polygon lookup.
 
-Polygons are cut into horizontal slabs: a slab lists, per polygon, only the edges that
-reach into it. A point needs no more than its own slab, so the lookup is an equi-join on
-the slab number and each trip stays one row.
+Polygons are cut into horizontal slabs, and slabs into wide cells: a cell lists the polygons that
+reach into it, each with its edges in the slab. A point needs no more than its own cell, so the
+lookup is an equi-join on the cell and each trip stays one row. Shapes far apart on one
+parallel share no cell.
 """
 
 from __future__ import annotations
@@ -12,8 +13,11 @@ from pyspark.sql import functions as F
 
 from wayfare.functions.shapes import contains
 from wayfare.operators.skew import salted_join
+from wayfare.session import cut_lineage
 
 SLAB_DEGREES = 0.01
+# Cells are wide, since a shape's edges in a slab are repeated in every cell between its ends.
+CELL_DEGREES = 0.5
 # About 40 bytes an edge: an index of this many edge entries is a broadcast of some 20 MB.
 BROADCAST_EDGES = 500_000
 
@@ -22,8 +26,13 @@ def slab_number(latitude: Column, height: float = SLAB_DEGREES) -> Column:
     return F.floor(latitude / F.lit(height))
 
 
-def slab_index(edges: DataFrame, height: float = SLAB_DEGREES) -> DataFrame:
-    """`(slab, shapes array<struct<ordinal, borough, west, east, edges>>)` from polygon edges.
+def cell_number(longitude: Column, width: float = CELL_DEGREES) -> Column:
+    return F.floor(longitude / F.lit(width))
+
+
+def cell_index(edges: DataFrame, height: float = SLAB_DEGREES,
+               width: float = CELL_DEGREES) -> DataFrame:
+    """`(slab, cell, shapes array<struct<ordinal, borough, west, east, edges>>)` from polygon edges.
 
     `edges` has the columns ordinal, borough, x1, y1, x2, y2. Several features of one
     name stay apart and all count.
@@ -43,7 +52,9 @@ def slab_index(edges: DataFrame, height: float = SLAB_DEGREES) -> DataFrame:
         F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"),
     )
     listed = F.collect_list(F.struct("ordinal", "borough", "west", "east", "edges"))
-    return per_shape.groupBy("slab").agg(F.sort_array(listed).alias("shapes"))
+    reached = F.sequence(cell_number(F.col("west"), width), cell_number(F.col("east"), width))
+    return (per_shape.withColumn("cell", F.explode(reached))
+            .groupBy("slab", "cell").agg(F.sort_array(listed).alias("shapes")))
 
 
 def holds(shape: Column, x: Column, y: Column) -> Column:
@@ -54,14 +65,14 @@ def holds(shape: Column, x: Column, y: Column) -> Column:
 class Boroughs:
     """A polygon set prepared for lookups.
 
-    The size of its index is counted once, when it is prepared. A set above
-    `broadcast_edges` is joined by shuffle, with hot slabs salted.
+    Its index is written once, when it is prepared, and its size counted. A set above
+    `broadcast_edges` is joined by shuffle, with hot cells salted.
     """
 
     def __init__(self, edges: DataFrame, height: float = SLAB_DEGREES,
-                 broadcast_edges: int = BROADCAST_EDGES):
-        self.height = height
-        self.index = slab_index(edges, height)
+                 broadcast_edges: int = BROADCAST_EDGES, width: float = CELL_DEGREES):
+        self.height, self.width = height, width
+        self.index = cut_lineage(cell_index(edges, height, width))
         size = self.index.select(
             F.sum(F.aggregate("shapes", F.lit(0), lambda n, s: n + F.size(s["edges"])))
         ).first()[0]
@@ -74,21 +85,25 @@ class Boroughs:
         A missing coordinate gives "Unknown", or NULL if `null_is_unknown` is off.
         """
         x, y = F.col(longitude), F.col(latitude)
-        # a point with a NULL or NaN coordinate is in no slab
+        # a point with a NULL or NaN coordinate is in no cell
         known = ~F.isnan(x) & ~F.isnan(y)
-        placed = df.withColumn("__slab", F.when(known, slab_number(y, self.height)))
-        index = self.index.select(F.col("slab").alias("__slab"), "shapes")
+        placed = df.withColumns({
+            "__slab": F.when(known, slab_number(y, self.height)),
+            "__cell": F.when(known, cell_number(x, self.width)),
+        })
+        index = self.index.select(F.col("slab").alias("__slab"), F.col("cell").alias("__cell"),
+                                  "shapes")
         if self.small:
-            joined = placed.join(F.broadcast(index), "__slab", "left")
+            joined = placed.join(F.broadcast(index), ["__slab", "__cell"], "left")
         else:
-            joined = salted_join(placed, index, ["__slab"], "left")
+            joined = salted_join(placed, index, ["__slab", "__cell"], "left")
         hit = F.get(
             F.filter("shapes", lambda shape: holds(shape, x, y)), F.lit(0)
         )["borough"]
         name = F.coalesce(hit, F.lit("Unknown"))
         if not null_is_unknown:
             name = F.when(x.isNotNull() & y.isNotNull(), name)
-        return joined.withColumn(out, name).drop("__slab", "shapes")
+        return joined.withColumn(out, name).drop("__slab", "__cell", "shapes")
 
     def both_ends(self, df: DataFrame, null_is_unknown: bool = True) -> DataFrame:
         """Add pickup_borough and dropoff_borough to trips."""
