@@ -86,6 +86,55 @@ def test_cutoffs_limit_false_rejections(spark):
     assert not any(r.kept for r in judged if r.doc_id % 10 == 0)
 
 
+def test_kept_with_a_few_hundred_labels_per_stratum(spark):
+    """Four strata, the smallest too small for a test; the whole sequence by brute force."""
+    tuned(spark)
+    rng = np.random.default_rng(5)
+    data = []
+    for lang, n in (("a", 420), ("b", 380), (None, 700), ("few", 150)):
+        for i in range(n):
+            bad = i % 10 == 0
+            data.append((len(data), lang, 1000, int(rng.integers(4000, 6000)),
+                         int(rng.integers(300, 900) if bad else rng.integers(0, 60)), 100,
+                         int(rng.integers(20, 60) if bad else rng.integers(0, 6)), int(rng.integers(0, 90))))
+    names = "doc_id long, lang string, " + ", ".join(f"{n} long" for n in quality.COUNTS)
+    counts = spark.createDataFrame(data, names)
+    labels = spark.createDataFrame([(r[0], int((r[4] < 100))) for r in data if r[0] % 20 != 5],
+                                   "doc_id long, quality int")
+    draws = {r.doc_id for r in counts.filter(f"pmod(xxhash64(doc_id), {quality.DRAWING}) = 0").collect()}
+    known = {r.doc_id: r.quality for r in labels.collect()}
+    values = {r[0]: (min(200, r[4] * 1000 // r[3]), min(200, r[6] * 100 // r[5]), min(200, r[7] * 100 // r[2]),
+                     min(200, r[3] * 10 // r[2])) for r in data}
+    def steps(drawn):
+        """The step at which a value is rejected, from the values of those that draw."""
+        top, middle = max(drawn), sorted(drawn)[(len(drawn) - 1) // 2]
+        return [16 * (v - top) // (top - middle + 1) if v > top else -sum(d >= v for d in drawn)
+                for v in range(201)]
+
+    want = {}
+    for lang in ("a", "b", None, "few"):
+        ids = [r[0] for r in data if r[1] == lang]
+        good = [i for i in ids if known.get(i) == 1]
+        held = [i for i in good if i not in draws]
+        at = [steps([values[i][f] for i in good if i in draws]) for f in range(4)]
+        step = {i: max(at[f][values[i][f]] for f in range(4)) for i in ids}
+        chosen = 10**6
+        for last in range(16 * 201, -len(good), -1):
+            x, n = sum(step[i] >= last for i in held), len(held)
+            if sum(math.comb(n, k) * 0.02**k * 0.98**(n - k) for k in range(x + 1)) > 0.05 / 4:
+                break
+            if any(step[i] == last - 1 for i in held):  # steps that reject no more are not taken
+                chosen = last
+        want |= {i: step[i] < chosen for i in ids}
+    limits = quality.cutoffs(counts, labels, "doc_id", "lang")
+    got = {r.doc_id: r.kept for r in quality.judged(counts, limits, "lang").collect()}
+    assert got == want
+    large = [(r, got[r[0]]) for r in data if r[1] != "few"]
+    assert not any(kept for r, kept in large if r[4] >= 300)
+    assert sum(kept for r, kept in large if r[4] < 300) >= 0.98 * sum(r[4] < 300 for r, _ in large)
+    assert all(got[r[0]] for r in data if r[1] == "few")
+
+
 def test_empty_tables(spark, docs):
     none = docs.filter("false")
     labels = spark.createDataFrame([], "doc_id long, quality int")

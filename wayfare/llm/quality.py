@@ -1,9 +1,13 @@
 """Quality rules whose cutoffs are chosen under a guarantee on false rejections.
 
-Every text gets its counts in one pass. Labelled documents of good quality are the holdout: in
-each stratum a cutoff may only be used if an exact binomial test, corrected for all cutoffs tried
-(Bonferroni), shows that it rejects at most a stated share of good documents. Of those, the
-tightest is taken. A stratum with too few labels gets no cutoff and loses no document by the method.
+Every text gets its counts in one pass. Labelled documents of good quality decide, in each stratum on
+their own. A quarter of them (by hash of the id) draws one nested sequence of steps along which the
+cutoffs of all features tighten together: from far above the highest value seen, in units of its
+distance from the median, down to it, then along common quantiles. The others test it: from the
+loosest step on, an exact binomial test must show that all features together reject at most a stated
+share of good documents; the last step before the first failure is taken. Such a fixed sequence needs
+no correction for its steps, only for the strata (Bonferroni). A stratum with fewer than
+ln(level / strata) / ln(1 - share) testing documents gets no cutoff and loses no document by the method.
 
 NULL and empty texts have no words and fail the base rule. NULL strata form a stratum. Labels may
 repeat; a document counts as good if no label of it says otherwise. Repeated documents, ties and
@@ -35,6 +39,7 @@ FEATURES = {
 }
 FALSE_REJECTIONS = 0.02  # of good documents of a stratum, all features together
 CONFIDENCE = 0.95
+DRAWING = 4  # one good document in so many draws the sequence instead of testing it
 _KIND = pa.struct([(name, pa.int64()) for name in COUNTS])
 
 
@@ -123,41 +128,74 @@ def tightest(rejected_above: list[int], good: int, share: float, level: float) -
     return found
 
 
+def _positions(bins: pd.DataFrame, name: str) -> np.ndarray:
+    """Per value of a feature, the step from which on it is rejected; steps go downwards.
+
+    A value within those seen has minus the number of documents that reach it, one above them its
+    distance in sixteenths of that between the highest and the median.
+    """
+    seen = np.zeros(TOP + 1, np.int64)
+    part = bins[bins["feature"] == name]
+    seen[part["value"].to_numpy()] = part["rows"].to_numpy()
+    highest = int(np.flatnonzero(seen)[-1])
+    median = int(np.searchsorted(np.cumsum(seen), (seen.sum() + 1) // 2))
+    beyond = 16 * (np.arange(TOP + 1) - highest) // (highest - median + 1)
+    return np.where(np.arange(TOP + 1) > highest, beyond, -np.cumsum(seen[::-1])[::-1])
+
+
 def cutoffs(counts: DataFrame, labels: DataFrame, id_col: str, stratum: str,
             share: float = FALSE_REJECTIONS, confidence: float = CONFIDENCE,
             label_id: str = "doc_id", quality: str = "quality") -> DataFrame:
     """One row per stratum with a cutoff per feature, NULL where none is safe.
 
     `counts` has the columns of `text_counts`. Only histograms of labelled documents meet: at
-    most TOP + 1 rows per stratum and feature.
+    most TOP + 1 rows per stratum and feature of those that draw, and of steps of those that test.
     """
     good = (labels.groupBy(F.col(label_id).alias("label_id")).agg(F.min(quality).alias("good"))
             .filter("good = 1"))
     held = counts.filter(~base_failed()).join(good, F.col(id_col) == F.col("label_id"), "left_semi")
-    bins = held.select(
+    held = held.groupBy(
         F.coalesce(F.col(stratum).cast("string"), F.lit("\0")).alias("stratum"),
-        F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), feature(n).alias("value"))
-                            for n in FEATURES])).alias("f"),
-    ).groupBy("stratum", "f.feature", "f.value").agg(F.count(F.lit(1)).alias("rows"))
-    bins = written(bins, "bins")
-    strata = bins.select("stratum").distinct().count()
-    level = (1 - confidence) / max(1, strata * len(FEATURES) * (TOP + 1))
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        row = {"stratum": pdf["stratum"].iloc[0]}
-        for name in FEATURES:
-            seen = np.zeros(TOP + 1, np.int64)
-            part = pdf[pdf["feature"] == name]
-            seen[part["value"].to_numpy()] = part["rows"].to_numpy()
-            above = seen.sum() - np.cumsum(seen)
-            row[name] = tightest(above.tolist(), int(seen.sum()), share / len(FEATURES), level)
+        (F.pmod(F.xxhash64(F.col(id_col)), F.lit(DRAWING)) == 0).alias("draws"),
+        *[feature(n).alias(n) for n in FEATURES],
+    ).agg(F.count(F.lit(1)).alias("rows"))
+    held = written(held, "held")
+    strata = held.select("stratum").distinct().count()
+    level = (1 - confidence) / max(1, strata)
+    bins = held.filter("draws").select("stratum", "rows", F.explode(F.array(
+        *[F.struct(F.lit(n).alias("feature"), F.col(n).alias("value")) for n in FEATURES])).alias("f"))
+    bins = written(bins.groupBy("stratum", "f.feature", "f.value").agg(F.sum("rows").alias("rows")), "bins")
+
+    def place(pdf: pd.DataFrame) -> pd.DataFrame:
+        row = {f"at_{n}": _positions(pdf, n) for n in FEATURES}
+        return pd.DataFrame([{"of": pdf["stratum"].iloc[0]} | row])
+
+    places = written(bins.groupBy("stratum").applyInPandas(
+        place, "of string, " + ", ".join(f"at_{n} array<long>" for n in FEATURES)), "places")
+    if places.count() <= SMALL_PLACES:
+        places = F.broadcast(places)
+    first = F.greatest(*[F.element_at(f"at_{n}", F.col(n) + 1) for n in FEATURES])
+    steps = (held.filter("not draws").join(places, F.col("stratum") == F.col("of"))
+             .groupBy("stratum", first.alias("step")).agg(F.sum("rows").alias("rows")))
+
+    def choose(bins: pd.DataFrame, steps: pd.DataFrame) -> pd.DataFrame:
+        row = {"stratum": bins["stratum"].iloc[0], **dict.fromkeys(FEATURES)}
+        steps = steps.sort_values("step")
+        rows = steps["rows"].to_numpy()
+        # the step above each position rejects the documents at higher ones
+        above = rows.sum() - np.cumsum(rows)
+        found = tightest(above.tolist(), int(rows.sum()), share, level)
+        if found is not None:
+            last = int(steps["step"].iloc[found]) + 1
+            row |= {n: int((_positions(bins, n) < last).sum()) - 1 for n in FEATURES}
         return pd.DataFrame([row]).astype({name: "Int32" for name in FEATURES})
 
     schema = "stratum string, " + ", ".join(f"{n} int" for n in FEATURES)
-    return bins.groupBy("stratum").applyInPandas(choose, schema)
+    return bins.groupBy("stratum").cogroup(steps.groupBy("stratum")).applyInPandas(choose, schema)
 
 
 SMALL_STRATA = 10_000  # rows of cutoffs that are broadcast; more are joined by shuffle
+SMALL_PLACES = 1_000  # the same of rows that hold a stratum's steps, some 6 KB each
 
 
 def judged(counts: DataFrame, limits: DataFrame, stratum: str) -> DataFrame:
