@@ -1,10 +1,11 @@
-"""Self-join of texts by the Jaccard similarity of their word n-grams, with a MinHash LSH forest.
+"""Self-join of texts by the Jaccard similarity of their word n-grams, by MinHash bands.
 
 1. A text is its set of five-word shingles (a shorter text: one shingle of all its words). Equal
    sets are one node; copies are counted, never paired.
-2. Each node has a path of MinHash values in every tree of the forest; nodes under one prefix are
-   candidates. The prefix is shortened from the deepest level until the chance that two sets of
-   the threshold's similarity meet in at least one tree reaches the target recall.
+2. Each node has a path of MinHash values in every tree; nodes with equal paths are candidates. All
+   paths have one length, worked out beforehand: the greatest up to DEEPEST at which two sets of the
+   threshold's similarity meet in at least one tree with the target recall. No prefix is lengthened or
+   shortened by what the data hold, so this is fixed banding, not a forest.
 3. Candidates are compared by a sketch of one byte per MinHash value, with a margin of several
    standard deviations, which leaves groups of texts that are probably alike.
 4. In each such group all pairs are verified exactly on the shingle sets. Large groups are verified
