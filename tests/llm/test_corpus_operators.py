@@ -9,7 +9,9 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+import __spark_entry__ as contract
 import corpus_pipeline
+import oracle
 from wayfare.llm import ngram_join, queries, repeats, sharding, urls, warc
 from wayfare.llm.common import table, tuned, written
 from wayfare.llm.components import components
@@ -46,6 +48,11 @@ def test_warc_query(spark, tiny, duck):
     assert sorted(map(tuple, found), key=str) == plain_warc(rows(duck, "select page_id, html from pages"))
 
 
+def test_warc_sql(spark, duck, tiny):
+    sql = contract.oracle_sql()["op3_warc"]
+    assert oracle.difference(queries.op3_warc(spark, tiny), duck, sql) is None
+
+
 def test_warc_cases(spark, monkeypatch):
     tuned(spark)
     long = "é\r\n\r\nWARC/1.1\r\n" * 20

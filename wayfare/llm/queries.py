@@ -100,4 +100,16 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("op")}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_warc": """
+        WITH payloads AS (
+            SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+        sized AS (SELECT page_id, octet_length(payload) AS bytes, sha256(payload) AS digest FROM payloads),
+        firsts AS (SELECT digest, min(page_id) AS own FROM sized WHERE bytes >= 100 GROUP BY digest),
+        owned AS (SELECT s.*, coalesce(f.own, s.page_id) AS own
+            FROM sized s LEFT JOIN firsts f ON f.digest = s.digest)
+        SELECT page_id, bytes AS payload_bytes, digest AS payload_digest,
+            CASE WHEN own IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN own IS DISTINCT FROM page_id THEN own END AS refers_to
+        FROM owned""",
+}
