@@ -58,13 +58,17 @@ LAT, LON = 41.4, -74.8  # on the grid
 
 
 def test_end_cells(spark):
-    """A trip from or to elsewhere stays; one above the limit does not."""
-    rows = [(1, 0, 600, LAT, LON), (2, 0, 600, 10.0, LON), (3, 0, 14401, LAT, LON),
-            (4, 0, 14400, LAT, LON)]
+    """A trip from or to elsewhere stays, and so does one of many hours."""
+    rows = [(1, 0, 600, LAT, LON), (2, 0, 600, 10.0, LON), (3, 0, 40_000, LAT, LON)]
     df = spark.createDataFrame(rows, "trip_id bigint, pickup_unix bigint, dropoff_unix bigint,"
                                      " dropoff_latitude double, dropoff_longitude double")
     found = {r["trip_id"]: r["end_cell_x"] for r in plans.with_end_cells(df).collect()}
-    assert set(found) == {1, 2, 4} and found[2] is None and found[1] == found[4] is not None
+    assert set(found) == {1, 2, 3} and found[2] is None and found[1] == found[3] is not None
+
+
+def test_a_trip_of_eight_hours_keeps_its_taxi_busy(spark):
+    found = plans.empty_taxis(placed(spark, [("M1", -900, 0, 5), ("M1", 600, 29_400, 6)]))
+    assert rows_of(found, "tick", "cell_x", "empty_taxis") == [(0, 5, 1), (29_700, 6, 1), (30_600, 6, 1)]
 
 
 @pytest.mark.parametrize("seed", [3, 4])

@@ -10,7 +10,7 @@ from wayfare.plans import profit as batch_profit
 from wayfare.plans import routes as batch_routes
 from wayfare.session import scratch_path
 from wayfare.sources import derived, files, messages
-from wayfare.streaming import ingest, profit, routes
+from wayfare.streaming import empty, ingest, late, profit, routes
 from wayfare.streaming.feeds import run_changes
 from wayfare.streaming.run import (
     active_queries,
@@ -179,17 +179,92 @@ def test_profit_changes(spark, trips, arriving):
     assert rows.count() > 10
 
 
+def told(spark, rows, trips, lateness="35 minutes"):
+    """Empty taxis after `rows`, lists of trips, have arrived one list after another."""
+    source, (table, checkpoint) = scratch_path(spark, "told"), places(spark)
+    for part in rows:
+        part.select(*trips.columns).coalesce(1).write.mode("append").parquet(source)
+        claims = empty.taxi_claims(ingest.file_stream(spark, source, trips.schema), lateness=lateness)
+        drain(append_table(claims, table, checkpoint))
+    return empty.empty_taxis_told(files.read_table(spark, table))
+
+
+EMPTY_COLUMNS = ["tick", "cell_x", "cell_y", "empty_taxis"]
+
+
 def test_empty_taxis_equal_batch(spark, trips, arriving):
-    """Trips of any length arrive; both leave out those above the limit."""
+    """Trips of any length arrive, and both take all of them."""
+    assert trips.filter("dropoff_unix - pickup_unix > 14400").count() > 0
     table, checkpoint = places(spark)
-    drain(append_table(profit.empty_taxi_ticks(stream(spark, arriving, trips)), table, checkpoint))
-    ended = batch_profit.with_end_cells(trips)
-    last = (latest(ended) + HALF_HOUR) // 900 * 900
-    expected = batch_profit.empty_taxis(ended)
-    columns = ["tick", "cell_x", "cell_y", "empty_taxis"]
-    assert rows_of(files.read_table(spark, table), *columns) == rows_of(
-        expected.filter(F.col("tick") <= last - 16200), *columns
-    )
+    drain(append_table(empty.taxi_claims(stream(spark, arriving, trips)), table, checkpoint))
+    found = empty.empty_taxis_told(files.read_table(spark, table))
+    expected = batch_profit.empty_taxis(batch_profit.with_end_cells(trips))
+    assert rows_of(found, *EMPTY_COLUMNS) == rows_of(
+        expected.filter(F.col("tick") < latest(trips) - 35 * 60), *EMPTY_COLUMNS)
+
+
+def test_a_pickup_known_eight_hours_later_corrects_closed_ticks(spark, trips):
+    """M1 drops off at 0 and picks up at 600 for eight hours; others let time pass meanwhile."""
+    some = trips.limit(1).drop("medallion", "trip_id", "pickup_unix", "dropoff_unix", "pickup_datetime",
+                               "dropoff_datetime", "dropoff_latitude", "dropoff_longitude")
+
+    day = 86_400 * 365  # a stream's time begins at zero
+
+    def trip(number, taxi, pickup, dropoff):
+        pickup, dropoff = day + pickup, day + dropoff
+        return some.select(
+            "*", F.lit(number).cast("long").alias("trip_id"), F.lit(taxi).alias("medallion"),
+            F.lit(pickup).cast("long").alias("pickup_unix"), F.lit(dropoff).cast("long").alias("dropoff_unix"),
+            F.timestamp_seconds(F.lit(pickup)).alias("pickup_datetime"),
+            F.timestamp_seconds(F.lit(dropoff)).alias("dropoff_datetime"),
+            F.lit(41.4).alias("dropoff_latitude"), F.lit(-74.8).alias("dropoff_longitude"))
+
+    first, long = trip(1, "M1", -900, 0), trip(4, "M1", 600, 600 + 8 * 3600)
+    early = [first, trip(2, "M2", 5000, 7000), trip(3, "M2", 7100, 29_000)]
+    ticks = [r["tick"] - day for r in told(spark, early, trips).collect() if r["tick"] - day < 2000]
+    assert sorted(ticks) == [0, 900, 1800]
+    end = trip(5, "M3", 39_000, 40_000)
+    every = [*early, long, end]
+    found = rows_of(told(spark, every, trips), *EMPTY_COLUMNS)
+    whole = every[0]
+    for part in every[1:]:
+        whole = whole.unionByName(part)
+    batch = batch_profit.empty_taxis(batch_profit.with_end_cells(whole))
+    assert found == rows_of(batch.filter(F.col("tick") < day + 40_000 - 2100), *EMPTY_COLUMNS)
+    assert [t - day for t, *_ in found] == [0, 29_700, 30_600]
+
+
+def test_late_rows_are_kept_apart_and_merged(spark, trips):
+    """Trips in no order at all: some come when their window has closed, none is lost."""
+    base, source = scratch_path(spark, "routed"), scratch_path(spark, "unordered")
+    timely, gone, table = f"{base}/timely", f"{base}/late", f"{base}/closed"
+    for i in range(3):
+        part = trips.filter(F.pmod(F.xxhash64("trip_id"), F.lit(3)) == i)
+        part.write.mode("append").parquet(source)
+        drain(late.run_routed(ingest.file_stream(spark, source, trips.schema), timely, gone, f"{base}/checkpoint"))
+        routed = ingest.file_stream(spark, timely, trips.schema).select(*trips.columns)
+        drain(append_table(routes.route_windows(routed), table, f"{base}/windows"))
+    apart = spark.read.parquet(gone)
+    assert apart.count() > 100
+    assert spark.read.parquet(timely).count() + apart.count() == trips.count()
+    columns = ["window_start", "window_end", "start_cell", "end_cell", "number_of_rides"]
+    batch = batch_routes.windowed_routes(trips)
+    closed = files.read_table(spark, table)
+    merged = late.corrected(closed, batch_routes.windowed_routes(apart), columns[:4], columns[4:])
+    assert closed.count() < merged.count()
+    assert rows_of(merged, *columns) == rows_of(
+        batch.filter(F.col("window_end") <= latest(trips) - HALF_HOUR), *columns)
+
+
+def test_a_repeated_batch_routes_the_same_rows(spark, trips):
+    """The newest event counts without the batch itself, so a repeat finds what the first try found."""
+    base, source = scratch_path(spark, "routed"), scratch_path(spark, "again")
+    for part in (trips.orderBy(F.desc("dropoff_unix")).limit(20), trips.orderBy("dropoff_unix").limit(20)):
+        part.coalesce(1).write.mode("append").parquet(source)
+    stream_of = ingest.file_stream(spark, source, trips.schema, max_files=1)
+    drain(late.run_routed(stream_of, f"{base}/timely", f"{base}/late", f"{base}/checkpoint"))
+    assert spark.read.parquet(f"{base}/late/batch_id=1").count() == 20
+    assert read_published(spark, f"{base}/checkpoint/newest", 1).first()[0] == latest(trips)
 
 
 def test_reader_is_not_disturbed_by_newer_versions(spark):

@@ -17,7 +17,6 @@ from wayfare.functions.cells import (
 )
 from wayfare.functions.measures import profitability
 from wayfare.functions.times import window_start
-from wayfare.operators.cleaning import LONGEST_TRIP_SECONDS
 from wayfare.operators.intervals import ticks_between
 from wayfare.operators.medians import exact_median, median_element
 from wayfare.operators.ranking import ranked, widen_ranks
@@ -45,16 +44,14 @@ def with_250m_cells(df: DataFrame) -> DataFrame:
     )
 
 
-def with_end_cells(df: DataFrame, longest_trip: int = LONGEST_TRIP_SECONDS) -> DataFrame:
-    """Trips of up to `longest_trip` seconds with their end cell, NULL outside the 250 m grid.
+def with_end_cells(df: DataFrame) -> DataFrame:
+    """All trips with their end cell, NULL outside the 250 m grid.
 
-    A stream learns of a pickup only at the dropoff and must stop waiting some time; batch
-    and stream leave out the same trips. Trips that start or end off the grid stay, since
-    their pickup still makes a taxi busy.
+    Trips that start or end off the grid stay, as do those of any length: their pickup makes a
+    taxi busy.
     """
     cell = cell_250m("dropoff_latitude", "dropoff_longitude")
-    timely = df.filter(F.col("dropoff_unix") - F.col("pickup_unix") <= longest_trip)
-    return timely.withColumn("__cell", cell).withColumns(
+    return df.withColumn("__cell", cell).withColumns(
         {"end_cell_x": F.col("__cell.x"), "end_cell_y": F.col("__cell.y")}
     ).drop("__cell")
 
@@ -93,8 +90,8 @@ def taxis_by_cell(placed: DataFrame, size: int = EMPTY_SECONDS, exact: bool = Tr
     ).agg(taxis.alias("empty_taxis"))
 
 
-def taxi_events(ended: DataFrame) -> DataFrame:
-    """Pickup and dropoff of every trip of a known taxi as two rows, in one pass.
+def taxi_events(ended: DataFrame, *kept: str) -> DataFrame:
+    """Pickup and dropoff of every trip of a known taxi as two rows, in one pass; `kept` come along.
 
     `event` orders a taxi's events: by second, pickups before dropoffs, then by trip.
     """
@@ -110,6 +107,7 @@ def taxi_events(ended: DataFrame) -> DataFrame:
 
     return ended.filter(F.col("medallion").isNotNull()).select(
         "medallion",
+        *kept,
         F.inline(
             F.array(
                 event("pickup_unix", 0, none, none),

@@ -73,8 +73,7 @@ def empty_taxis_approximate(spark, sf_dir):
 EMPTY = f"""ended AS (SELECT trip_id, medallion, pickup_unix, dropoff_unix,
         CASE WHEN ex BETWEEN 1 AND 600 AND ey BETWEEN 1 AND 600 THEN ex END AS ex, ey
         FROM (SELECT *, {cell_250m_x_sql("dropoff_latitude", "dropoff_longitude")} AS ex,
-            {cell_250m_y_sql("dropoff_latitude")} AS ey FROM clean)
-        WHERE dropoff_unix - pickup_unix <= 14400),
+            {cell_250m_y_sql("dropoff_latitude")} AS ey FROM clean)),
     bounds AS (SELECT min(dropoff_unix) AS lo, max(dropoff_unix) AS hi FROM ended),
     ticks AS (SELECT unnest(range((lo // 900) * 900, hi + 2700, 900)) AS tick FROM bounds),
     latest AS (

@@ -21,7 +21,7 @@ from wayfare.queries.profit import ELEMENT, EMPTY, TAXIS, profit_sql
 from wayfare.queries.routes import CLEAN_WINDOWS, TOTALS
 from wayfare.session import scratch_path
 from wayfare.sources import derived, files, messages
-from wayfare.streaming import ingest, profit, routes
+from wayfare.streaming import empty, ingest, late, profit, routes
 from wayfare.streaming.run import (
     append_table,
     drain,
@@ -312,12 +312,29 @@ def profit_changes(spark, sf_dir):
     )
 
 
-# only closed ticks: the watermark follows the last tick that any event reaches
+# only closed ticks: the watermark is 35 minutes behind the latest dropoff
 @query("stream_empty_taxis", PLACED + f", {EMPTY}" + """
-    SELECT * FROM empties WHERE tick <=
-        (SELECT (max(dropoff_unix) + 1800) // 900 * 900 - 16200 FROM ended)""")
+    SELECT * FROM empties WHERE tick < (SELECT max(dropoff_unix) - 2100 FROM clean)""")
 def stream_empty_taxis(spark, sf_dir):
-    """Empty taxis per cell every quarter of an hour, from state kept per taxi."""
-    return files.read_table(spark, _arrived(
+    """Empty taxis per cell every quarter of an hour, from state kept per taxi; trips of any length."""
+    return empty.empty_taxis_told(files.read_table(spark, _arrived(
         spark, sf_dir, "empty",
-        lambda stream, *places: append_table(profit.empty_taxi_ticks(stream), *places)))
+        lambda stream, *places: append_table(empty.taxi_claims(stream), *places))))
+
+
+@query("stream_late_corrections", CLEAN_WINDOWS + f"SELECT * FROM windows WHERE {CLOSED.format(1800)}")
+def stream_late_corrections(spark, sf_dir):
+    """Trips in no order: windows closed by a stream, and the rows it was too late for, merged."""
+    base, source = scratch_path(spark, "routed"), scratch_path(spark, "arriving")
+    timely, gone, table = f"{base}/timely", f"{base}/late", f"{base}/closed"
+    rows = clean_trips(derived.trips(spark, sf_dir))
+    shuffled = rows.withColumn("part", F.pmod(F.xxhash64("trip_id"), F.lit(PARTS)))
+    for i in range(PARTS):
+        shuffled.filter(F.col("part") == i).drop("part").write.mode("append").parquet(source)
+        arriving = ingest.file_stream(spark, source, rows.schema)
+        drain(late.run_routed(arriving, timely, gone, f"{base}/checkpoint"))
+        routed = ingest.file_stream(spark, timely, rows.schema).select(*rows.columns)
+        drain(append_table(routes.route_windows(routed), table, f"{base}/windows"))
+    keys = ["window_start", "window_end", "start_cell", "end_cell"]
+    counted = route_plans.windowed_routes(spark.read.schema(rows.schema).parquet(gone))
+    return late.corrected(files.read_table(spark, table), counted, keys, ["number_of_rides"])

@@ -1,4 +1,4 @@
-"""Profit, empty taxis and profitability of a stream of clean trips."""
+"""Profit, distinct taxis and profitability of a stream of clean trips."""
 
 from __future__ import annotations
 
@@ -8,18 +8,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from wayfare.functions.cells import cell_name
 from wayfare.functions.measures import profitability
-from wayfare.operators.cleaning import LONGEST_TRIP_SECONDS
 from wayfare.operators.medians import median_element
 from wayfare.plans.profit import (
     CELL,
-    EMPTY_SECONDS,
-    PROFIT_SECONDS,
     TOP,
-    events_at_ticks,
-    in_cells,
-    taxi_events,
     with_250m_cells,
-    with_end_cells,
 )
 from wayfare.streaming.feeds import run_changes
 from wayfare.streaming.routes import flat_window
@@ -100,21 +93,3 @@ def run_profit_changes(trips: DataFrame, path: str, checkpoint: str, k: int = TO
     return run_changes(
         named, order, k, F.col("cell"), True, PROFIT_COLUMNS, path, checkpoint, every
     )
-
-
-def empty_taxi_ticks(trips: DataFrame, step: int = PROFIT_SECONDS, span: int = EMPTY_SECONDS,
-                     longest_trip: int = LONGEST_TRIP_SECONDS) -> DataFrame:
-    """Empty taxis per cell at every multiple of `step`, as in the batch plan.
-
-    The state is one event per taxi and tick, then one count per cell and tick. A trip is
-    known only at its end, so a tick closes once no trip that began before it can arrive;
-    trips above `longest_trip` seconds take no part, here as in the batch plan.
-    """
-    events = events_at_ticks(taxi_events(with_end_cells(trips, longest_trip)), step, span)
-    latest = (
-        events.withColumn("tick", F.timestamp_seconds("tick"))
-        .withWatermark("tick", f"{longest_trip + span} seconds")
-        .groupBy("medallion", "tick")
-        .agg(F.max("event").alias("event"))
-    )
-    return in_cells(latest).withColumn("tick", F.unix_seconds("tick"))
