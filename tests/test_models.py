@@ -3,7 +3,7 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.sql import functions as F
 
 from helpers import rows_of
-from wayfare.operators.sampling import class_weights, oversample, split_rows
+from wayfare.operators.sampling import class_weights, oversample, split_rows, with_folds
 from wayfare.plans import classify as plans
 from wayfare.plans.flights import preprocess
 from wayfare.session import cut_lineage, scratch_path
@@ -46,6 +46,46 @@ def test_balance(spark):
     assert dict(weights) == {0: 9000.0, 1: 4500.0}
 
 
+def test_no_labelled_row_is_removed(spark):
+    """Class 1 is as large as class 0 already, at half the ratio: nothing goes, nothing weighs less."""
+    df = spark.range(1000).select("id", (F.col("id") % 2).cast("int").alias("label"))
+    assert rows_of(oversample(df, 0.5)) == rows_of(df)
+    assert {r["weight"] for r in class_weights(df, 0.5).collect()} == {1.0}
+
+
+def test_equal_rows_share_a_fold(spark):
+    df = spark.range(6000).select((F.col("id") % 500).alias("a"), (F.col("id") % 10 == 0).cast("int").alias("label"))
+    folded = with_folds(df, 3)
+    assert folded.groupBy("a", "label").agg(F.count_distinct("fold").alias("n")).filter("n > 1").count() == 0
+    sizes = {r["fold"]: r["count"] for r in folded.groupBy("fold").count().collect()}
+    assert set(sizes) == {0, 1, 2} and max(sizes.values()) < 1.4 * min(sizes.values())
+    assert rows_of(folded) == rows_of(with_folds(df.repartition(5), 3))
+
+
+def test_weights_do_what_copies_do(spark):
+    """A tree on weighted rows is the tree on repeated rows."""
+    from pyspark.ml.classification import DecisionTreeClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = [(float(i % 7), float(i % 11), int(i % 9 == 0 and i % 7 > 2)) for i in range(900)]
+    df = VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(
+        spark.createDataFrame(rows, "x double, y double, label int"))
+    n0, n1 = df.filter("label = 0").count(), df.filter("label = 1").count()
+    ratio = 3 * n1 / n0 + 1e-9  # every row of class 1 three times
+    balanced = plans.ClassBalancer(ratio).fit(df)
+    assert balanced.factor == 3.0
+    weighed = DecisionTreeClassifier(maxDepth=4, weightCol="weight").fit(balanced.transform(df))
+    repeated = df.unionByName(df.filter("label = 1")).unionByName(df.filter("label = 1"))
+    copied = DecisionTreeClassifier(maxDepth=4).fit(repeated)
+    assert rows_of(weighed.transform(df), "x", "y", "prediction") == rows_of(copied.transform(df), "x", "y", "prediction")
+
+
+def test_tuned_model_is_scored_on_the_test_part(sets):
+    found = plans.tuned_models(*sets, {"DecisionTree": plans.classifiers()["DecisionTree"]},
+                               {"DecisionTree": {"maxDepth": [1, 4]}}, folds=2)["DecisionTree"]
+    assert 0.5 < found["auc_roc"] <= 1 and 0.5 < found["cv_area"] <= 1
+
+
 def test_one_class_is_left_as_it_is(spark):
     df = spark.createDataFrame([(0,)] * 5, "label int")
     assert oversample(df).count() == 5
@@ -125,6 +165,11 @@ def test_feature_names(spark, sets, tree):
     assert names[-4:] == plans.NUMERIC
     table = plans.importances(spark, "tree", tree.stages[-1], names)
     assert table.agg(F.sum("value")).first()[0] == pytest.approx(1.0)
+    line = plans.fit(sets[0], plans.classifiers()["LogisticRegression"])
+    table = plans.importances(spark, "line", line.stages[-1], names)
+    assert rows_of(table.filter("kind = 'intercept'"), "feature", "value") == [
+        (plans.INTERCEPT, line.stages[-1].intercept)]
+    assert plans.top_features(table, len(names) + 1).filter("kind = 'intercept'").count() == 0
 
 
 def test_rankings(spark):

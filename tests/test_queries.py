@@ -7,7 +7,7 @@ import __spark_entry__ as contract
 from wayfare.queries import ORACLES, QUERIES
 
 # long trainings are covered by test_models with the quicker models
-SLOW = {"cancel_model_forest", "cancel_model_boosted", "cancel_cv", "cancel_cv_tree"}
+SLOW = {"cancel_model_forest", "cancel_model_boosted", "cancel_cv_forest", "cancel_cv_boosted"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

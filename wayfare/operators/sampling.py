@@ -43,17 +43,24 @@ def class_sizes(df: DataFrame, label: str = "label") -> tuple[int, int]:
     return row["n0"], row["n1"]
 
 
+def minority_factor(df: DataFrame, ratio: float, label: str = "label") -> float:
+    """How often a row of class 1 must count to reach `ratio` times class 0; never below once."""
+    n0, n1 = class_sizes(df, label)
+    return max(1.0, int(n0 * ratio) / n1) if n1 else 1.0
+
+
 def oversample(df: DataFrame, ratio: float = 0.5, label: str = "label", seed: int = 42) -> DataFrame:
     """Repeat rows of class 1 until they are about `ratio` times class 0.
 
-    Every row gets the whole part of the factor. The rest falls on rows by a fraction fixed by their
-    content; of equal rows, which are counted first, the due share gets it. So a re-run, also on
-    another layout, makes the same rows.
+    No row is removed: where class 1 is that large already, the rows stay as they are. Every row gets
+    the whole part of the factor. The rest falls on rows by a fraction fixed by their content; of equal
+    rows, which are counted first, the due share gets it. So a re-run, also on another layout, makes
+    the same rows.
     """
-    n0, n1 = class_sizes(df, label)
-    if n1 == 0:
+    factor = minority_factor(df, ratio, label)
+    if factor == 1.0:
         return df
-    whole, rest = divmod(int(n0 * ratio) / n1, 1)
+    whole, rest = divmod(factor, 1)
     minority, columns = df.filter(F.col(label) == 1), [F.col(c) for c in df.columns]
     again = minority.groupBy(*columns).agg(F.count(F.lit(1)).alias("__rows")).withColumn(
         "__more", F.floor(F.col("__rows") * rest + row_fraction(columns, seed)).cast("int"))
@@ -66,6 +73,11 @@ def oversample(df: DataFrame, ratio: float = 0.5, label: str = "label", seed: in
 def class_weights(df: DataFrame, ratio: float = 0.5, label: str = "label",
                   out: str = "weight") -> DataFrame:
     """The balance of `oversample` as a weight column: no rows are copied or moved."""
-    n0, n1 = class_sizes(df, label)
-    factor = int(n0 * ratio) / n1 if n1 else 1.0
+    factor = minority_factor(df, ratio, label)
     return df.withColumn(out, F.when(F.col(label) == 1, F.lit(factor)).otherwise(F.lit(1.0)))
+
+
+def with_folds(df: DataFrame, folds: int, seed: int = 42, out: str = "fold") -> DataFrame:
+    """A fold number from 0, chosen by row content: equal rows are in one fold, on every run."""
+    place = row_fraction([F.col(c) for c in df.columns], seed)
+    return df.withColumn(out, F.floor(place * folds).cast("int"))

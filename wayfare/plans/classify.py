@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassificationModel,
     DecisionTreeClassifier,
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfare.operators.ranking import ranked
-from wayfare.operators.sampling import oversample, split_rows
+from wayfare.operators.sampling import minority_factor, split_rows, with_folds
 from wayfare.operators.skew import GROUP_ROWS
 from wayfare.operators.totals import running_total
 from wayfare.plans.flights import preprocess
@@ -31,6 +31,8 @@ from wayfare.sources.files import read_csv_permissive
 CATEGORICAL = ["ORIGIN", "DEST", "DayOfWeek", "Month"]
 NUMERIC = ["DISTANCE", "CRSDepTime", "CRSArrTime", "CRSElapsedTime"]
 
+INTERCEPT = "(intercept)"
+
 # The columns of scored files.
 SCORED_COLUMNS = ["FL_DATE", "UniqueCarrier", "FlightNum", "ORIGIN", "DEST", "prediction"]
 
@@ -90,53 +92,104 @@ def param_grid(estimator, grid: dict[str, list]):
     return builder.build()
 
 
-def training_sets(df: DataFrame, ratio: float = 0.4, fraction: float = 0.7,
-                  seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(train, test): split first, then repeat cancelled flights in the training part only.
+WEIGHT = "weight"
+RATIO = 0.4
+
+
+class ClassBalancer(Estimator):
+    """Learns how much a row of class 1 weighs, so that together they weigh `ratio` times class 0.
+
+    As a stage in front of a classifier it balances whatever rows that classifier is fitted on, in
+    tuning those of the other folds. Rows are weighted, never repeated.
+    """
+
+    def __init__(self, ratio: float = RATIO):
+        super().__init__()
+        self.ratio = ratio
+
+    def _fit(self, dataset: DataFrame) -> BalancedClasses:
+        return BalancedClasses(minority_factor(dataset, self.ratio))
+
+
+class BalancedClasses(Model):
+    """Adds the weights of `ClassBalancer`."""
+
+    def __init__(self, factor: float = 1.0):
+        super().__init__()
+        self.factor = factor
 
-    Training reads its rows many times, so the few columns it needs are written once, in
-    parts of even size.
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        heavy = F.when(F.col("label") == 1, F.lit(self.factor)).otherwise(F.lit(1.0))
+        return dataset.withColumn(WEIGHT, heavy)
+
+
+def training_sets(df: DataFrame, fraction: float = 0.7, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(train, test), each flight in one of them; equal flights are in the same.
+
+    Training reads its rows many times, so the few columns it needs are written once.
     """
-    rows = cut_lineage(df.select(*CATEGORICAL, *NUMERIC, "label"))
-    train, test = split_rows(rows, fraction, seed)
-    return cut_lineage(oversample(train, ratio, seed=seed).hint("rebalance")), test
+    rows = cut_lineage(df.select(*CATEGORICAL, *NUMERIC, "label").hint("rebalance"))
+    return split_rows(rows, fraction, seed)
+
+
+def _balanced(estimator, ratio: float) -> Pipeline:
+    return Pipeline(stages=[ClassBalancer(ratio), estimator.copy({estimator.weightCol: WEIGHT})])
 
 
-def fit_all(train: DataFrame, estimators: dict) -> dict[str, PipelineModel]:
+def fit_all(train: DataFrame, estimators: dict, ratio: float = RATIO) -> dict[str, PipelineModel]:
     """Features and model in one fitted object per name, so that scoring needs nothing else.
 
-    All models learn from one set of vectors, which is kept while they do.
+    All models learn from one set of vectors, which is kept while they do. Cancelled flights weigh
+    `ratio` times the others.
     """
     features = Pipeline(stages=feature_stages()).fit(train)
     vectors = features.transform(train).select("features", "label").persist()
     fitted = {
-        name: PipelineModel(stages=[*features.stages, estimator.fit(vectors)])
+        name: PipelineModel(stages=[*features.stages, _balanced(estimator, ratio).fit(vectors).stages[-1]])
         for name, estimator in estimators.items()
     }
     vectors.unpersist()
     return fitted
 
 
-def fit(train: DataFrame, estimator) -> PipelineModel:
-    return fit_all(train, {"model": estimator})["model"]
+def fit(train: DataFrame, estimator, ratio: float = RATIO) -> PipelineModel:
+    return fit_all(train, {"model": estimator}, ratio)["model"]
 
 
-def tune(train: DataFrame, estimator, grid: dict[str, list], folds: int = 3,
-         parallelism: int = 2, seed: int = 42) -> tuple[PipelineModel, list[float]]:
-    """The best model of a grid by area under ROC, and the mean area of every grid point."""
+def tune(train: DataFrame, estimator, grid: dict[str, list], folds: int = 3, parallelism: int = 2,
+         seed: int = 42, ratio: float = RATIO) -> tuple[PipelineModel, list[float]]:
+    """The best model of a grid by area under ROC, and the mean area of every grid point.
+
+    Folds are chosen by row content, so no flight is learnt from in one fold and asked for in another.
+    Every fit balances the rows it sees; the area counts each row once.
+    """
     features = Pipeline(stages=feature_stages()).fit(train)
+    folded = features.transform(with_folds(train, folds, seed)).select("features", "label", "fold")
+    weighted = _balanced(estimator, ratio)
     validator = CrossValidator(
-        estimator=estimator,
-        estimatorParamMaps=param_grid(estimator, grid),
+        estimator=weighted,
+        estimatorParamMaps=param_grid(weighted.getStages()[-1], grid),
         evaluator=BinaryClassificationEvaluator(
             rawPredictionCol="probability", metricName="areaUnderROC"
         ),
         numFolds=folds,
+        foldCol="fold",
         parallelism=parallelism,
-        seed=seed,
     )
-    tuned = validator.fit(features.transform(train).select("features", "label"))
-    return PipelineModel(stages=[*features.stages, tuned.bestModel]), list(tuned.avgMetrics)
+    vectors = folded.persist()
+    tuned = validator.fit(vectors)
+    vectors.unpersist()
+    return PipelineModel(stages=[*features.stages, tuned.bestModel.stages[-1]]), list(tuned.avgMetrics)
+
+
+def tuned_models(train: DataFrame, test: DataFrame, estimators: dict, grids: dict[str, dict[str, list]],
+                 folds: int = 3) -> dict[str, dict[str, float]]:
+    """Per model the metrics on the test part of the best model of its grid, and its `cv_area`."""
+    found = {}
+    for name, estimator in estimators.items():
+        best, areas = tune(train, estimator, grids[name], folds)
+        found[name] = metrics(best.transform(test)) | {"cv_area": max(areas)}
+    return found
 
 
 def metrics(predictions: DataFrame) -> dict[str, float]:
@@ -291,20 +344,22 @@ def feature_names(transformed: DataFrame, column: str = "features") -> list[str]
 
 
 def importances(spark: SparkSession, name: str, classifier, names: list[str]) -> DataFrame:
-    """(model, feature, value, strength, kind): importances, or coefficients and their size."""
-    if isinstance(classifier, LogisticRegressionModel):
-        values, kind = classifier.coefficients.toArray(), "coefficient"
-    else:
-        values, kind = classifier.featureImportances.toArray(), "importance"
+    """(model, feature, value, strength, kind): importances, or coefficients and the intercept."""
+    linear = isinstance(classifier, LogisticRegressionModel)
+    values = (classifier.coefficients if linear else classifier.featureImportances).toArray()
+    kind = "coefficient" if linear else "importance"
     rows = [(name, f, float(v), abs(float(v)), kind) for f, v in zip(names, values)]
+    if linear:
+        constant = float(classifier.intercept)
+        rows.append((name, INTERCEPT, constant, abs(constant), "intercept"))
     return spark.createDataFrame(
         rows, "model string, feature string, value double, strength double, kind string"
     )
 
 
 def top_features(table: DataFrame, k: int = 10) -> DataFrame:
-    """The k strongest features of every model, with their rank."""
-    return ranked(table, ["model"], [F.desc("strength"), F.asc("feature")], k)
+    """The k strongest features of every model, with their rank. The intercept is no feature."""
+    return ranked(table.filter(F.col("feature") != INTERCEPT), ["model"], [F.desc("strength"), F.asc("feature")], k)
 
 
 def feature_ranking(top: DataFrame, models: list[str], absent: int = 99) -> DataFrame:

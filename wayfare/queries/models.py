@@ -15,13 +15,14 @@ from wayfare.operators.sampling import (
     oversample,
     shuffled,
     split_rows,
+    with_folds,
 )
 from wayfare.plans import classify as plans
 from wayfare.plans.flights import preprocess
 from wayfare.queries.base import FLIGHTS, TRIPS, ctes, query, stable, stable_sql
 from wayfare.queries.flights import FILLED, PREPARED, RENAMED
 from wayfare.session import scratch_path
-from wayfare.sources import derived
+from wayfare.sources import derived, files
 
 PREPARED_FLIGHTS = ctes(FLIGHTS, RENAMED, FILLED, PREPARED)
 SCORE_FROM = "2000-01-01"
@@ -103,7 +104,7 @@ def oversampled(spark, sf_dir):
 @query("class_weights", PREPARED_FLIGHTS + """, sizes AS (
     SELECT count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1 FROM prepared)
     SELECT label, CASE WHEN label = 1
-        THEN (SELECT floor(n0 * 0.5e0) / CAST(n1 AS DOUBLE) FROM sizes) ELSE 1e0 END AS weight,
+        THEN (SELECT greatest(1e0, floor(n0 * 0.5e0) / CAST(n1 AS DOUBLE)) FROM sizes) ELSE 1e0 END AS weight,
         count(*) AS flights FROM prepared GROUP BY 1, 2""")
 def weights(spark, sf_dir):
     weighted = class_weights(_prepared(spark, sf_dir), 0.5)
@@ -160,23 +161,121 @@ def model_comparison(spark, sf_dir):
     return plans.comparison_table(spark, found)
 
 
-@query("cancel_cv")
-def cancel_cv(spark, sf_dir):
-    """Mean area under ROC of every point of the logistic regression's grid."""
-    train, _ = plans.training_sets(_prepared(spark, sf_dir))
-    grid = plans.GRIDS["LogisticRegression"]
-    _, areas = plans.tune(train, plans.classifiers()["LogisticRegression"], grid)
-    rows = [(float(p), float(a)) for p, a in zip(grid["regParam"], areas)]
-    return spark.createDataFrame(rows, "reg_param double, auc_roc double")
+def _areas_query(key: str, name: str, column: str, kind: str):
+    (parameter, values), = plans.GRIDS[name].items()
 
+    @query(key)
+    def areas(spark, sf_dir):
+        """Mean area under ROC over the folds, for every point of the model's grid."""
+        train, _ = plans.training_sets(_prepared(spark, sf_dir))
+        _, found = plans.tune(train, plans.classifiers()[name], {parameter: values})
+        rows = [(type(values[0])(p), float(a)) for p, a in zip(values, found)]
+        return spark.createDataFrame(rows, f"{column} {kind}, auc_roc double")
 
-@query("cancel_cv_tree")
-def cancel_cv_tree(spark, sf_dir):
-    train, _ = plans.training_sets(_prepared(spark, sf_dir))
-    grid = plans.GRIDS["DecisionTree"]
-    _, areas = plans.tune(train, plans.classifiers()["DecisionTree"], grid)
-    rows = [(int(p), float(a)) for p, a in zip(grid["maxDepth"], areas)]
-    return spark.createDataFrame(rows, "max_depth int, auc_roc double")
+    return areas
+
+
+_areas_query("cancel_cv", "LogisticRegression", "reg_param", "double")
+_areas_query("cancel_cv_tree", "DecisionTree", "max_depth", "int")
+_areas_query("cancel_cv_forest", "RandomForest", "num_trees", "int")
+_areas_query("cancel_cv_boosted", "GBT", "max_iter", "int")
+
+
+@query("cancel_tuned")
+def cancel_tuned(spark, sf_dir):
+    """Test metrics of the best models of two grids, with their mean area over the folds."""
+    train, test = plans.training_sets(_prepared(spark, sf_dir))
+    found = plans.tuned_models(train, test, _chosen("LogisticRegression", "DecisionTree"), plans.GRIDS)
+    areas = spark.createDataFrame([(m, float(v["cv_area"])) for m, v in found.items()], "model string, cv_area double")
+    return plans.comparison_table(spark, found).join(F.broadcast(areas), "model")
+
+
+# -- what must hold of fitted models, whatever they learn -----------------------------------
+
+KNOWN = " AND ".join(f"{c} IS NOT NULL" for c in plans.NUMERIC)
+
+
+@query("folds_by_content", PREPARED_FLIGHTS + f"""
+    SELECT 3 AS folds, count(*) AS flights, 0::BIGINT AS split_rows, true AS even FROM prepared""")
+def folds_by_content(spark, sf_dir):
+    """Equal flights are in one fold; the folds hold all flights and are about equal."""
+    rows = _prepared(spark, sf_dir).select(*plans.CATEGORICAL, *plans.NUMERIC, "label")
+    sizes = with_folds(rows, 3).groupBy(*rows.columns, "fold").agg(F.count(F.lit(1)).alias("n"))
+    contents = sizes.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("parts"))
+    per_fold = sizes.groupBy("fold").agg(F.sum("n").alias("n"))
+    return per_fold.agg(
+        F.count(F.lit(1)).cast("int").alias("folds"), F.sum("n").alias("flights"),
+        (F.max("n") < 1.2 * F.min("n")).alias("even")).withColumn(
+            "split_rows", contents.filter("parts > 1").agg(F.count(F.lit(1))).scalar())
+
+
+@query("balanced_weights", PREPARED_FLIGHTS + """, sizes AS (
+    SELECT count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1 FROM prepared)
+    SELECT n0 AS others, n1 AS cancelled,
+        greatest(CAST(floor(n0 * 0.4e0) AS BIGINT), n1) AS cancelled_weight FROM sizes""")
+def balanced_weights(spark, sf_dir):
+    """Cancelled flights weigh 0.4 times the others in training, without a copy."""
+    rows = _prepared(spark, sf_dir)
+    weighted = plans.ClassBalancer().fit(rows).transform(rows)
+    return weighted.agg(
+        F.count_if(F.col("label") == 0).alias("others"), F.count_if(F.col("label") == 1).alias("cancelled"),
+        F.round(F.sum(F.when(F.col("label") == 1, F.col(plans.WEIGHT)))).cast("long").alias("cancelled_weight"))
+
+
+@query("model_invariants", PREPARED_FLIGHTS + f"""
+    SELECT m AS model, (SELECT count(*) FROM prepared WHERE {KNOWN}) AS flights,
+        true AS accuracy_from_confusion, true AS area_is_roc_area, true AS better_than_chance
+    FROM (VALUES ('DecisionTree'), ('LogisticRegression')) v(m)""")
+def model_invariants(spark, sf_dir):
+    """Metrics of fitted models agree with the tables they can be computed from."""
+    from pyspark.ml.functions import vector_to_array
+
+    train, test = plans.training_sets(_prepared(spark, sf_dir))
+    rows = []
+    for name, model in plans.fit_all(train, _chosen("DecisionTree", "LogisticRegression")).items():
+        scored = model.transform(test).select(
+            "label", "prediction", "probability", vector_to_array("probability")[1].alias("score")).persist()
+        found, n = plans.metrics(scored), model.transform(train).count() + scored.count()
+        counts = {(r["label"], r["prediction"]): r["n"] for r in plans.confusion(scored).collect()}
+        right = sum(n for (label, guess), n in counts.items() if label == guess) / sum(counts.values())
+        area = plans.roc_area(scored, "score").first()["auc"]
+        near = abs(area - found["auc_roc"]) < 1e-3  # the library's area is that of 1,000 bins
+        rows.append((name, n, abs(right - found["accuracy"]) < 1e-12, near, area > 0.5))
+        scored.unpersist()
+    return spark.createDataFrame(rows, "model string, flights long, accuracy_from_confusion boolean,"
+                                       " area_is_roc_area boolean, better_than_chance boolean")
+
+
+@query("score_invariants", PREPARED_FLIGHTS + f"""
+    SELECT UniqueCarrier, count(*) AS flights, true AS sums_to_one, true AS follows_probability
+    FROM prepared WHERE FL_DATE >= '{SCORE_FROM}' AND {KNOWN} GROUP BY 1""")
+def score_invariants(spark, sf_dir):
+    """Every later flight with all numbers is scored once, from a file, by a saved and loaded model."""
+    fitted, _ = _fitted(spark, sf_dir, "DecisionTree", rows=_past)
+    place, data = scratch_path(spark, "model"), scratch_path(spark, "coming")
+    plans.save_model(fitted, place)
+    files.write_csv(_coming(spark, sf_dir), data)
+    scored = plans.score_file(spark, data, place, scratch_path(spark, "scored"))
+    both = F.get("probability", 0) + F.get("probability", 1)
+    side = (F.get("probability", 1) > 0.5).cast("double")
+    return scored.groupBy("UniqueCarrier").agg(
+        F.count(F.lit(1)).alias("flights"), F.every(F.abs(both - 1) < 1e-9).alias("sums_to_one"),
+        F.every(side == F.col("prediction")).alias("follows_probability"))
+
+
+@query("importance_invariants", PREPARED_FLIGHTS + f"""
+    SELECT m AS model, (SELECT {' + '.join(f'count(DISTINCT {c})' for c in plans.CATEGORICAL)}
+        + {len(plans.NUMERIC)} FROM prepared) AS features, i AS intercepts, true AS sums_to_one
+    FROM (VALUES ('DecisionTree', 0::BIGINT), ('LogisticRegression', 1::BIGINT)) v(m, i)""")
+def importance_invariants(spark, sf_dir):
+    """A strength for every place of the vector; importances of a tree sum to 1, a line has an intercept."""
+    rows = _prepared(spark, sf_dir).select(*plans.CATEGORICAL, *plans.NUMERIC, "label")
+    table = _importances(spark, rows, ["DecisionTree", "LogisticRegression"])
+    total = F.sum(F.when(F.col("kind") == "importance", F.col("value")))
+    return table.groupBy("model").agg(
+        F.count_if(F.col("kind") != "intercept").alias("features"),
+        F.count_if(F.col("kind") == "intercept").alias("intercepts"),
+        F.coalesce(F.abs(total - 1) < 1e-9, F.lit(True)).alias("sums_to_one"))
 
 
 @query("score")
