@@ -39,7 +39,7 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Byte strings that occur twice or more are cut out; documents stay, even if little is left."""
     tuned(spark)
     found = repeats.without_repeats(docs, found="__found")
-    text = F.when(F.col("was_text"), repeats.as_text("__found.kept"))
+    text = F.when(F.col("__found.was_text"), repeats.as_text("__found.kept"))
     return _recounted(found.withColumn("text", text).select(*docs.columns))
 
 

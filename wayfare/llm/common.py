@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 import tempfile
 import zipfile
@@ -73,6 +74,16 @@ def written(df: DataFrame, name: str, *parts: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(table: DataFrame) -> None:
+    """Delete a table of `written` that nothing reads any more, and let Spark drop shuffles nobody holds."""
+    spark = table.sparkSession
+    for path in {os.path.dirname(file) for file in table.inputFiles()}:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def row_key(id_col: str, text_col: str) -> list[Column]:
     """128 bits that name a row by its id and text, NULLs included. Equal rows share a key."""
     return [F.xxhash64(F.col(id_col)).alias("ka"), F.xxhash64(F.col(text_col)).alias("kb")]

@@ -8,15 +8,17 @@ of a document mostly share one, so a run of strings with one anchor travels as o
 
 1. Runs are cut in two by the place of the anchor, which leaves a core of over 100 bytes that all
    strings of the run contain. Cores are counted; a run whose core occurs once repeats nowhere.
-2. The segments of the others are cut from the texts. Equal ones are summed up where they lie.
+2. Runs of one core that are equal as a whole are one kind. The only kind of a core repeats as a whole
+   or not at all. The segments of other kinds are cut from the texts, once a kind.
 3. Segments are dealt to shards by core. Each shard's suffix array and permuted common prefixes
-   tell which strings start twice; a segment that occurs twice repeats as a whole.
+   tell which strings start twice; a kind that occurs twice repeats as a whole.
 4. A core with more different segments than one shard should hold (a common line amid different
    texts) is split: its runs are cut into ever shorter ones with longer cores, and counted again.
    At one string per run the core is the string itself, so this ends and is exact, too.
 
 Documents are UTF-8 bytes; NULL is empty. Texts below `length` bytes never match. Repeated rows are
-occurrences of their own. Keys are 64-bit hashes of cores and 128 bits for segments and rows.
+occurrences of their own. Keys are 64-bit hashes of cores, and 128 bits for kinds of runs
+(core and whole run) and for rows.
 """
 
 from __future__ import annotations
@@ -27,7 +29,18 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import give_back, lists, mixed, pieces, random_words, row_key, utf8, vectorized, written
+from wayfare.llm.common import (
+    dropped,
+    give_back,
+    lists,
+    mixed,
+    pieces,
+    random_words,
+    row_key,
+    utf8,
+    vectorized,
+    written,
+)
 from wayfare.llm.suffix_array import repeated_starts
 from wayfare.llm.words import powers
 
@@ -73,12 +86,13 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(data: np.ndarray, borders: np.ndarray, length: int):
-    """Runs of strings with one anchor: row, core hash, and places of anchor, first and last string."""
+    """Runs of strings with one anchor: row, core hash, hash of the whole run, and the places of its anchor,
+    first and last string."""
     sizes = np.diff(borders)
     strings = np.maximum(sizes - length + 1, 0)
     none = np.zeros(0, np.int64)
     if not strings.any():
-        return none, none, none, none, none
+        return none, none, none, none, none, none
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     grams = np.ndarray((len(data),), "<u8", buffer=padded, strides=(1,))
     ranked = mixed(grams.copy())
@@ -99,28 +113,55 @@ def runs(data: np.ndarray, borders: np.ndarray, length: int):
     # what all strings have in common whose anchor lies at most / more than `half` bytes in
     core_from = np.where(late, anchor - half - 1, anchor)
     core_to = np.where(late, anchor + GRAM, anchor - half + length)
-    core = Hashes(data).of(core_from, core_to, late)
-    return row, core, anchor, begin[first], begin[last]
+    hashes = Hashes(data)
+    core = hashes.of(core_from, core_to, late)
+    whole = hashes.of(begin[first], begin[last] + length, anchor - begin[first])
+    return row, core, whole, anchor, begin[first], begin[last]
 
 
 def run_column(length: int):
-    @vectorized("struct<core:array<bigint>,anchor:array<int>,first:array<int>,last:array<int>>")
+    """Runs of a text as arrays: core, whole run, and in steps that fit 16 bits the first string (from that
+    of the run before, in `step` and `far` times 2^15), the anchor and the last string from the first."""
+    @vectorized("struct<core:array<bigint>,h:array<bigint>,step:array<smallint>,far:array<smallint>,"
+                "anchor:array<smallint>,last:array<smallint>>")
     def find(text: pa.Array) -> pa.Array:
         parts = []
         for data, borders in pieces(text):
-            row, core, *places = runs(data, borders, length)
+            row, core, whole, anchor, first, last = runs(data, borders, length)
             counts = np.bincount(row, minlength=len(borders) - 1)
-            parts.append((core, *(p - borders[row] for p in places), counts))
+            step = np.diff(first, prepend=0)
+            fresh = np.diff(row, prepend=-1) != 0
+            step[fresh] = (first - borders[row])[fresh]
+            parts.append((core, whole, step & 0x7FFF, step >> 15, anchor - first, last - first, counts))
         if not parts:
-            parts = [(np.zeros(0, np.int64),) * 5]
-        core, anchor, first, last, counts = (np.concatenate(x) for x in zip(*parts))
+            parts = [(np.zeros(0, np.int64),) * 7]
+        *columns, counts = (np.concatenate(x) for x in zip(*parts))
+        kinds = [pa.int64()] * 2 + [pa.int16()] * 4
         return pa.StructArray.from_arrays(
-            [lists(core, counts, pa.int64()), *(lists(x, counts, pa.int32()) for x in (anchor, first, last))],
-            ["core", "anchor", "first", "last"])
+            [lists(c.astype(k.to_pandas_dtype()), counts, k) for c, k in zip(columns, kinds)],
+            ["core", "h", "step", "far", "anchor", "last"])
 
     return find
 
 
+def firsts(length: int):
+    @vectorized("array<struct<core:bigint,h:bigint,first:int,anchor:smallint,last:smallint>>")
+    def place(found: pa.Array) -> pa.Array:
+        """The arrays of `run_column` as rows, the first strings counted from the start of the text."""
+        core = found.field("core")
+        borders = core.offsets.to_numpy().astype(np.int64)
+        flat = {c: found.field(c).flatten().to_numpy() for c in ("core", "h", "step", "far", "anchor", "last")}
+        total = np.cumsum(flat["step"].astype(np.int64) + (flat["far"].astype(np.int64) << 15))
+        counts = np.diff(borders)
+        base = np.concatenate([[0], total])[borders[:-1] - borders[0]]
+        rows = pa.StructArray.from_arrays(
+            [pa.array(flat["core"]), pa.array(flat["h"]), pa.array((total - np.repeat(base, counts)).astype(np.int32)),
+             pa.array(flat["anchor"]), pa.array(flat["last"])], ["core", "h", "first", "anchor", "last"])
+        return pa.ListArray.from_arrays(pa.array((borders - borders[0]).astype(np.int32)), rows)
+
+    return place
+
+
 @vectorized("binary")
 def squeezed(text: pa.Array) -> pa.Array:
     """Texts packed for a shuffle; they are only unpacked where Python works on them anyway."""
@@ -134,16 +175,15 @@ def _unpacked(data: bytes | None) -> bytes:
 
 
 def segment_column(length: int):
-    @vectorized("array<struct<core:bigint,first:int,anchor:int,seg:binary>>")
+    @vectorized("array<struct<core:bigint,h:bigint,n:bigint,anchor:smallint,seg:binary>>")
     def cut(packed: pa.Array, chosen: pa.Array) -> pa.Array:
         out = []
         for value, spans in zip(packed.to_pylist(), chosen.to_pylist()):
             data = _unpacked(value)
-            out.append([(s["core"], s["first"], s["anchor"] - s["first"], data[s["first"]:s["last"] + length])
-                        for s in spans])
-        return pa.array([[dict(zip(("core", "first", "anchor", "seg"), s)) for s in row] for row in out],
-                        pa.list_(pa.struct([("core", pa.int64()), ("first", pa.int32()),
-                                            ("anchor", pa.int32()), ("seg", pa.binary())])))
+            out.append([{"core": s["core"], "h": s["h"], "n": s["n"], "anchor": s["anchor"],
+                         "seg": data[s["first"]:s["first"] + s["last"] + length]} for s in spans])
+        return pa.array(out, pa.list_(pa.struct([("core", pa.int64()), ("h", pa.int64()), ("n", pa.int64()),
+                                                 ("anchor", pa.int16()), ("seg", pa.binary())])))
 
     return cut
 
@@ -177,22 +217,25 @@ def shard_decision(length: int):
 def _split(length: int, width: int):
     """Shorter runs of a segment: those of its strings with `width` neighbouring anchor places."""
     @vectorized("array<struct<core2:bigint,h2:bigint,a:int,b:int>>")
-    def split(seg: pa.Array, anchor: pa.Array, a: pa.Array, b: pa.Array) -> pa.Array:
+    def split(seg: pa.Array, anchor: pa.Array, ranges: pa.Array) -> pa.Array:
         data, borders = utf8(seg)
         hashes = Hashes(data)
         out = []
-        for i, (p, lo, hi) in enumerate(zip(anchor.to_pylist(), a.to_pylist(), b.to_pylist())):
-            at = np.arange(lo, hi + 1)
-            part = (p - at) // width
-            firsts = np.flatnonzero(np.diff(part, prepend=part[0] + 1))
-            lasts = np.append(firsts[1:], len(at)) - 1
-            begin, end, part = at[firsts], at[lasts], part[firsts]
-            base = borders[i]
-            core = hashes.of(base + p - part * width, base + p - (part + 1) * width + 1 + length,
-                             part * 256 + width)
-            whole = hashes.of(base + begin, base + end + length, part * 256 + width)
-            out.append([{"core2": c, "h2": h, "a": x, "b": y} for c, h, x, y in
-                        zip(core.tolist(), whole.tolist(), begin.tolist(), end.tolist())])
+        for i, (p, spans) in enumerate(zip(anchor.to_pylist(), ranges.to_pylist())):
+            own = []
+            for span in spans:
+                at = np.arange(span["a"], span["b"] + 1)
+                part = (p - at) // width
+                firsts = np.flatnonzero(np.diff(part, prepend=part[0] + 1))
+                lasts = np.append(firsts[1:], len(at)) - 1
+                begin, end, part = at[firsts], at[lasts], part[firsts]
+                base = borders[i]
+                core = hashes.of(base + p - part * width, base + p - (part + 1) * width + 1 + length,
+                                 part * 256 + width)
+                whole = hashes.of(base + begin, base + end + length, part * 256 + width)
+                own += [{"core2": c, "h2": h, "a": x, "b": y} for c, h, x, y in
+                        zip(core.tolist(), whole.tolist(), begin.tolist(), end.tolist())]
+            out.append(own)
         return pa.array(out, pa.list_(pa.struct([("core2", pa.int64()), ("h2", pa.int64()),
                                                  ("a", pa.int32()), ("b", pa.int32())])))
 
@@ -200,51 +243,74 @@ def _split(length: int, width: int):
 
 
 def _crowded(segments: DataFrame, length: int) -> DataFrame:
-    """The same decision for segments of crowded cores, run by run. No group of rows meets: every
-    level only counts hashes, and what occurs once is dropped."""
-    pending = segments.select("core", "h", "n", "seg", "anchor", F.lit(0).alias("a"),
-                              (F.octet_length("seg") - length).alias("b"))
+    """The same decision for segments of crowded cores, run by run. No group of rows meets: every level
+    only counts hashes, and what occurs once is dropped. Bytes are read once a level and never written."""
+    key = ["core", "h"]
+    everything = F.array(F.struct(F.lit(0).alias("a"), (F.octet_length("seg") - length).alias("b")))
+    pending = segments.select(*key, "n", everything.alias("ranges"))
     found = None
     for width in WIDTHS:
-        parts = pending.withColumn("p", F.explode(_split(length, width)("seg", "anchor", "a", "b")))
-        parts = written(parts.select("core", "h", "n", "seg", "anchor", "p.*"), f"split{width}")
+        parts = segments.select(*key, "seg", "anchor").join(pending, key).select(
+            *key, "n", F.explode(_split(length, width)("seg", "anchor", "ranges")).alias("p"))
+        parts = written(parts.select(*key, "n", "p.*"), f"split{width}")
         same = written(parts.groupBy("core2", "h2").agg(F.sum("n").alias("same")), f"same{width}")
         again = parts.join(same.filter("same > 1"), ["core2", "h2"], "left_semi")
-        hits = again.select("core", "h", F.array(F.struct("a", "b")).alias("hits"))
+        hits = again.select(*key, F.array(F.struct("a", "b")).alias("hits"))
         found = hits if found is None else found.unionByName(hits)
         # cores with different runs go on; of equal runs one stays as the partner of the others
         mixed_cores = same.groupBy("core2").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-        fields = ["core", "h", "n", "seg", "anchor", "a", "b"]
-        pending = (parts.join(mixed_cores, "core2", "left_semi").groupBy("core2", "h2")
-                   .agg(F.min_by(F.struct(*fields), F.struct("core", "h", "a")).alias("one"))
-                   .select("one.*"))
+        fields = [*key, "n", "a", "b"]
+        ones = (parts.join(mixed_cores, "core2", "left_semi").groupBy("core2", "h2")
+                .agg(F.min_by(F.struct(*fields), F.struct(*key, "a")).alias("one")).select("one.*"))
+        pending = ones.groupBy(*key, "n").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
         if width == WIDTHS[-1] or mixed_cores.isEmpty():
             return found
     return found
 
 
+def _of_repeated_cores(rows: DataFrame, length: int) -> DataFrame:
+    """(ka, kb, core, h, anchor, first, last) of every run whose core occurs twice; places as in `run_column`,
+    `first` from the start of the text."""
+    found = written(rows.select("ka", "kb", run_column(length)("text").alias("r"))
+                    .filter(F.size("r.core") > 0), "runs")
+    twice = (found.select(F.explode("r.core").alias("core")).groupBy("core")
+             .agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core"))
+    flat = found.select("ka", "kb", F.explode(firsts(length)("r")).alias("x")).select("ka", "kb", "x.*")
+    chosen = written(flat.join(twice, "core", "left_semi"), "chosen")
+    dropped(found)
+    return chosen
+
+
 def repeated_spans(docs: DataFrame, text_col: str, id_col: str, length: int = LENGTH,
                    core_bytes: int = CORE_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Per row key (ka, kb) the starts of repeated strings, as stretches a to b."""
     rows = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text"))
-    runs_of = written(rows.select("ka", "kb", run_column(length)("text").alias("r"))
-                      .filter(F.size("r.core") > 0), "runs")
-    twice = (runs_of.select(F.explode("r.core").alias("core")).groupBy("core")
-             .agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core"))
-    flat = runs_of.select("ka", "kb", F.explode(F.arrays_zip("r.core", "r.anchor", "r.first", "r.last"))
-                          .alias("x")).select("ka", "kb", "x.*")
-    # collect_set: equal rows have equal keys and each brings its runs again below
-    chosen = (flat.join(twice, "core", "left_semi").groupBy("ka", "kb")
-              .agg(F.collect_set(F.struct("core", "anchor", "first", "last")).alias("chosen")))
-    packed = rows.select("ka", "kb", squeezed("text").alias("packed"))
-    cut = (packed.join(chosen, ["ka", "kb"])
-           .select("ka", "kb", F.explode(segment_column(length)("packed", "chosen")).alias("s")))
-    segments = written(cut.select("ka", "kb", "s.core", F.xxhash64("s.seg").alias("h"), "s.first",
-                                  "s.anchor", "s.seg"), "segments")
-    different = written(segments.groupBy("core", "h", "anchor", "seg")
-                        .agg(F.count(F.lit(1)).alias("n")), "different")
-    sized = different.groupBy("core").agg(F.sum(F.octet_length("seg")).alias("bytes"),
-                                          F.sum("n").alias("rows"))
+    chosen = _of_repeated_cores(rows, length)
+    found = _decided(rows, chosen, length, core_bytes, shard_bytes)
+    places = chosen.select("ka", "kb", "core", "h", "first").distinct().join(found, ["core", "h"])
+    return places.select("ka", "kb", F.explode("hits").alias("x"), "first").groupBy("ka", "kb").agg(
+        F.collect_list(F.struct((F.col("first") + F.col("x.a")).alias("a"),
+                                (F.col("first") + F.col("x.b")).alias("b"))).alias("spans"))
+
+
+def _decided(rows: DataFrame, chosen: DataFrame, length: int, core_bytes: int, shard_bytes: int) -> DataFrame:
+    """(core, h, hits) of every kind of run: the stretches of its strings that start twice.
+
+    A kind (core, h) is counted first. The one kind of a core repeats as a whole or not at all; the bytes of
+    other kinds are cut from the text of one run each.
+    """
+    one = F.min(F.struct("ka", "kb", "first", "anchor", "last")).alias("one")
+    kinds = written(chosen.groupBy("core", "h").agg(F.count(F.lit(1)).alias("n"), one), "kinds")
+    several = kinds.groupBy("core").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("core")
+    whole = F.array(F.struct(F.lit(0).alias("a"), F.col("one.last").cast("int").alias("b")))
+    equal = kinds.filter("n > 1").select("core", "h", whole.alias("hits"))
+    asked = (kinds.join(several, "core", "left_semi").groupBy("one.ka", "one.kb")
+             .agg(F.collect_list(F.struct("core", "h", "n", "one.first", "one.anchor", "one.last")).alias("asked")))
+    packed = (rows.select("ka", "kb", squeezed("text").alias("packed")).groupBy("ka", "kb")
+              .agg(F.first("packed").alias("packed")).join(asked, ["ka", "kb"]))  # equal rows have equal keys
+    cut = packed.select(F.explode(segment_column(length)("packed", "asked")).alias("s"))
+    different = written(cut.select("s.*"), "different")
+    sized = different.groupBy("core").agg(F.sum(F.octet_length("seg")).alias("bytes"))
     crowded = written(sized.filter(F.col("bytes") > core_bytes).select("core"), "crowded")
     total = different.agg(F.sum(F.octet_length("seg"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
@@ -254,11 +320,11 @@ def repeated_spans(docs: DataFrame, text_col: str, id_col: str, length: int = LE
              .groupBy("shard").applyInArrow(shard_decision(length), _FOUND_DDL))
     if n_crowded:
         found = found.unionByName(_crowded(different.join(crowded, "core", "left_semi"), length))
-    found = written(found, "found")
-    places = segments.select("ka", "kb", "core", "h", "first").distinct().join(found, ["core", "h"])
-    return places.select("ka", "kb", F.explode("hits").alias("x"), "first").groupBy("ka", "kb").agg(
-        F.collect_list(F.struct((F.col("first") + F.col("x.a")).alias("a"),
-                                (F.col("first") + F.col("x.b")).alias("b"))).alias("spans"))
+    # a kind that occurs twice is known to repeat as a whole
+    lone = equal.join(several, "core", "left_anti")
+    decided = written(found.unionByName(lone), "found")
+    dropped(different)
+    return decided
 
 
 def kept_column(length: int):
@@ -282,16 +348,15 @@ def kept_column(length: int):
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     length: int = LENGTH, found: str = "found", **sizes) -> DataFrame:
-    """`docs` with `was_text` (the text was not NULL) in place of the text and a struct `found`:
-    removed bytes, removed runs, and the remaining bytes."""
+    """`docs` with a struct `found` in place of the text: removed bytes, removed runs, the remaining bytes, and
+    `was_text`, whether there was a text at all. A column of the name `found` is replaced."""
     spans = repeated_spans(docs, text_col, id_col, length, **sizes)
-    others = [c for c in docs.columns if c != text_col]
+    others = [c for c in docs.columns if c not in (text_col, found)]
     packed = docs.select(F.struct(F.lit(0), *others).alias("doc"), *row_key(id_col, text_col),
                          squeezed(text_col).alias("packed"))
-    cut = packed.join(spans, ["ka", "kb"], "left").withColumn(
-        found, kept_column(length)("packed", "spans"))
-    return cut.select(*[F.col("doc").getField(c).alias(c) for c in others],
-                      F.col("packed").isNotNull().alias("was_text"), found)
+    cut = packed.join(spans, ["ka", "kb"], "left").withColumn("cut", kept_column(length)("packed", "spans"))
+    told = F.struct("cut.*", F.col("packed").isNotNull().alias("was_text"))
+    return cut.select(*[F.col("doc").getField(c).alias(c) for c in others], told.alias(found))
 
 
 def as_text(kept: str):
