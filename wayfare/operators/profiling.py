@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wayfare.operators.quantiles import exact_quantiles
+
 
 def is_missing(df: DataFrame, name: str) -> Column:
     """NULL, or NaN in a floating-point column."""
@@ -122,21 +124,31 @@ def modes(df: DataFrame, columns) -> DataFrame:
     return counted.groupBy("column").agg(best).select("column", "best.value", "best.n")
 
 
+def _values(df: DataFrame, columns) -> DataFrame:
+    """(column, value) per row and column."""
+    entries = [F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("value")) for c in columns]
+    return df.select(F.inline(F.array(*entries)))
+
+
+def quantiles(df: DataFrame, columns, shares: list[float]) -> dict[str, list[float] | None]:
+    """Exact values at `shares` of every column, which occur in it; None for a column without a value."""
+    found = exact_quantiles(_values(df, columns), ["column"], "value", shares).collect()  # a row per column
+    return {c: None for c in columns} | {r["column"]: r["quantiles"] for r in found}
+
+
 def summary(df: DataFrame, columns) -> DataFrame:
     """(statistic, one column per input column): count, mean, stddev, min, quartiles, max.
 
-    Quartiles are values that occur, from a mergeable sketch; up to some 10,000 distinct
-    values they are exact.
+    Quartiles are exact and values that occur.
     """
     names = ["count", "mean", "stddev", "min", "25%", "50%", "75%", "max"]
+    quartiles = quantiles(df, columns, [0.25, 0.5, 0.75])
 
     def measures(c):
         col = F.col(c)
-        quartiles = F.percentile_approx(col, [0.25, 0.5, 0.75]).cast("array<double>")
-        return [
-            F.count(col).cast("double"), F.avg(col), F.stddev_samp(col), F.min(col).cast("double"),
-            quartiles[0], quartiles[1], quartiles[2], F.max(col).cast("double"),
-        ]
+        places = [F.lit(q).cast("double") for q in quartiles[c] or [None] * 3]
+        return [F.count(col).cast("double"), F.avg(col), F.stddev_samp(col), F.min(col).cast("double"),
+                *places, F.max(col).cast("double")]
 
     flat = df.agg(
         *[m.alias(f"{c}__{i}") for c in columns for i, m in enumerate(measures(c))]

@@ -18,12 +18,15 @@ from wayfare.functions.cells import (
 from wayfare.functions.measures import profitability
 from wayfare.functions.times import window_start
 from wayfare.operators.intervals import ticks_between
-from wayfare.operators.medians import exact_median, median_element
+from wayfare.operators.medians import exact_median
+from wayfare.operators.quantiles import SMALL_GROUP, exact_quantiles
 from wayfare.operators.ranking import ranked, widen_ranks
 
 PROFIT_SECONDS = 15 * 60
 EMPTY_SECONDS = 30 * 60
 TOP = 10
+SKETCH_BITS = 12
+SKETCH_ERROR = 1.04 / 2 ** (SKETCH_BITS / 2)
 
 CELL = ["cell_x", "cell_y"]
 
@@ -56,17 +59,19 @@ def with_end_cells(df: DataFrame) -> DataFrame:
     ).drop("__cell")
 
 
-def profit_by_cell(placed: DataFrame, size: int = PROFIT_SECONDS) -> DataFrame:
+def profit_by_cell(placed: DataFrame, size: int = PROFIT_SECONDS, limit: int = SMALL_GROUP) -> DataFrame:
     """Median fare and tip per (dropoff window, pickup cell), an element of the group."""
-    return placed.groupBy(
+    rows = placed.select(
         window_start("dropoff_unix", size).alias("window_start"),
         F.col("start_cell_x").alias("cell_x"),
         F.col("start_cell_y").alias("cell_y"),
-    ).agg(
-        median_element("fare_plus_tip").alias("median_fare_tip"),
-        F.max("pickup_unix").alias("trigger_pickup"),
-        F.max("dropoff_unix").alias("trigger_dropoff"),
+        "fare_plus_tip", "pickup_unix", "dropoff_unix",
     )
+    found = exact_quantiles(
+        rows, ["window_start", *CELL], "fare_plus_tip", [0.5],
+        F.max("pickup_unix").alias("trigger_pickup"), F.max("dropoff_unix").alias("trigger_dropoff"), limit=limit)
+    return found.select("window_start", *CELL, F.get("quantiles", 0).alias("median_fare_tip"), "trigger_pickup",
+                        "trigger_dropoff")
 
 
 def exact_profit_by_cell(placed: DataFrame, size: int = PROFIT_SECONDS) -> DataFrame:
@@ -90,6 +95,25 @@ def taxis_by_cell(placed: DataFrame, size: int = EMPTY_SECONDS, exact: bool = Tr
     ).agg(taxis.alias("empty_taxis"))
 
 
+def taxi_sketches(placed: DataFrame, size: int = PROFIT_SECONDS) -> DataFrame:
+    """A mergeable sketch of the taxis per (dropoff window, dropoff cell), to be kept as a table.
+
+    Windows of any multiple of `size` follow from it without another look at the trips.
+    """
+    return placed.groupBy(
+        window_start("dropoff_unix", size).alias("window_start"),
+        F.col("end_cell_x").alias("cell_x"),
+        F.col("end_cell_y").alias("cell_y"),
+    ).agg(F.hll_sketch_agg("medallion", SKETCH_BITS).alias("taxis"))
+
+
+def taxis_from_sketches(sketches: DataFrame, size: int = EMPTY_SECONDS) -> DataFrame:
+    """Distinct taxis per wider window and cell, to about SKETCH_ERROR (one standard deviation)."""
+    merged = F.hll_sketch_estimate(F.hll_union_agg("taxis"))
+    return sketches.groupBy(window_start("window_start", size).alias("window_start"), *CELL).agg(
+        merged.alias("empty_taxis"))
+
+
 def taxi_events(ended: DataFrame, *kept: str) -> DataFrame:
     """Pickup and dropoff of every trip of a known taxi as two rows, in one pass; `kept` come along.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from wayfare.operators.profiling import (
@@ -12,7 +14,7 @@ from wayfare.operators.profiling import (
 )
 from wayfare.plans import flights as plans
 from wayfare.queries.base import FLIGHTS, ctes, query, stable, stable_sql
-from wayfare.schemas import FLIGHT
+from wayfare.schemas import FLIGHT, column_names
 from wayfare.sources import derived
 
 KINDS = {part.split()[0]: part.split()[1] for part in FLIGHT.split(",")}
@@ -138,21 +140,23 @@ def by_class(spark, sf_dir):
     return missing_by_class(_flights(spark, sf_dir), "CANCELLED")
 
 
-# the first ten columns with gaps
-GAPS = ["DEP_TIME", "DEP_DELAY", "TAXI_OUT", "WHEELS_OFF", "WHEELS_ON", "TAXI_IN", "ARR_TIME",
-        "ARR_DELAY", "CANCELLATION_CODE", "DIVERTED"]
-
-
-def _corr_sql(a: str, b: str) -> str:
-    flags = f"CAST({a} IS NULL AS DOUBLE), CAST({b} IS NULL AS DOUBLE)"
-    return (f"SELECT '{a}' AS column_a, '{b}' AS column_b, "
-            f"{stable_sql(f'corr({flags})')} AS correlation FROM flights")
+def _corr_sql() -> str:
+    """Correlations of the missing flags of all pairs of columns, where both flags change."""
+    names = column_names(FLIGHT)
+    flags = ", ".join(f"CAST({c} IS NULL AS DOUBLE) AS {c}" for c in names)
+    pairs = ", ".join(f"{{'column_a': '{a}', 'column_b': '{b}', 'c': CASE WHEN var_pop({a}) > 0"
+                      f" AND var_pop({b}) > 0 THEN corr({a}, {b}) END}}" for a, b in combinations(names, 2))
+    return (f", flags AS (SELECT {flags} FROM flights), pairs AS (SELECT unnest([{pairs}]) AS x FROM flags)"
+            f" SELECT x.column_a, x.column_b, {stable_sql('x.c')} AS correlation FROM pairs WHERE x.c IS NOT NULL")
 
 
-@query("missing_corr", ctes(FLIGHTS) + " UNION ALL ".join(
-    _corr_sql(a, b) for i, a in enumerate(GAPS) for b in GAPS[i + 1:]))
+@query("missing_corr", ctes(FLIGHTS) + _corr_sql())
 def correlations(spark, sf_dir):
-    table = missing_correlation(_flights(spark, sf_dir), GAPS)
+    """Every pair of columns that have gaps and are not empty throughout."""
+    flights = _flights(spark, sf_dir).select(*column_names(FLIGHT))
+    profile = missing_profile(flights).filter("missing_percent > 0 AND missing_percent < 100")
+    gaps = {r["column"] for r in profile.collect()}  # one row per column
+    table = missing_correlation(flights, [c for c in flights.columns if c in gaps])
     return table.select("column_a", "column_b", stable("correlation").alias("correlation"))
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from wayfare.operators.cleaning import clean_trips
 from wayfare.plans import profit as plans
 from wayfare.queries.base import CLEAN, TRIPS, cell_250m_x_sql, cell_250m_y_sql, ctes, placed_of, query
+from wayfare.session import scratch_path
 from wayfare.sources import derived
 
 SIX_HOURS = 6 * 3600
@@ -64,9 +67,16 @@ def empty_taxis_distinct(spark, sf_dir):
     return plans.taxis_by_cell(_placed(spark, sf_dir))
 
 
-@query("empty_taxis_approximate")
+@query("empty_taxis_approximate", PLACED + f", {TAXIS} SELECT *, true AS near FROM taxis")
 def empty_taxis_approximate(spark, sf_dir):
-    return plans.taxis_by_cell(_placed(spark, sf_dir), exact=False)
+    """Taxis of half hours from stored sketches of quarters, within three standard deviations of the exact number."""
+    placed, stored = _placed(spark, sf_dir), scratch_path(spark, "sketches")
+    plans.taxi_sketches(placed).write.parquet(stored)
+    estimated = plans.taxis_from_sketches(spark.read.parquet(stored)).withColumnRenamed("empty_taxis", "estimate")
+    both = plans.taxis_by_cell(placed).join(estimated, ["window_start", *plans.CELL], "full")
+    bound = F.greatest(F.lit(0.5), 3 * plans.SKETCH_ERROR * F.col("empty_taxis"))
+    near = F.abs(F.col("estimate") - F.col("empty_taxis")) <= bound
+    return both.select("window_start", *plans.CELL, "empty_taxis", F.coalesce(near, F.lit(False)).alias("near"))
 
 
 # the definition itself: the latest dropoff up to T, at most 30 minutes old, no pickup since

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -11,6 +11,9 @@ from wayfare.operators.sequence import previous_value
 from wayfare.streaming.run import publish, read_published, start, write_batch
 
 
+FEW_WINDOWS = 10_000
+
+
 def window_entries(rows: DataFrame, order, k: int, entry, ordered: bool,
                    values: dict[str, str]) -> DataFrame:
     """One row per window: its k first entries, what stands at each rank, and its latest times.
@@ -31,16 +34,24 @@ def window_entries(rows: DataFrame, order, k: int, entry, ordered: bool,
     )
 
 
-def changed(windows: DataFrame, k: int, values: dict[str, str],
-            last: DataFrame | None = None) -> DataFrame:
+def _linked(known: DataFrame, few: bool) -> DataFrame:
+    """Every window with the entries of the window before; few windows are one line in one task."""
+    if few:
+        return known.withColumn("before", F.lag("entries").over(Window.orderBy("window_start")))
+    return previous_value(known, [], ["window_start"], "entries", "before")
+
+
+def changed(windows: DataFrame, k: int, values: dict[str, str], last: DataFrame | None = None,
+            few: bool = False) -> DataFrame:
     """Windows of `window_entries` whose entries differ from those of the window before.
 
-    `last` holds the newest (window_start, entries) already known.
+    `last` holds the newest (window_start, entries) already known. `few` says that there are at most
+    about FEW_WINDOWS; the result is the same.
     """
     known = windows.withColumn("new", F.lit(True))
     if last is not None:
         known = known.unionByName(last.withColumn("new", F.lit(False)), allowMissingColumns=True)
-    linked = previous_value(known, [], ["window_start"], "entries", "before")
+    linked = _linked(known, few)
     differ = linked.filter(F.col("new") & ~F.col("entries").eqNullSafe(F.col("before")))
     now = F.unix_micros(F.current_timestamp())
     return differ.select(
@@ -74,13 +85,16 @@ def run_changes(windows: DataFrame, order, k: int, entry, ordered: bool,
     def emit(batch: DataFrame, batch_id: int) -> None:
         # one row a window, used more than once: the stateful part must run but once
         closed = window_entries(batch, order, k, entry, ordered, values).persist()
-        last = read_published(batch.sparkSession, said, batch_id)
-        found = changed(closed, k, values, last).persist()
-        if not found.isEmpty():
-            write_batch(found, batch_id, path)
-            newest = found.orderBy(F.desc("window_start")).limit(1)
-            publish(newest.select("window_start", "entries"), said, batch_id)
-        found.unpersist()
+        number = closed.count()
+        if number:
+            last = read_published(batch.sparkSession, said, batch_id)
+            found = changed(closed, k, values, last, few=number <= FEW_WINDOWS).persist()
+            newest = found.agg(F.max_by(F.struct("window_start", "entries"), "window_start").alias("said")).first()[0]
+            if newest is not None:  # one window and its k entries
+                write_batch(found, batch_id, path)
+                row = batch.sparkSession.createDataFrame([newest], "window_start long, entries string")
+                publish(row.coalesce(1), said, batch_id)
+            found.unpersist()
         closed.unpersist()
 
     writer = windows.writeStream.outputMode("append").foreachBatch(emit)

@@ -10,7 +10,7 @@ from wayfare.functions.cells import cell_name
 from wayfare.functions.measures import profitability
 from wayfare.operators.medians import median_element
 from wayfare.plans.profit import (
-    CELL,
+    PROFIT_SECONDS,
     TOP,
     with_250m_cells,
 )
@@ -73,16 +73,43 @@ def taxi_windows(trips: DataFrame, lateness: str = EMPTY_LATENESS, exact: bool =
 
 
 def profitability_windows(trips: DataFrame, exact: bool = True) -> DataFrame:
-    """Profit joined with the taxis of the 30-minute window around it.
+    """Profit per 15-minute window and cell with the distinct taxis of the 30-minute window around it.
 
-    The window takes part in the join, so both sides' state can be dropped as time passes.
+    One state per half hour and cell holds both: a trip counts for the profit of its pickup cell and for
+    the taxis of its dropoff cell. The exact number needs the set of taxis that stopped in a cell in half
+    an hour, which is as large as a fleet at most; the other form keeps a sketch.
     """
-    # one event-time column a side: the surrounding window stands in for the profit window
-    around = F.window(F.window_time("window"), "30 minutes")
-    profit = flat_window(_profit(trips, PROFIT_LATENESS).withColumn("around", around))
-    taxis = _taxis(trips, EMPTY_LATENESS, exact).withColumnRenamed("window", "around")
-    joined = profit.join(taxis, ["around", *CELL]).drop("around")
-    return joined.withColumn("profitability", profitability("median_fare_tip", "empty_taxis"))
+    placed = (with_250m_cells(trips).withColumn("ingested", F.current_timestamp())
+              .withWatermark("dropoff_datetime", EMPTY_LATENESS))
+    around = F.window("dropoff_datetime", "30 minutes")
+    no_time, no_fare, no_taxi = (F.lit(None).cast(t) for t in ("timestamp", "double", "string"))
+
+    def at(end, fare, pickup, dropoff, ingested, taxi):
+        return F.struct(F.col(f"{end}_cell_x").alias("cell_x"), F.col(f"{end}_cell_y").alias("cell_y"),
+                        fare.alias("fare"), pickup.alias("pickup"), dropoff.alias("dropoff"),
+                        ingested.alias("arrived"), taxi.alias("taxi"))
+
+    known = [F.col(c) for c in ("fare_plus_tip", "pickup_datetime", "dropoff_datetime", "ingested")]
+    both = F.array(at("start", *known, no_taxi), at("end", no_fare, no_time, no_time, no_time, F.col("medallion")))
+    events = placed.select("dropoff_datetime", F.inline(both)).withColumn(
+        "quarter", F.floor(F.unix_seconds("dropoff_datetime") / PROFIT_SECONDS) % 2)
+    quarters = [F.col("quarter") == q for q in (0, 1)]
+    taxis = F.size(F.collect_set("taxi")).cast("long") if exact else F.approx_count_distinct("taxi")
+    summed = events.groupBy(around, "cell_x", "cell_y").agg(
+        taxis.alias("empty_taxis"),
+        *[m.alias(f"{name}_{q}") for q, now in enumerate(quarters) for name, m in {
+            "fare": median_element(F.when(now, F.col("fare"))), "pickup": F.max(F.when(now, F.col("pickup"))),
+            "dropoff": F.max(F.when(now, F.col("dropoff"))),
+            "ingested": F.max(F.when(now, F.col("arrived")))}.items()])
+    start = F.unix_seconds("window.start")
+    rows = summed.select("cell_x", "cell_y", "empty_taxis", F.inline(F.array(*[
+        F.struct(F.col(f"fare_{q}").alias("median_fare_tip"), F.col(f"pickup_{q}").alias("trigger_pickup"),
+                 F.col(f"dropoff_{q}").alias("trigger_dropoff"), F.col(f"ingested_{q}").alias("ingested"),
+                 (start + q * PROFIT_SECONDS).alias("window_start"),
+                 (start + (q + 1) * PROFIT_SECONDS).alias("window_end")) for q in (0, 1)])))
+    # a quarter without a pickup has no profit, a cell without a dropoff no taxi to share it
+    shared = rows.filter(F.col("trigger_dropoff").isNotNull() & (F.col("empty_taxis") > 0))
+    return shared.withColumn("profitability", profitability("median_fare_tip", "empty_taxis"))
 
 
 def run_profit_changes(trips: DataFrame, path: str, checkpoint: str, k: int = TOP,

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -107,10 +107,14 @@ def update_table(df: DataFrame, path: str, checkpoint: str, every: str | None =
 
 
 def read_updates(spark: SparkSession, path: str, keys) -> DataFrame:
-    """The latest row of every key written by `update_table`."""
-    line = Window.partitionBy(*keys).orderBy(F.desc("batch_id"))
-    rows = spark.read.parquet(path).withColumn("__n", F.row_number().over(line))
-    return rows.filter("__n = 1").drop("__n", "batch_id")
+    """The latest row of every key written by `update_table`.
+
+    The newest batch is a maximum per key, which tasks merge before the shuffle.
+    """
+    rows = spark.read.parquet(path)
+    values = [c for c in rows.columns if c not in (*keys, "batch_id")]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("__newest"))
+    return newest.select(*keys, "__newest.*")
 
 
 def write_batch(batch: DataFrame, batch_id: int, path: str) -> None:
