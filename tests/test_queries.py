@@ -23,3 +23,12 @@ def test_runs(spark, tiny, name):
 def test_contract(spark):
     assert set(contract.oracle_sql()) <= set(contract.queries())
     assert contract.entry(spark).count() > 0
+
+
+def test_a_missing_library_costs_the_optional_queries_only(monkeypatch):
+    def absent(name):
+        raise ModuleNotFoundError(name)
+
+    monkeypatch.setattr(contract, "import_module", absent)
+    assert set(contract.queries()) == set(QUERIES)
+    assert set(contract.oracle_sql()) == set(ORACLES)
