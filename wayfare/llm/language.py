@@ -5,6 +5,11 @@ strings that occur in the sample. A text is parsed greedily into the longest phr
 there; its cross-entropy is phrases * log2(sample size) / length, and the language with the lowest
 one wins, ties by name. Letters A-Z count as a-z, other ASCII characters as spaces.
 
+The sample is the only bounded part: of up to `SAMPLE_DOCS` texts per language, `SAMPLE_BYTES` bytes
+in equal shares, what short texts leave going to longer ones; a text longer than its share gives
+stretches from all over it. Languages may be any number: those whose tables fit in `TABLE_BYTES`
+together are compared in one scan of the documents, and the best two so far go from scan to scan.
+
 Parsing restarts every BLOCK bytes, so that a long text takes no more steps than a short one; every
 byte is parsed. NULL texts and texts without a letter are `und` with score 0, as are all texts if
 there is no labelled sample. Ids, sources and labels are never looked at when predicting.
@@ -20,13 +25,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import per_row, pieces, vectorized, written
+from wayfare.llm.common import dropped, pieces, vectorized, written
+from wayfare.operators.skew import salted_join
 
 SAMPLE_DOCS = 96  # labelled texts per language, equal texts counted once
-SAMPLE_BYTES = 24_000  # of text per language in its automaton
-LANGUAGES = 200  # automata that one broadcast may hold
+SAMPLE_BYTES = 24_000  # of text per language in its automaton, separators aside
+STRETCHES, STRETCH_BYTES = 8, 200  # at most so many stretches of a text, of so many bytes or more
+SAMPLE_BUCKETS = 64  # the smallest hashes are found per bucket first, so that no language is one task
+BROADCAST_ROWS = 1 << 20  # sampled (language, hash) pairs that one broadcast may hold
+TABLE_BYTES = 128 << 20  # of automata in one scan
 BLOCK = 2048
 UNKNOWN = "und"
+_BEST = "lang string, best double, second double"
 
 # 0 separates, ASCII letters have one case, the rest of ASCII is one space
 _FOLD = np.full(256, 32, np.uint8)
@@ -64,17 +74,45 @@ def automaton(text: bytes) -> list[dict[int, int]]:
     return moves
 
 
+def shares(lengths: list[int], total: int) -> list[int]:
+    """How much of each length is taken so that all together take `total`, as equally as they can."""
+    taken, left = [0] * len(lengths), total
+    for place, i in enumerate(sorted(range(len(lengths)), key=lengths.__getitem__)):
+        taken[i] = min(lengths[i], left // (len(lengths) - place))
+        left -= taken[i]
+    return taken
+
+
+def stretches(text: bytes, limit: int) -> bytes:
+    """`text`, or if it is longer than `limit`, stretches at equal distances with a space between."""
+    if len(text) <= limit:
+        return text
+    parts = max(1, min(STRETCHES, limit // STRETCH_BYTES))
+    size = limit // parts
+    gap = len(text) - size * parts
+    starts = [i * size + gap * (2 * i + 1) // (2 * parts) for i in range(parts)]
+    return b" ".join(text[at:at + size] for at in starts)
+
+
+def _stretched(text):
+    """`stretches` of a text column down to SAMPLE_BYTES, so that long texts are cut before they move."""
+    raw, n, size = text.cast("binary"), F.octet_length(text), SAMPLE_BYTES // STRETCHES
+    cut = []
+    for i in range(STRETCHES):
+        at = i * size + F.floor((n - size * STRETCHES) * (2 * i + 1) / (2 * STRETCHES)) + 1
+        cut += [F.lit(b" "), raw.substr(at.cast("int"), F.lit(size))]
+    return F.when(n <= SAMPLE_BYTES, raw).otherwise(F.concat(*cut[1:]))
+
+
 def _train(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One language's automaton as (state, symbol, target) triples."""
-    size, parts = 0, []
-    for text in pdf.sort_values("h")["text"]:
-        part = _FOLD[np.frombuffer(text.encode(), np.uint8)][:SAMPLE_BYTES // 8]
-        parts.append(part[:SAMPLE_BYTES - size])
-        size += len(parts[-1])
-    text = b" ".join(p.tobytes() for p in parts)
+    """One language's sample and its automaton as (state, symbol, target) triples."""
+    texts = pdf.sort_values("h")["text"].tolist()
+    taken = shares([len(t) for t in texts], SAMPLE_BYTES)
+    text = _FOLD[np.frombuffer(b" ".join(map(stretches, texts, taken)), np.uint8)].tobytes()
     moves = automaton(text)
     triples = np.array([(s, c, t) for s, to in enumerate(moves) for c, t in to.items()], np.int32)
-    return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "size": [len(text)],
+    return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "sample": [text], "size": [len(text)],
+                         "states": [len(moves)], "symbols": [bytes(sorted(set(text)))],
                          "moves": [triples.tobytes()]})
 
 
@@ -133,59 +171,99 @@ class Parser:
         return count
 
 
-def parsers(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> list[dict]:
-    """Automata of a bounded sample per language, built in one task per language.
+def _smallest(rows: DataFrame, *keys: str) -> DataFrame:
+    """The SAMPLE_DOCS rows with the smallest hash of each key."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("h"))
+    return rows.withColumn("place", place).filter(F.col("place") <= SAMPLE_DOCS).drop("place")
+
+
+def parsers(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """A row per language: its bounded sample and the automaton of it, written to the shared folder.
 
     Equal texts are met once, by hash and before any text moves; of the distinct ones the
-    `SAMPLE_DOCS` with the smallest hash are read.
+    `SAMPLE_DOCS` with the smallest hash are read. Rows without a language or text teach nothing.
     """
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"),
                            F.xxhash64(text_col).alias("h")).filter(
         "lang is not null and text is not null and octet_length(text) > 0")
-    chosen = (rows.groupBy("lang", "h").agg(F.count(F.lit(1)).alias("n"))
-              .withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
-              .filter(F.col("place") <= SAMPLE_DOCS).select("lang", "h"))
-    chosen = written(chosen, "sample")
-    if chosen.select("lang").distinct().count() > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages: train them in several calls")
-    texts = (rows.join(F.broadcast(chosen), ["lang", "h"])
+    hashes = rows.select("lang", "h").distinct().withColumn("bucket", F.pmod("h", F.lit(SAMPLE_BUCKETS)))
+    chosen = written(_smallest(_smallest(hashes, "lang", "bucket"), "lang").select("lang", "h"), "sample")
+    if chosen.count() <= BROADCAST_ROWS:
+        picked = rows.join(F.broadcast(chosen), ["lang", "h"])
+    else:
+        picked = salted_join(rows, chosen, ["lang", "h"])
+    texts = (picked.select("lang", "h", _stretched(F.col("text")).alias("text"))
              .groupBy("lang", "h").agg(F.min("text").alias("text")))
-    return texts.groupBy("lang").applyInPandas(
-        _train, "lang string, size long, moves binary").collect()
+    return written(texts.groupBy("lang").applyInPandas(
+        _train, "lang string, sample binary, size long, states long, symbols binary, moves binary"), "automata")
+
 
+def _scans(automata: DataFrame, limit: int) -> list[list[str]]:
+    """Languages by name, cut into scans whose tables hold `limit` bytes, or one language."""
+    scans, states, symbols = [], 0, set()
+    for row in sorted(automata.select("lang", "states", "symbols").collect(), key=lambda r: r["lang"]):
+        states, symbols = states + row["states"], symbols | set(row["symbols"])
+        if not scans or 4 * states * (len(symbols) + 1) > limit:
+            scans.append([])
+            states, symbols = row["states"], set(row["symbols"])
+        scans[-1].append(row["lang"])
+    return scans
 
-def identify(docs: DataFrame, trained: list, text_col: str = "text", lang: str = "lang_pred",
-             score: str = "score") -> DataFrame:
-    """`docs` with the predicted language and a score from 0 to 1: how far the second is behind."""
-    known = docs.sparkSession.sparkContext.broadcast(Parser(trained) if trained else None)
 
-    @vectorized("lang string, score double")
-    def predict(text: pa.Array) -> pa.Array:
-        parser, names, scores = known.value, [], []
+def _comparer(known):
+    """A column function (text, best two so far) -> best two with the languages of one scan."""
+
+    @vectorized(_BEST)
+    def compare(text: pa.Array, earlier: pa.Array) -> pa.Array:
+        parser, out, row0 = known.value, [], 0
+        names = np.array(parser.names, object)
         for data, borders in pieces(text, 1 << 20):
-            folded = _FOLD[data]
-            if parser is None:
-                names += [None] * (len(borders) - 1)
-                scores.append(np.zeros(len(borders) - 1))
-                continue
+            before = earlier.slice(row0, len(borders) - 1)
+            row0 += len(borders) - 1
             bits = parser.phrases(data, borders) * parser.bits[:, None]
-            bits /= np.maximum(per_row(folded >= 0, borders), 1)
-            best = np.argmin(bits, 0)
-            ranked = np.sort(bits, 0)
-            second = ranked[min(1, len(ranked) - 1)]
-            scores.append(np.where(second > 0, 1 - ranked[0] / np.maximum(second, 1e-300), 0)
-                          if len(ranked) > 1 else np.ones(len(best)))
-            names += [parser.names[i] for i in best]
+            bits /= np.maximum(np.diff(borders), 1)
+            which = np.argmin(bits, 0)
+            # an earlier scan has the names that come first, so it keeps ties
+            old = np.asarray(before.field("best"), float)
+            ranked = np.sort(np.concatenate(
+                [[old, np.asarray(before.field("second"), float)], np.sort(bits, 0)[:2]]), 0)
+            was = np.asarray(before.field("lang").to_numpy(zero_copy_only=False), object)
+            out.append((np.where(bits.min(0) < old, names[which], was), ranked[0], ranked[1]))
+        join = lambda i, empty: np.concatenate([x[i] for x in out]) if out else np.zeros(0, empty)
         return pa.StructArray.from_arrays(
-            [pa.array(names, pa.string()),
-             pa.array(np.concatenate(scores) if scores else [], pa.float64())], ["lang", "score"])
-
-    has_letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    found = docs.withColumn("__found", predict(F.col(text_col)))
-    return found.withColumns({
-        lang: F.when(has_letter, F.coalesce("__found.lang", F.lit(UNKNOWN))).otherwise(UNKNOWN),
-        score: F.when(has_letter, F.col("__found.score")).otherwise(0.0),
-    }).drop("__found")
+            [pa.array(join(0, object), pa.string()), pa.array(join(1, float)), pa.array(join(2, float))],
+            ["lang", "best", "second"])
+
+    return compare
+
+
+def identify(docs: DataFrame, automata: DataFrame, text_col: str = "text", lang: str = "lang_pred",
+             score: str = "score", limit: int = TABLE_BYTES) -> DataFrame:
+    """`docs` with the predicted language and a score from 0 to 1: how far the second is behind.
+
+    One scan per `limit` bytes of tables; all scans but a single one write the documents. A single
+    language scores 1. Columns named `lang` or `score` are replaced.
+    """
+    spark = docs.sparkSession
+    found = docs.select(
+        F.struct(*docs.columns).alias("doc"), F.col(text_col).alias("body"),
+        F.struct(F.lit(None).cast("string").alias("lang"), F.lit(math.inf).alias("best"),
+                 F.lit(math.inf).alias("second")).alias("found"))
+    scans, last = _scans(automata, limit), None
+    for names in scans:
+        known = spark.sparkContext.broadcast(Parser(automata.filter(F.col("lang").isin(names)).collect()))
+        found = found.withColumn("found", _comparer(known)(F.col("body"), F.col("found")))
+        if len(scans) > 1:
+            found = written(found, "compared")
+            if last is not None:
+                dropped(last)
+            last = found
+    known = F.col("body").rlike(r"\p{L}") & F.col("found.lang").isNotNull()
+    kept = [F.col("doc").getField(c).alias(c) for c in docs.columns if c.lower() not in (lang.lower(), score.lower())]
+    return found.select(
+        *kept, F.when(known, F.col("found.lang")).otherwise(UNKNOWN).alias(lang),
+        F.when(known & (F.col("found.second") > 0), 1 - F.col("found.best") / F.col("found.second"))
+        .otherwise(0.0).alias(score))
 
 
 def held_out(id_col: str = "doc_id"):
