@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -9,7 +10,9 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+import oracle
 from wayfare.llm import decontaminate, language, packing, quality, queries, token_files
 from wayfare.llm.common import tuned
 from wayfare.llm.simple8b import decode, encode
@@ -139,7 +142,7 @@ def test_empty_tables(spark, docs):
     none = docs.filter("false")
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert quality.quality_rules(none, labels).count() == 0
-    assert language.identify(none, []).count() == 0
+    assert language.identify(none, language.parsers(none)).count() == 0
     items = spark.createDataFrame([], "item_id string, text string")
     assert decontaminate.decontaminate(none, items).count() == 0
     assert decontaminate.decontaminate(docs, items).count() == len(TEXTS)
@@ -197,6 +200,25 @@ def test_decontamination_cases(spark):
     assert cleaned[1].text.startswith("x  y pad") and cleaned[3].text is None and cleaned[5].text == "nothing"
 
 
+def test_window_set_is_small():
+    """Arrays, not objects: bytes per byte of item text, for usual words and for the shortest ones."""
+    rng = np.random.default_rng(5)
+    usual = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(60_000)]
+    for text, times in ((" ".join(usual), 6), ("a b " * 60_000, 14)):
+        known = decontaminate.WindowSet([("x", text)])
+        assert len(pickle.dumps(known)) < times * len(text) + 11 * (1 << 20)
+    known = decontaminate.WindowSet([(str(i), "one two three four five six seven eight nine ten " + "z " * i)
+                                     for i in range(6000)] + [(None, "lone")])
+    text = np.frombuffer(b"zero one two three four five six seven eight nine ten lone", np.uint8)
+    found = list(known.hits(text, decontaminate.scan(text, np.array([0, len(text)]), decontaminate.ALPHANUMERIC)))
+    assert [(at, k, len(names)) for at, k, names in found] == [(11, 1, 0), (1, 10, 6000)]
+
+
+def test_decontamination_against_sql(spark, tiny, duck):
+    assert oracle.difference(queries.op10_decontamination(spark, tiny), duck,
+                             queries.ORACLES["op10_decontamination"]) is None
+
+
 def test_language_held_out(spark, tiny, duck):
     got = {r.doc_id: r for r in queries.op1_language_id(spark, tiny).collect()}
     right = total = 0
@@ -234,6 +256,88 @@ def test_cross_parsing():
         assert found[i].tolist() == [phrases(t, samples[name]) for t in texts]
 
 
+def test_sample_shares():
+    assert language.shares([5, 100, 1, 100], 50) == [5, 22, 1, 22]
+    assert language.shares([], 10) == [] and language.shares([3, 2], 10) == [3, 2]
+    text = bytes(i % 251 for i in range(100_000))
+    for limit in (1, 150, 1000, 24_000, 99_999):
+        cut = language.stretches(text, limit)
+        assert limit - language.STRETCHES < len(cut) < limit + language.STRETCHES
+    assert language.stretches(text, 0) == b"" and language.stretches(text, 100_000) == text
+
+
+def test_long_training_text(spark):
+    """Stretches of the whole of a long text are learnt, and it fills the sample alone."""
+    tuned(spark)
+    text = "".join(f"{i:06d} é " for i in range(40_000))
+    docs = spark.createDataFrame([(text, "a"), ("short", "b"), ("", "c"), ("short", None), (None, "d")],
+                                 "text string, lang string")
+    cut = docs.limit(1).select(language._stretched(F.col("text")).alias("t")).first()["t"]
+    assert bytes(cut) == language.stretches(text.encode(), language.SAMPLE_BYTES)
+    got = {r.lang: r for r in language.parsers(docs).collect()}
+    assert set(got) == {"a", "b"} and bytes(got["b"]["sample"]) == b"short"
+    raw = text.encode()
+    assert got["a"]["size"] == language.SAMPLE_BYTES + language.STRETCHES - 1
+    assert raw.find(bytes(cut)[-1500:]) > 0.9 * len(raw) and 0 < raw.find(bytes(cut)[:1500]) < 0.1 * len(raw)
+
+
+def plain_phrases(text, sample):
+    low = bytes(language._FOLD[np.frombuffer(text, np.uint8)])
+    count = 0
+    for at in range(0, len(low), language.BLOCK):
+        block, i = low[at:at + language.BLOCK], 0
+        while i < len(block):
+            j = i + 1
+            while j <= len(block) and block[i:j] in sample:
+                j += 1
+            i, count = max(j - 1, i + 1), count + 1
+    return count
+
+
+@pytest.mark.parametrize("limit", [language.TABLE_BYTES, 60_000])
+def test_language_by_brute_force(spark, tiny, limit):
+    """Labels and scores of three hundred languages against plain parses; one scan, and many."""
+    tuned(spark)
+    rng = np.random.default_rng(2)
+    train = [(i, " ".join("".join(rng.choice(list("abcdeéß日"), 3)) for _ in range(8)), f"l{i:03d}")
+             for i in range(299)] + [(299, "l000 twin", "twin"), (300, "l000 twin", "two")]
+    docs = [(i, train[i * 7][1][4:20] if i % 2 else f"bad {train[i][1][:9]} TWIN l000 " * (1 + 90 * (i == 4)), "old")
+            for i in range(20)] + [(90, None, "old"), (91, "", "old"), (92, "1 2", "old")]
+    automata = language.parsers(spark.createDataFrame(train, "id long, text string, lang string"))
+    assert (len(language._scans(automata, limit)) > 5) == (limit < language.TABLE_BYTES)
+    samples = sorted((r["lang"], bytes(r["sample"]), r["size"]) for r in automata.collect())
+    frame = spark.createDataFrame(docs, "doc_id long, text string, Score string").withColumn("found", F.lit(1))
+    result = language.identify(frame, automata, limit=limit)
+    assert result.columns == ["doc_id", "text", "found", "lang_pred", "score"]
+    for row in result.collect():
+        if row.doc_id >= 90:
+            assert (row.lang_pred, row.score) == ("und", 0.0)
+            continue
+        raw = row.text.encode()
+        bits = sorted((plain_phrases(raw, sample) * math.log2(size + 2) / len(raw), name)
+                      for name, sample, size in samples)
+        assert row.lang_pred == bits[0][1]
+        assert row.score == pytest.approx(1 - bits[0][0] / bits[1][0], abs=1e-12)
+
+
+def test_one_language(spark):
+    tuned(spark)
+    automata = language.parsers(spark.createDataFrame([("a cat", "en")], "text string, lang string"))
+    docs = spark.createDataFrame([("cat",), ("日本",)], "text string")
+    assert [(r.lang_pred, r.score) for r in language.identify(docs, automata).collect()] == [("en", 1.0)] * 2
+
+
+def test_many_sampled_hashes(spark, monkeypatch):
+    """Beyond the broadcast bound the sample is joined by shuffle; the same sample comes out."""
+    tuned(spark)
+    docs = spark.createDataFrame([(f"text number {i % 400} of all", "xyz"[i % 3]) for i in range(1500)],
+                                 "text string, lang string")
+    first = sorted((r["lang"], bytes(r["sample"])) for r in language.parsers(docs).collect())
+    monkeypatch.setattr(language, "BROADCAST_ROWS", 1)
+    assert sorted((r["lang"], bytes(r["sample"])) for r in language.parsers(docs).collect()) == first
+    assert all(text.count(b"text number") == language.SAMPLE_DOCS for _, text in first)
+
+
 def test_language_cases(spark):
     tuned(spark)
     train = [(i, "the cat and the dog " * 5, "en") for i in range(3)] + [(9, "der hund und die katze " * 5, "de"),

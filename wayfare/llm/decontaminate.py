@@ -15,48 +15,62 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import lists, pieces, utf8, vectorized, written
+from wayfare.llm.common import dropped, lists, pieces, utf8, vectorized, written
 from wayfare.llm.words import ALPHANUMERIC, scan, windows
 
 WINDOW = 10
-BROADCAST_BYTES = 32 << 20  # of item texts in one scan; a larger benchmark takes more scans
+# of item texts in one scan; a larger benchmark takes more scans. A window and a word
+# cost 12 bytes each, so a worker holds at most 13 bytes per byte of text (words of one letter), usually 5.
+BROADCAST_BYTES = 16 << 20
+KNOWN_WINDOWS = 4096  # verified windows that a worker remembers
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _STATE = "n_words long, from_word array<int>, to_word array<int>, items array<string>, rest string"
 
 
 class WindowSet:
-    """The windows of items: hashes to look up, words to verify, and whose they are."""
+    """The windows of items as arrays: sorted hashes to look up, places of words to verify, and owners."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], size: int = WINDOW):
         data, borders = utf8(pa.array([text for _, text in items], pa.string()))
         words = scan(data, borders, ALPHANUMERIC)
-        low = _LOWER[data]
-        self.owners: dict[tuple[int, bytes], set[str]] = {}
-        found: dict[int, set[int]] = {}
+        self.low = _LOWER[data]
+        self.starts, self.ends = words.starts.astype(np.int32), words.ends.astype(np.int32)
+        self.names = [name for name, _ in items]
+        self.rows, self.last = words.rows.astype(np.int32), {}
+        self.hashes, self.first, self.maps = {}, {}, {}
         for length in range(1, size + 1):
             first, hashes = windows(words, length)
-            rows = words.rows[first]
-            whole = np.ones(len(first), bool) if length == size else words.counts[rows] == length
-            for at, key in zip(first[whole].tolist(), hashes[whole].tolist()):
-                found.setdefault(length, set()).add(key)
-                owners = self.owners.setdefault((length, plain(low, words, at, length)), set())
-                if (name := items[words.rows[at]][0]) is not None:
-                    owners.add(name)
-        self.hashes = {length: np.array(sorted(keys), np.uint64) for length, keys in found.items()}
-        self.maps = {}
-        for length, keys in self.hashes.items():
+            if length < size:  # a shorter window is a whole item
+                whole = words.counts[words.rows[first]] == length
+                first, hashes = first[whole], hashes[whole]
+            if not len(first):
+                continue
+            order = np.argsort(hashes, kind="stable")
+            self.hashes[length], self.first[length] = hashes[order], first[order].astype(np.int32)
             self.maps[length] = np.zeros(1 << 20, bool)
-            self.maps[length][(keys >> np.uint64(44)).astype(np.int64)] = True
+            self.maps[length][(hashes >> np.uint64(44)).astype(np.int64)] = True
+
+    def _owners(self, length: int, text: bytes, lo: int, hi: int) -> frozenset[str] | None:
+        """Named items with the window `text` among the places lo to hi of one hash; None if none has it."""
+        if (length, text) not in self.last:
+            same = [at for at in self.first[length][lo:hi].tolist() if plain(self.low, self, at, length) == text]
+            if len(self.last) >= KNOWN_WINDOWS:
+                self.last.clear()
+            names = {self.names[self.rows[at]] for at in same} - {None}
+            self.last[length, text] = frozenset(names) if same else None
+        return self.last[length, text]
 
     def hits(self, low: np.ndarray, words):
         """(first word, length, owners) of each verified occurrence."""
         for length, keys in self.hashes.items():
             first, hashes = windows(words, length)
             some = np.flatnonzero(self.maps[length][(hashes >> np.uint64(44)).astype(np.int64)])
-            place = np.minimum(np.searchsorted(keys, hashes[some]), len(keys) - 1)
-            for at in first[some[keys[place] == hashes[some]]].tolist():
-                owners = self.owners.get((length, plain(low, words, at, length)))
+            lo = np.searchsorted(keys, hashes[some])
+            hi = np.searchsorted(keys, hashes[some], "right")
+            met = hi > lo
+            for at, a, b in zip(first[some[met]].tolist(), lo[met].tolist(), hi[met].tolist()):
+                owners = self._owners(length, plain(low, words, at, length), a, b)
                 if owners is not None:
                     yield at, length, owners
 
@@ -135,12 +149,16 @@ def found_windows(docs: DataFrame, items: DataFrame, text_col: str = "text", siz
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     parts = -(-max(total, 1) // limit)
     docs = docs.withColumn(found, F.lit(None).cast(f"struct<{_STATE.replace(' ', ':').replace(',:', ',')}>"))
+    last = None
     for part in range(parts):
         rows = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part).collect()
         windows_of = spark.sparkContext.broadcast(WindowSet([tuple(r) for r in rows], size))
         docs = docs.withColumn(found, scanner(windows_of)(F.col(text_col), F.col(found)))
         if parts > 1:
             docs = written(docs, "scanned")
+            if last is not None:
+                dropped(last)
+            last = docs
     return docs
 
 

@@ -170,6 +170,27 @@ ORACLES: dict[str, str] = {
             CASE WHEN own IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
             CASE WHEN own IS DISTINCT FROM page_id THEN own END AS refers_to
         FROM owned""",
+    "op10_decontamination": r"""
+        WITH spelled AS (SELECT item_id, regexp_extract_all(translate(text,
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        placed AS (SELECT *, least(len(w), 10) AS k, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i
+            FROM spelled WHERE len(w) > 0),
+        wanted AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS words FROM placed),
+        texts AS (SELECT doc_id, row_number() OVER () AS r, coalesce(regexp_extract_all(translate(text,
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+        starts AS (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i
+            FROM texts JOIN (SELECT DISTINCT k FROM wanted) ON k <= len(w)),
+        hits AS (SELECT r, i, k, item_id FROM (
+            SELECT r, i, k, array_to_string(w[i:i + k - 1], ' ') AS words FROM starts) JOIN wanted USING (k, words)),
+        covered AS (SELECT r, count(DISTINCT place) AS n_hit FROM (
+            SELECT r, unnest(range(i, i + k)) AS place FROM (SELECT DISTINCT r, i, k FROM hits)) GROUP BY 1),
+        named AS (SELECT r, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS digest FROM (
+            SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM hits WHERE item_id IS NOT NULL) GROUP BY 1)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+            coalesce(digest, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+        FROM texts LEFT JOIN covered USING (r) LEFT JOIN named USING (r)""",
     "op12_exact_copies": r"""
         WITH normal AS (SELECT doc_id,
             regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS text FROM documents)
