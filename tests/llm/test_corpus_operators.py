@@ -113,6 +113,32 @@ def test_shards_of_a_hot_text(spark):
     assert sharding.shard_by_bytes(df.filter("false")).count() == 0
 
 
+def test_shards_numbered_in_parts(spark, monkeypatch):
+    """Places stay gapless when a range is numbered in several parts, and shards do not move."""
+    tuned(spark)
+    texts = {i: "same text" if i % 3 == 0 else f"{i} words" for i in range(2000)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    shards = {r.doc_id: r.shard for r in sharding.shard_by_bytes(df, 3, ranges=4).collect()}
+    monkeypatch.setattr(sharding, "PART_ROWS", 30)
+    found = sharding.shard_by_bytes(df, 3, ranges=4).collect()
+    plain_shard_rules(found, texts)
+    assert {r.doc_id: r.shard for r in found} == shards
+
+
+def test_shards_of_other_ids(spark):
+    """Ids that are no numbers, NULL ones and a row repeated many times."""
+    tuned(spark)
+    names = [f"doc-{i}" for i in range(300)] + [None, None] + ["twin"] * 500
+    df = spark.createDataFrame([(n, f"text of {n}") for n in names], "name string, text string")
+    found = sharding.shard_by_bytes(df, id_col="name").collect()
+    assert Counter(r.doc_id for r in found) == Counter(names)
+    slots = defaultdict(list)
+    for r in found:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    assert len({r.shard for r in found if r.doc_id == "twin"}) == 1
+
+
 # URLs
 
 

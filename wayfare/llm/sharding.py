@@ -1,24 +1,30 @@
 """Sharding by sampled splitters: near-equal sizes, equal texts together, gapless places.
 
 The key of a row is (hash of its text, id). Keys are sampled in proportion to row size; quantiles of
-the sample part the keys into many narrow ranges, whose sizes are then summed exactly. Ranges that
+the sample part the keys into narrow ranges, whose sizes are then summed exactly. Ranges that
 came out overfull are subdivided, by hash or, inside one hash, by id. Consecutive ranges make up a
 shard. Equal texts share a hash and stay in one shard unless their group alone is overfull. The
 same rows give the same shards. NULL texts are empty; rows equal in id and text are one key and
-stay together; an empty table stays empty.
+stay together; an empty table stays empty. Ids are whole numbers or, by their hash, anything else.
+
+The number of ranges follows from the shards alone, so what comes to the driver (samples, a row per
+range) does not grow with the input. Places are numbered in parts of a range, after the parts before.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from wayfare.llm.common import vectorized, written
 
 RANGES = 128  # narrow ranges per shard
-RANGE_ROWS = 200_000  # or so many rows in a range, if that makes more of them
+PART_ROWS = 200_000  # about so many rows of a range are numbered in one task
 SAMPLES = 24  # sampled keys per range
 OVERFULL = 2.0  # times the share of a range
 
@@ -32,8 +38,10 @@ def _range_of(splitters: np.ndarray):
         h, i = h.to_numpy(zero_copy_only=False), i.to_numpy(zero_copy_only=False)
         low, high = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
         out = high.astype(np.int32)
-        for at in np.flatnonzero(high > low).tolist():
-            out[at] = low[at] + np.searchsorted(ids[low[at]:high[at]], i[at], "right")
+        met = high > low
+        for at in np.unique(low[met]).tolist():
+            some = np.flatnonzero(met & (low == at))
+            out[some] = at + np.searchsorted(ids[at:high[some[0]]], i[some], "right")
         return pa.array(out)
 
     return find
@@ -69,13 +77,14 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
                    ranges: int = RANGES) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, shard, slot and, to route files, range."""
     text = F.coalesce(F.col(text_col), F.lit(""))
+    whole = isinstance(docs.schema[id_col].dataType, IntegralType)
+    number = F.col(id_col).cast("long") if whole else F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col))
     keyed = written(docs.select(
         F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("h"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("i")), "keys")
-    total, rows = keyed.agg(F.sum("size"), F.count(F.lit(1))).first()
-    total = total or 0
-    parts = max(shards * ranges, -(-rows // RANGE_ROWS))
+        F.coalesce(number, F.lit(-(1 << 63))).alias("i")), "keys")
+    total = keyed.agg(F.sum("size")).first()[0] or 0
+    parts = shards * ranges
     splitters = _quantiles(_sampled(keyed, total, parts * SAMPLES), lambda r: r[2], parts)
     sizes = _sizes(keyed, splitters)
     full = {r for r, s in sizes.items() if s[0] > OVERFULL * total / parts}
@@ -84,11 +93,10 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
         inside = keyed.withColumn("r", find("h", "i")).filter(F.col("r").isin(sorted(full)))
         # a range of one hash is a group of equal texts: only that is cut by id
         one_hash = {r for r in full if sizes[r][2] == sizes[r][3] and sizes[r][0] > total / shards / 8}
-        samples = _sampled(inside, sum(sizes[r][0] for r in full), len(full) * SAMPLES * 8)
-        edges = [(None, None), *splitters, (None, None)]
+        samples = sorted(_sampled(inside, sum(sizes[r][0] for r in full), len(full) * SAMPLES * 8))
+        borders = [0, *(bisect_left(samples, key, key=lambda s: s[:2]) for key in splitters), len(samples)]
         for r in sorted(full):
-            low, high = edges[r], edges[r + 1]
-            own = [s for s in samples if (low[0] is None or s[:2] >= low) and (high[0] is None or s[:2] < high)]
+            own = samples[borders[r]:borders[r + 1]]
             cuts = _quantiles(own, lambda s: s[2], max(2, -(-int(sizes[r][0]) * parts // max(total, 1))))
             if r not in one_hash:
                 cuts = [(h, -(1 << 63)) for h in {c[0] for c in cuts}]
@@ -104,10 +112,15 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
         counts[shard[r]] = first[r] + n
         before += size
     plan = docs.sparkSession.createDataFrame(
-        [(r, shard[r], first[r]) for r in sorted(sizes)], "range int, shard int, first long")
-    # places: rows are numbered inside a range, after the rows of the ranges before
-    place = F.row_number().over(Window.partitionBy("range").orderBy("h", "i"))
-    return (keyed.withColumn("range", find("h", "i")).withColumn("place", place)
-            .join(F.broadcast(plan), "range")
+        [(r, shard[r], first[r], -(-sizes[r][1] // PART_ROWS)) for r in sorted(sizes)],
+        "range int, shard int, first long, parts long")
+    placed = (keyed.withColumn("range", find("h", "i")).join(F.broadcast(plan), "range")
+              .withColumn("part", F.pmod(F.xxhash64("h", "i"), F.col("parts"))))
+    # rows are numbered inside a part, after the rows of the parts and ranges before
+    earlier = Window.partitionBy("range").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = (placed.groupBy("range", "part").agg(F.count(F.lit(1)).alias("n"))
+              .select("range", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")))
+    place = F.row_number().over(Window.partitionBy("range", "part").orderBy("h", "i"))
+    return (placed.withColumn("place", place).join(before, ["range", "part"])
             .select("doc_id", "size", "text_crc32", "shard",
-                    (F.col("first") + F.col("place") - 1).cast("long").alias("slot"), "range"))
+                    (F.col("first") + F.col("before") + F.col("place") - 1).cast("long").alias("slot"), "range"))
