@@ -13,13 +13,14 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.llm.common import written
 from wayfare.llm.files import Output, reader
 from wayfare.llm.simple8b import BLOCK, decode, encode
 from wayfare.llm.tokens import encoded
+from wayfare.operators.totals import running_total
 
 MAGIC = b"S8BIDS01"
 GROUP = 256 * BLOCK
@@ -97,16 +98,7 @@ def write_token_files(docs: DataFrame, folder: str, vocab: str, id_col: str = "d
                                               "n_docs": [len(file.docs)], "n_ids": [file.n_ids]})
 
     manifest = written(ordered.mapInArrow(write, _MANIFEST), "manifest")
-    return _with_start(docs.sparkSession, manifest)
-
-
-def _with_start(spark: SparkSession, manifest: DataFrame) -> DataFrame:
-    """The manifest with the ids before each file; one row per file comes to the driver."""
-    total, out = 0, []
-    for row in manifest.orderBy("number").collect():
-        out.append((*row, total))
-        total += row["n_ids"]
-    return spark.createDataFrame(out, f"{_MANIFEST}, start long")
+    return running_total(manifest, [], "number", "n_ids", "start", "all_ids").drop("all_ids")
 
 
 def groups(file):
