@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 import corpus_pipeline
@@ -77,6 +78,21 @@ def test_warc_cases(spark, monkeypatch):
     assert empty[0].count() == 0
 
 
+def test_every_archive_is_one_task(spark, monkeypatch):
+    """However many archives there are, no task writes two of them and the read-back is whole."""
+    tuned(spark)
+    pages = spark.createDataFrame([(i, f"http://a/{i}", f"page {i} " * 30) for i in range(2000)],
+                                  "page_id long, url string, html string")
+    kept = {}
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 16_000)
+    monkeypatch.setattr(warc, "written", lambda df, name, *parts: kept.setdefault(name, written(df, name, *parts)))
+    index, folder = warc.write_archives(pages)
+    files = kept["archives"].groupBy(F.input_file_name()).count().collect()
+    assert len(files) >= 30 and all(r["count"] == 1 for r in files)
+    assert index.select("archive").distinct().count() == len(files)
+    assert sorted(int(r.page_id) for r in warc.read_records(index, folder).collect()) == list(range(2000))
+
+
 # shards
 
 

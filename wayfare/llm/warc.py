@@ -131,7 +131,7 @@ def write_archives(pages: DataFrame, least: int = LEAST_REVISIT, **columns) -> t
     said = index.filter(_revisit()).select("archive", *_ORDER, F.col("refers_to").alias("said")).distinct()
     same = Window.partitionBy("archive", *_ORDER)
     met = (rows.withColumn("archive", archive).unionByName(said, allowMissingColumns=True)
-           .repartition(n, "archive").withColumn("refers_to", F.max("said").over(same))
+           .repartitionById(n, F.col("archive")).withColumn("refers_to", F.max("said").over(same))
            .filter(F.col("member").isNotNull()))
     folder = scratch_path(pages.sparkSession, "warc")
     files = (met.withColumn("revisit", revisit).withColumn("path", _path(folder))
