@@ -14,7 +14,7 @@ import __spark_entry__ as contract
 import corpus_pipeline
 import oracle
 from wayfare.llm import ngram_join, queries, repeats, sharding, urls, warc
-from wayfare.llm.common import table, tuned, written
+from wayfare.llm.common import row_key, table, tuned, written
 from wayfare.llm.components import components
 from wayfare.llm.suffix_array import permuted_prefixes, repeated_starts, suffix_array
 
@@ -362,10 +362,57 @@ def test_prefix_depth():
     assert ngram_join.recall(depth, 24, 0.8) >= 0.99999 > ngram_join.recall(depth + 1, 24, 0.8)
 
 
-def test_components(spark):
+def test_trees_make_up_for_length():
+    for depth in (4, 8, 12):
+        n = ngram_join.trees_for(depth, 0.8, 0.99999)
+        assert ngram_join.recall(depth, n, 0.8) >= 0.99999 > ngram_join.recall(depth, n - 1, 0.8)
+
+
+def test_longer_paths_go_on_from_shorter():
+    hashes = np.random.default_rng(1).integers(0, 1 << 63, 40).astype(np.uint64)
+    rows = np.repeat([0, 1], 20)
+    short, long = (ngram_join._least(rows, hashes, 3, trees, depth)[3] for trees, depth in ((4, 2), (9, 5)))
+    assert (long[:, :4, :2] == short).all() and not short[2].any()
+
+
+def template_family(n, words=60, own=9, pairs=20):
+    """Texts alike by a template, too little for links, and some near copies of a few of them."""
+    rng = random.Random(3)
+    texts = []
+    for i in range(n):
+        text = [f"t{w}" for w in range(words)]
+        for at in rng.sample(range(words // own), 2):
+            text[at * own] = f"{i}-{at}"
+        texts.append(" ".join(text))
+    return texts + [f"{t} tail{i}" for i, t in enumerate(texts[:pairs])]
+
+
+def test_crowded_prefixes_are_lengthened(spark):
+    """A crowded family is compared in fewer pairs than by the shortest prefix, and loses no link."""
+    tuned(spark)
+    docs = list(enumerate(template_family(400), 1))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    found = ngram_join.near_duplicates(df, bucket_rows=16).select("doc_id", "class_id", "n_links").collect()
+    assert {tuple(r) for r in found} == plain_classes(docs)
+    rows = df.select(*row_key("doc_id", "text"), "doc_id", "text")
+    sign = ngram_join.signature_column(5, ngram_join.TREES, 4)
+    nodes = written(rows.select("ka", "kb", "doc_id", sign("text").alias("s")).select(
+        "s.node", "s.keys", F.struct("doc_id", "ka", "kb").alias("first")), "family")
+
+    def pairs(limit):
+        stands = ngram_join.forest(nodes, rows, 5, 0.8, ngram_join.TREES, ngram_join.RECALL, limit)
+        prefixes = stands.select("key", "size").distinct()
+        return prefixes.agg(F.sum(F.col("size") * (F.col("size") - 1) / 2)).first()[0]
+
+    assert pairs(16) < pairs(10_000) / 2
+
+
+@pytest.mark.parametrize("limit", [1000, 4])
+def test_components(spark, limit):
+    """Also with hubs above the limit, whose edges are salted."""
     tuned(spark)
     edges = [(i, i + 1) for i in range(50)] + [(100, i) for i in range(101, 130)] + [(7, 7), (200, 201), (201, 200)]
-    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), limit=limit).collect()}
     assert got == {**{i: 0 for i in range(51)}, **{i: 100 for i in range(100, 130)}, 200: 200, 201: 200}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 

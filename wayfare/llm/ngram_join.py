@@ -1,14 +1,19 @@
-"""Self-join of texts by the Jaccard similarity of their word n-grams, by MinHash bands.
+"""Self-join of texts by the Jaccard similarity of their word n-grams, by a MinHash LSH forest.
 
 1. A text is its set of five-word shingles (a shorter text: one shingle of all its words). Equal
    sets are one node; copies are counted, never paired.
-2. Each node has a path of MinHash values in every tree; nodes with equal paths are candidates. All
-   paths have one length, worked out beforehand: the greatest up to DEEPEST at which two sets of the
-   threshold's similarity meet in at least one tree with the target recall. No prefix is lengthened or
-   shortened by what the data hold, so this is fixed banding, not a forest.
-3. Candidates are compared by a sketch of one byte per MinHash value, with a margin of several
+2. Each tree of the forest is a prefix trie of MinHash values; nodes below one prefix are
+   candidates. Tries are tables of (node, prefix), one level at a time. In every trie a node stands
+   at the shortest prefix of STEPS lengths that is not crowded, that is, shared by at most `bucket_rows`
+   nodes. The first length is the greatest at which `trees` trees reach the target recall.
+3. The recall of a node follows from where it stands: the chance that a set of the threshold's
+   similarity leaves its prefix in every trie. A node that lacks recall, because its prefixes had to be
+   long, joins as many more trees as make up for it; all others are done, and their crowded prefixes are
+   dropped. A pair is met with the target recall in the trees of the one of it that joined fewer.
+4. Prefixes that are crowded at the last length are compared in tiles; no node is left out.
+5. Candidates are compared by a sketch of one byte per MinHash value, with a margin of several
    standard deviations, which leaves groups of texts that are probably alike.
-4. In each such group all pairs are verified exactly on the shingle sets. Large groups are verified
+6. In each such group all pairs are verified exactly on the shingle sets. Large groups are verified
    tile by tile; tiles give back counts and a spanning forest, never pairs.
 
 The result has one row per document: class_id is the smallest id among all documents connected by
@@ -19,6 +24,8 @@ are copies. A NULL id is a document, too; a class with one has the NULL id if it
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,14 +35,16 @@ from wayfare.llm.common import lists, mixed, pieces, random_words, row_key, vect
 from wayfare.llm.components import components
 from wayfare.llm.grouped import by_group, labels, tiles
 from wayfare.llm.words import SPACED, scan, windows
+from wayfare.operators.skew import GROUP_ROWS, salted_join, salts_of
 
 WORDS = 5
 THRESHOLD = 0.8
 TREES = 24
-DEEPEST = 8
+DEEPEST = 8  # longest prefix that all nodes start from
+STEPS = (1, 2, 3)  # prefix lengths, as multiples of the first
 RECALL = 0.99999
 MARGIN = 4.5  # standard deviations between the threshold and what a sketch must show
-BUCKET_ROWS = 1024  # nodes of a bucket compared in one tile
+BUCKET_ROWS = 1024  # nodes below a prefix that is not crowded; one tile of a crowded one
 BLOCK_ROWS = 512  # nodes, and
 BLOCK_SHINGLES = 250_000  # shingles of a verified block
 
@@ -53,6 +62,16 @@ def prefix_depth(trees: int, similarity: float, target: float, deepest: int = DE
     raise ValueError("more trees are needed for this recall")
 
 
+def log_miss(depth: int, similarity: float) -> float:
+    """Logarithm of the chance that two sets part within `depth` values of one tree."""
+    return math.log(max(1 - similarity**depth, 1e-300))
+
+
+def trees_for(depth: int, similarity: float, target: float) -> int:
+    """Trees that reach the target recall with prefixes of this length alone."""
+    return math.ceil(math.log(1 - target) / log_miss(depth, similarity))
+
+
 def sketch_matches(values: int, similarity: float, margin: float = MARGIN) -> int:
     """Equal bytes of `values` that two sets of this similarity have, less the margin."""
     equal = similarity + (1 - similarity) / 256
@@ -78,11 +97,37 @@ def shingles(data: np.ndarray, borders: np.ndarray, k: int) -> tuple[np.ndarray,
     return row[fresh], found[fresh]
 
 
+def _least(row: np.ndarray, hashes: np.ndarray, rows: int, trees: int, depth: int):
+    """Rows with shingles, where theirs start, and `depth` MinHash values in each of `trees` trees.
+
+    A value depends on its tree and its place in the path alone, so a longer path goes on from a shorter.
+    """
+    counts = np.bincount(row, minlength=rows)
+    full = np.flatnonzero(counts)
+    starts = (np.cumsum(counts) - counts)[full]
+    least = np.zeros((rows, trees, depth), np.uint32)
+    for place in range(depth if len(full) else 0):
+        salts, odd = random_words(trees, 31 + 4 * place), random_words(trees, 33 + 4 * place)
+        for tree in range(trees):
+            least[full, tree, place] = np.minimum.reduceat(
+                (((hashes ^ salts[tree]) * odd[tree]) >> np.uint64(32)).astype(np.uint32), starts)
+    return counts, full, starts, least
+
+
+def _prefixes(least: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each row's whole path in each tree."""
+    rows, trees, depth = least.shape
+    keys = np.zeros((rows, trees), np.uint64)
+    for place in range(depth):
+        keys = mixed(keys + least[:, :, place] + np.arange(1, trees + 1, dtype=np.uint64)
+                     * np.uint64(0x9E3779B97F4A7C15))
+    return keys
+
+
 def signature_column(k: int, trees: int, depth: int):
     """Per text: the name of its shingle set, its size, the key of its prefix in each tree, a sketch."""
     kind = pa.struct([("node", pa.binary()), ("n", pa.int32()), ("keys", pa.list_(pa.int64())),
                       ("sketch", pa.binary())])
-    salts, odd = random_words(trees * depth, 31), random_words(trees * depth, 37)
 
     @vectorized("struct<node:binary,n:int,keys:array<bigint>,sketch:binary>")
     def sign(text: pa.Array) -> pa.Array:
@@ -90,21 +135,12 @@ def signature_column(k: int, trees: int, depth: int):
         for data, borders in pieces(text):
             rows = len(borders) - 1
             row, hashes = shingles(data, borders, k)
-            counts = np.bincount(row, minlength=rows)
-            full = np.flatnonzero(counts)
-            starts = (np.cumsum(counts) - counts)[full]
+            counts, full, starts, least = _least(row, hashes, rows, trees, depth)
             names = np.zeros((rows, 2), np.uint64)
-            least = np.zeros((rows, trees * depth), np.uint32)
             if len(full):
                 names[full, 0] = np.add.reduceat(mixed(hashes), starts)
                 names[full, 1] = np.add.reduceat(mixed(hashes ^ np.uint64(0x5851F42D4C957F2D)), starts)
-                for i in range(trees * depth):
-                    least[full, i] = np.minimum.reduceat(
-                        (((hashes ^ salts[i]) * odd[i]) >> np.uint64(32)).astype(np.uint32), starts)
-            keys = np.zeros((rows, trees), np.uint64)
-            for level in range(depth):
-                keys = mixed(keys + least[:, level::depth] + np.arange(1, trees + 1, dtype=np.uint64)
-                             * np.uint64(0x9E3779B97F4A7C15))
+            keys = _prefixes(least)
             names[:, 0] += counts.astype(np.uint64)  # sets of different size differ
             node, marks = names.tobytes(), (least & 0xFF).astype(np.uint8).tobytes()
             width = trees * depth
@@ -122,6 +158,21 @@ def signature_column(k: int, trees: int, depth: int):
     return sign
 
 
+def path_column(k: int, trees: int, depth: int):
+    """Per text: the key of its prefix of `depth` values in each of `trees` trees."""
+    @vectorized("array<bigint>")
+    def sign(text: pa.Array) -> pa.Array:
+        values, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for data, borders in pieces(text):
+            rows = len(borders) - 1
+            row, hashes = shingles(data, borders, k)
+            values.append(_prefixes(_least(row, hashes, rows, trees, depth)[3]).view(np.int64).ravel())
+            counts.append(np.full(rows, trees))
+        return lists(np.concatenate(values), np.concatenate(counts), pa.int64())
+
+    return sign
+
+
 def set_column(k: int):
     @vectorized("array<bigint>")
     def find(text: pa.Array) -> pa.Array:
@@ -208,6 +259,58 @@ def _verified(table: pa.Table, borders: np.ndarray, threshold: float) -> pa.Tabl
                      "root": pa.array(out_root, pa.binary())})
 
 
+def _sized(keys: DataFrame, name: str) -> DataFrame:
+    """Rows whose prefix is shared, with the number of its nodes; a prefix may hold a large share."""
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    hot = shared.filter(F.col("size") > GROUP_ROWS).withColumnRenamed("size", "rows")
+    return written(salted_join(keys, shared, ["key"], salts=salts_of(hot, ["key"])), name)
+
+
+def forest(nodes: DataFrame, rows: DataFrame, k: int, threshold: float, trees: int, target: float,
+           bucket_rows: int) -> DataFrame:
+    """(node, key, size): the prefixes at which nodes stand together, with their number.
+
+    A round extends the prefixes that were crowded, but only of nodes that lack recall without them.
+    `lacking` is the logarithm of the chance of a miss that a node may still spend, `joined` its trees.
+    """
+    first = prefix_depth(trees, threshold, target)
+    depths = [first * step for step in STEPS]
+    budget = math.log(1 - target)
+    keys = nodes.select("node", F.posexplode("keys").alias("tree", "key"))
+    state = nodes.select("node", "first", F.lit(trees).alias("joined"), F.lit(budget).alias("lacking"),
+                         F.array().cast("array<int>").alias("settled"))
+    buckets = None
+    for round_, depth in enumerate(depths):
+        met = _sized(keys, "met")
+        last = round_ == len(depths) - 1
+        kept = met if last else met.filter(F.col("size") <= bucket_rows)
+        kept = kept.select("node", "key", "size")
+        buckets = kept if buckets is None else buckets.unionByName(kept)
+        crowded = met.filter(F.col("size") > bucket_rows)
+        if last or crowded.isEmpty():
+            break
+        full = crowded.groupBy("node").agg(F.collect_set("tree").alias("full"))  # at most all trees
+        every = F.sequence(F.lit(0), F.col("joined") - 1)
+        uncrowded = F.array_except(every, F.array_union("full", "settled"))
+        longer = depths[round_ + 1]
+        more = F.ceil(F.col("lacking") / log_miss(longer, threshold)).cast("int") - F.size("full")
+        state = (state.join(full, "node")
+                 .withColumn("lacking", F.col("lacking") - F.size(uncrowded) * log_miss(depth, threshold))
+                 .filter("lacking < 0")
+                 .withColumn("settled", F.array_union("settled", uncrowded))
+                 .withColumn("joined", F.col("joined") + F.greatest(more, F.lit(0))))
+        state = written(state.drop("full"), "lacking")
+        texts = rows.join(state.select(F.col("first.ka").alias("ka"), F.col("first.kb").alias("kb"),
+                                       "node", "joined", "settled"), ["ka", "kb"])
+        width = max(trees, trees_for(longer, threshold, target))
+        paths = texts.select("node", "joined", "settled", path_column(k, width, longer)("text").alias("keys"))
+        once = paths.groupBy("node").agg(F.first(F.struct("joined", "settled", "keys")).alias("p"))  # a row may repeat
+        keys = written(once.select("node", "p.settled", F.posexplode(F.slice("p.keys", F.lit(1), F.col("p.joined")))
+                                   .alias("tree", "key"))
+                       .filter(~F.array_contains("settled", F.col("tree"))).drop("settled"), "paths")
+    return buckets
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS,
                     threshold: float = THRESHOLD, trees: int = TREES, target: float = RECALL,
                     bucket_rows: int = BUCKET_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -222,9 +325,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = written(worded.groupBy("node", "n", "keys", "sketch").agg(
         F.count(F.lit(1)).alias("w"), F.min(F.struct("doc_id", "ka", "kb")).alias("first")), "nodes")
 
-    keys = nodes.select("node", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    buckets = written(keys.join(shared, "key"), "buckets")
+    buckets = forest(nodes, rows, k, threshold, trees, target, bucket_rows)
     met = tiles(buckets.join(nodes.select("node", "sketch"), "node"),
                 F.ceil(F.col("size") / bucket_rows), "node")
     edges = by_group(met.select("key", "x", "y", "own", "node", "sketch"), ["key", "x", "y"],
