@@ -89,6 +89,30 @@ def test_pagerank(spark, pairs, broadcast, normalize):
     assert dict(rows_of(found)) == pytest.approx(ranks_of(pairs, 4, normalize))
 
 
+def test_edges_stay_where_they_are(spark, pairs):
+    """In a round over laid-out edges the ranks are shuffled, the edges are not."""
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, -1)
+    try:
+        found = plans.pagerank(graph(spark, pairs), 2, broadcast_vertices=0)
+        lines = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set(threshold, before)
+    scans = [i for i, line in enumerate(lines) if "FileScan" in line and "weight" in line]
+    assert len(scans) == 2
+    for at in scans:
+        join = max(i for i in range(at) if "SortMergeJoin" in lines[i])
+        assert "Bucketed: true" in lines[at]
+        assert not any("Exchange" in line for line in lines[join:at])
+
+
+@pytest.mark.parametrize("broadcast", [0, 1000])
+def test_rounds_end_when_ranks_rest(spark, pairs, broadcast):
+    found = plans.pagerank(graph(spark, pairs), 100, write_every=10, broadcast_vertices=broadcast, tolerance=1e-6)
+    assert dict(rows_of(found)) == pytest.approx(ranks_of(pairs, 100, True), abs=1e-6)
+
+
 def test_rank_is_kept_without_dangling_airports(spark):
     ring = [(f"v{i}", f"v{(i + 1) % 5}") for i in range(5)] + [("v0", "v2")]
     total = plans.pagerank(graph(spark, ring)).agg(F.sum("rank")).first()[0]

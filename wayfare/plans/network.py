@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,11 +15,14 @@ from wayfare.operators.skew import (
     salts_of,
     spread_rows,
 )
-from wayfare.session import cut_lineage
+from wayfare.session import cut_lineage, laid_out
 
 # Ranks of this many airports are a broadcast of some 50 MB.
 BROADCAST_VERTICES = 1_000_000
 
+# Weighted edges in a bucket of the shuffled PageRank, some 50 MB.
+BUCKET_EDGES = 1_000_000
+
 
 def vertices(edges: DataFrame) -> DataFrame:
     """Every airport that a flight leaves or reaches."""
@@ -198,15 +203,18 @@ def wedge_count(edges: DataFrame) -> DataFrame:
 
 def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85, normalize: bool = True,
              write_every: int = 5, limit: int = GROUP_ROWS,
-             broadcast_vertices: int = BROADCAST_VERTICES) -> DataFrame:
+             broadcast_vertices: int = BROADCAST_VERTICES, tolerance: float | None = None) -> DataFrame:
     """(id, rank) after a fixed number of rounds, from equal ranks.
 
+    With a `tolerance` the rounds end earlier if the ranks of all airports together moved by no more in
+    a round; that is looked at when ranks are written, every `write_every` rounds.
+
     A flight passes its origin's rank, divided by the origin's flights, to its
     destination; with normalize=False it passes the whole rank. Rank of airports that no
     flight leaves is lost, not spread.
 
-    The ranks of up to `broadcast_vertices` airports travel to the edges; those of a larger
-    graph are joined by shuffle, with hot origins salted.
+    The ranks of up to `broadcast_vertices` airports travel to the edges. The edges of a larger graph are
+    laid out once, in buckets of origin and salt, so that a round shuffles ranks alone.
     """
     # parallel flights become one weighted edge, whose weight is 1 / flights of the origin
     parallel = cut_lineage(edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("flights")))
@@ -215,6 +223,7 @@ def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85, normaliz
     if n == 0:
         return nodes.withColumn("rank", F.lit(0.0))
     small = n <= broadcast_vertices
+    pairs = None if small else parallel.count()
 
     leaving = parallel.groupBy("src").agg(
         F.sum("flights").alias("out"), F.count(F.lit(1)).alias("rows")
@@ -235,7 +244,12 @@ def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85, normaliz
         parallel = with_origin(parallel, leaving.select("src", "out"))
         weight = weight / F.col("out")
     salt = [] if small else ["__salt"]
-    weighted = cut_lineage(parallel.select("src", "dst", weight.alias("weight"), *salt))
+    weighted = parallel.select("src", "dst", weight.alias("weight"), *salt)
+    if small:
+        weighted = cut_lineage(weighted)
+    else:
+        number = max(nodes.sparkSession.sparkContext.defaultParallelism, math.ceil(pairs / BUCKET_EDGES))
+        weighted = laid_out(weighted, ["src", "__salt"], number)
     base = F.lit((1.0 - damping) / n)
     nothing = nodes.select("id", F.lit(0.0).alias("passed"))
 
@@ -245,13 +259,20 @@ def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85, normaliz
         passed = joined.select(
             F.col("dst").alias("id"), (F.col("rank") * F.col("weight")).alias("passed")
         )
+        ends = i % write_every == 0 and i < rounds
+        if ends and tolerance is not None:
+            kept = ranks.select("id", F.lit(0.0).alias("passed"), F.col("rank").alias("before"))
+            passed = passed.withColumn("before", F.lit(None).cast("double"))
+        else:
+            kept = nothing
         # a zero for every airport keeps those that no flight reaches, without a join
-        ranks = (
-            passed.unionByName(nothing)
-            .groupBy("id")
-            .agg(F.sum("passed").alias("passed"))
-            .select("id", (F.lit(damping) * F.col("passed") + base).alias("rank"))
-        )
-        if i % write_every == 0 and i < rounds:
+        sums = passed.unionByName(kept).groupBy("id").agg(
+            F.sum("passed").alias("passed"), *[F.max(c).alias(c) for c in kept.columns[2:]])
+        ranks = sums.select("id", (F.lit(damping) * F.col("passed") + base).alias("rank"), *kept.columns[2:])
+        if ends:
             ranks = cut_lineage(ranks)
+        if ends and tolerance is not None:
+            if ranks.agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0] <= tolerance:
+                return ranks.select("id", "rank")
+            ranks = ranks.select("id", "rank")
     return ranks

@@ -139,6 +139,14 @@ def pagerank(spark, sf_dir):
     return plans.pagerank(_edges(spark, sf_dir)).select("id", stable("rank", 12).alias("rank"))
 
 
+@query("pagerank_laid_out", _rounds_sql("flights / CAST(out AS DOUBLE)") + f"""
+    SELECT id, {stable_sql('rank', 12)} AS rank FROM r10""")
+def pagerank_laid_out(spark, sf_dir):
+    """The way of a graph whose ranks are too many to broadcast: edges in buckets."""
+    ranks = plans.pagerank(_edges(spark, sf_dir), broadcast_vertices=0)
+    return ranks.select("id", stable("rank", 12).alias("rank"))
+
+
 # un-normalized ranks grow by orders of magnitude: compare the leading digits of the logarithm
 @query("pagerank_unnormalized", _rounds_sql("CAST(flights AS DOUBLE)") + f"""
     SELECT id, {stable_sql('ln(rank)', 9)} AS log_rank FROM r10""")

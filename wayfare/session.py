@@ -71,3 +71,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def laid_out(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+    """Write `df` once, in sorted buckets of `keys`: joins on them read it without a shuffle or a sort."""
+    path = scratch_path(df.sparkSession, "laid_out")
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    writer = df.repartition(buckets, *keys).write.format("parquet").option("path", path)
+    writer.bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
+    return df.sparkSession.table(name)
