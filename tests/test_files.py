@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -25,6 +27,35 @@ def test_partitions_are_pruned(spark):
     assert "PartitionFilters: [isnotnull(part" in plan
 
 
+def test_other_folders_keep_their_files(spark):
+    path = scratch_path(spark, "days")
+    days = spark.range(60).select(F.col("id"), (F.col("id") % 3).cast("int").alias("day"))
+    files.write_table(days, path, partition_by=["day"])
+
+    def names(day):
+        return {(f.name, f.stat().st_mtime_ns) for f in Path(path, f"day={day}").glob("*.parquet")}
+
+    before = {day: names(day) for day in range(3)}
+    files.replace_partitions(spark.createDataFrame([(7, 1), (8, 3)], "id long, day int"), path, ["day"])
+    assert {d for d in range(3) if names(d) == before[d]} == {0, 2}
+    found = files.read_parquet(spark, path).groupBy("day").count()
+    assert dict(rows_of(found)) == {0: 20, 1: 1, 2: 20, 3: 1}
+
+
+def test_top_partitions_are_found_before_the_scan(spark):
+    path = scratch_path(spark, "days")
+    sizes = {0: 5, 1: 9, 2: 9, None: 3}
+    rows = [(i, day) for day, n in sizes.items() for i in range(n)]
+    files.write_table(spark.createDataFrame(rows, "id long, day int"), path, partition_by=["day"])
+    table = files.read_parquet(spark, path)
+    top = files.in_top_partitions(table, "day")
+    assert dict(rows_of(top.groupBy("day").count())) == {1: 9, 2: 9}
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan.lower()
+    few = files.in_top_partitions(table, "day", table.filter("day is null"))
+    assert few.count() == 3 and files.in_top_partitions(table.filter("false"), "day").count() == 0
+
+
 def test_append_and_error_modes(spark):
     path = scratch_path(spark, "modes")
     files.write_table(spark.range(3), path, mode="error")

@@ -170,6 +170,36 @@ def partitioned_round_trip(spark, sf_dir):
     )
 
 
+def _dated_table(spark, sf_dir) -> str:
+    path = scratch_path(spark, "flights")
+    dated = with_calendar(rename_columns(derived.flights(spark, sf_dir)))
+    files.write_table(dated, path, partition_by=["Month"])
+    return path
+
+
+@query("replaced_partitions", ctes(FLIGHTS) + """
+    SELECT CAST(month(FL_DATE) AS INT) AS Month, CAST(dayofweek(FL_DATE) + 1 AS INT) AS DayOfWeek,
+        count(*) AS flights FROM flights
+    WHERE month(FL_DATE) <> 3 OR dayofweek(FL_DATE) BETWEEN 1 AND 5 GROUP BY 1, 2""")
+def replaced_partitions(spark, sf_dir):
+    """March is written again without its weekends; the other months' folders stay."""
+    path = _dated_table(spark, sf_dir)
+    march = files.read_parquet(spark, path).filter((F.col("Month") == 3) & F.col("DayOfWeek").between(2, 6))
+    files.replace_partitions(cut_lineage(march), path, ["Month"])
+    return files.read_parquet(spark, path).groupBy("Month", "DayOfWeek").agg(F.count(F.lit(1)).alias("flights"))
+
+
+@query("busiest_month", ctes(FLIGHTS) + """
+    , months AS (SELECT CAST(month(FL_DATE) AS INT) AS Month, count(*) AS n FROM flights GROUP BY 1)
+    SELECT CAST(month(FL_DATE) AS INT) AS Month, OP_CARRIER AS UniqueCarrier, count(*) AS flights FROM flights
+    WHERE month(FL_DATE) IN (SELECT Month FROM months WHERE n = (SELECT max(n) FROM months)) GROUP BY 1, 2""")
+def busiest_month(spark, sf_dir):
+    """Carriers in the month with the most flights, whose folder alone is read again."""
+    table = files.read_parquet(spark, _dated_table(spark, sf_dir))
+    return files.in_top_partitions(table, "Month").groupBy("Month", "UniqueCarrier").agg(
+        F.count(F.lit(1)).alias("flights"))
+
+
 @query("table_overwrite", PLAIN_TRIPS)
 def table_overwrite(spark, sf_dir):
     """Overwriting replaces the table, it does not add to it."""

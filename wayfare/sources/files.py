@@ -73,6 +73,26 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     writer.save(path)
 
 
+def replace_partitions(df: DataFrame, path: str, partition_by, fmt: str = "parquet") -> None:
+    """Replace the folders that `df` has rows for; all others keep their files as they are."""
+    write_table(df, path, fmt, partition_by=partition_by, partitionOverwriteMode="dynamic")
+
+
+def in_top_partitions(table: DataFrame, column: str, counted: DataFrame | None = None) -> DataFrame:
+    """Rows of the partitions of `table` with the most rows, ties included; NULL is a partition, too.
+
+    The list of them has at most one row per folder. It is known before the scan begins, which
+    then opens those folders only. `counted` stands in for the rows to be counted.
+    """
+    counts = (table if counted is None else counted).groupBy(column).agg(F.count(F.lit(1)).alias("__rows"))
+    most = counts.agg(F.max("__rows")).scalar()
+    top = counts.filter(F.col("__rows") == most).select(column)
+    # null-safe equality hides the column from pruning, so NULL has a scan of its own folder
+    nulls = counts.filter(F.col(column).isNull()).select("__rows").scalar()
+    named = table.join(F.broadcast(top), column, "left_semi").select(*table.columns)
+    return named.unionByName(table.filter(F.col(column).isNull() & (nulls == most)))
+
+
 def write_csv(df: DataFrame, path: str, header: bool = True, mode: str = "overwrite",
               **options) -> None:
     df.write.mode(mode).options(header=header, **options).csv(path)
