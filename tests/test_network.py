@@ -43,6 +43,17 @@ def test_self_loops_make_no_triangle(spark):
     assert plans.triangles_total(graph(spark, [("a", "a"), ("a", "b"), ("b", "a")])).first()[0] == 0
 
 
+@pytest.mark.parametrize("find", [plans.triangles_total, plans.triangles_per_node, plans.degrees_and_triangles])
+def test_no_side_of_a_triangle_join_is_broadcast(spark, pairs, find):
+    """But for the salts of hubs, which are few by their definition and joined to the left."""
+    found = find(graph(spark, pairs))
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
+    assert all("LeftOuter" in line and "__k_" in line for line in joins)
+    assert "SortMergeJoin" in plan
+
+
 def test_wedges(spark, pairs):
     above = {}
     for p in pairs:

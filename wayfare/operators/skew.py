@@ -86,19 +86,23 @@ def spread_rows(big: DataFrame, on, salts: DataFrame) -> DataFrame:
 
 
 def join_spread(spread: DataFrame, salts: DataFrame, small: DataFrame, on,
-                how: str = "inner", keep_salt: bool = False) -> DataFrame:
-    """Join rows of `spread_rows` with `small`, whose hot keys are repeated once per salt."""
+                how: str = "inner", keep_salt: bool = False, hint: str | None = None) -> DataFrame:
+    """Join rows of `spread_rows` with `small`, whose hot keys are repeated once per salt.
+
+    The `hint` "merge" keeps the planner from a broadcast, for rows that are far larger than their files.
+    """
     copies = attach_small(small, salts, on).withColumn(
         "__salt",
         F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__salts"), F.lit(1)) - 1)),
     )
-    joined = spread.join(copies.drop("__salts"), [*on, "__salt"], how)
+    copies = copies.drop("__salts")
+    joined = spread.join(copies.hint(hint) if hint else copies, [*on, "__salt"], how)
     return joined if keep_salt else joined.drop("__salt")
 
 
 def salted_join(
     big: DataFrame, small: DataFrame, on, how: str = "inner", limit: int = GROUP_ROWS,
-    salts: DataFrame | None = None,
+    salts: DataFrame | None = None, hint: str | None = None,
 ) -> DataFrame:
     """Equi-join in which a key of `big` may hold a large share of all rows.
 
@@ -108,4 +112,4 @@ def salted_join(
     """
     if salts is None:
         salts = salts_of(hot_groups(big, on, limit), on, limit)
-    return join_spread(spread_rows(big, on, salts), salts, small, on, how)
+    return join_spread(spread_rows(big, on, salts), salts, small, on, how, hint=hint)

@@ -99,10 +99,11 @@ def neighbours(edges: DataFrame) -> DataFrame:
 def _successors(edges: DataFrame, limit: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Successor lists (low, successors), numbers of the airports, and the salts of hubs by number.
 
-    Pairs are directed from the lower to the higher (degree, number). In that direction no
-    vertex has more than sqrt(2 x pairs) successors, so a list is bounded by itself. Numbers are
-    given as the degrees are written, and stay. A vertex has at most its degree in rows on either
-    side, so one table of high degrees tells every join which keys to divide.
+    Pairs are directed from the lower to the higher (degree, number), and lists are in that order. In
+    that direction no vertex has more than sqrt(2 x pairs) successors, so a list is bounded by itself.
+    Numbers are given as the degrees are written, and stay. A vertex has at most its degree in rows on
+    either side, so one table of high degrees tells every join which keys to divide. Both sides of a
+    join grow with the graph, and compress well: no size on disk may make one a broadcast.
     """
     pairs = cut_lineage(undirected(edges))
     ends = pairs.select(F.explode(F.array("u", "v")).alias("id"))
@@ -113,12 +114,12 @@ def _successors(edges: DataFrame, limit: int) -> tuple[DataFrame, DataFrame, Dat
     def ranked(df, column):
         found = degree.select(F.col("id").alias(column), F.struct("rows", "number").alias(f"__{column}"))
         salts = salts_of(hot.withColumnRenamed("id", column), [column], limit)
-        return salted_join(df, found, [column], salts=salts)
+        return salted_join(df, found, [column], salts=salts, hint="merge")
 
     both = ranked(ranked(pairs, "u"), "v")
     directed = both.select(F.least("__u", "__v")["number"].alias("low"),
-                           F.greatest("__u", "__v")["number"].alias("high"))
-    lists = directed.groupBy("low").agg(F.collect_list("high").alias("successors"))
+                           F.greatest("__u", "__v").alias("high"))
+    lists = directed.groupBy("low").agg(F.sort_array(F.collect_list("high"))["number"].alias("successors"))
     return (cut_lineage(lists), degree.select("number", "id"),
             salts_of(hot.withColumnRenamed("number", "b"), ["b"], limit))
 
@@ -126,14 +127,16 @@ def _successors(edges: DataFrame, limit: int) -> tuple[DataFrame, DataFrame, Dat
 def _closed(edges: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
     """(a, b, third): per directed pair the successors that both ends share; and the numbers.
 
-    Every pair carries the list of its lower end to the list of its higher end, where the two are
-    intersected. No path of two pairs is ever a row.
+    Every pair carries what follows its higher end in the list of its lower end to the list of the
+    higher end, where the two are intersected. No path of two pairs is ever a row.
     """
     lists, numbers, salts = _successors(edges, limit)
-    pairs = lists.filter(F.size("successors") > 1).select(
-        F.col("low").alias("a"), F.explode("successors").alias("b"), F.col("successors").alias("of_a"))
+    pairs = lists.select("low", "successors", F.posexplode("successors").alias("at", "b")).filter(
+        F.col("at") < F.size("successors") - 1).select(
+        F.col("low").alias("a"), "b",
+        F.slice("successors", F.col("at") + 2, F.size("successors")).alias("of_a"))
     of_b = lists.select(F.col("low").alias("b"), F.col("successors").alias("of_b"))
-    met = salted_join(pairs, of_b, ["b"], salts=salts)
+    met = salted_join(pairs, of_b, ["b"], salts=salts, hint="merge")
     return met.select("a", "b", F.array_intersect("of_a", "of_b").alias("third")), numbers
 
 
@@ -143,7 +146,7 @@ def triangles(edges: DataFrame, limit: int = GROUP_ROWS) -> DataFrame:
     found = closed.select("a", "b", F.explode("third").alias("c"))
     for corner in ("a", "b", "c"):
         names = numbers.select(F.col("number").alias(corner), F.col("id").alias(f"__{corner}"))
-        found = found.join(names, corner)
+        found = found.join(names.hint("merge"), corner)
     return found.select(*[F.col(f"__{corner}").alias(corner) for corner in ("a", "b", "c")])
 
 
@@ -163,14 +166,14 @@ def triangles_per_node(edges: DataFrame, limit: int = GROUP_ROWS) -> DataFrame:
         F.transform("third", lambda c: F.struct(c.alias("number"), F.lit(1).cast("bigint").alias("n"))))
     counted = (closed.filter(F.size("third") > 0).select(F.inline(corners))
                .groupBy("number").agg(F.sum("n").alias("triangle_count")))
-    return counted.join(numbers, "number").select(F.col("id").alias("node"), "triangle_count")
+    return counted.join(numbers.hint("merge"), "number").select(F.col("id").alias("node"), "triangle_count")
 
 
 def degrees_and_triangles(edges: DataFrame, limit: int = GROUP_ROWS) -> DataFrame:
     """Degrees with the triangle count, 0 without one."""
     return (
         degrees(edges)
-        .join(triangles_per_node(edges, limit), "node", "left")
+        .join(triangles_per_node(edges, limit).hint("merge"), "node", "left")
         .fillna(0, subset=["triangle_count"])
         .orderBy(F.desc("total_degree"), F.asc("node"))
     )
