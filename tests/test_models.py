@@ -131,6 +131,59 @@ def test_grid_really_varies(sets):
     assert areas[0] > areas[1] + 0.05
 
 
+def test_parts_are_bounded_by_rows(spark):
+    rows = spark.createDataFrame([(i % 7, i) for i in range(1000)], "a int, b int").coalesce(2)
+    parts = plans.in_parts(rows, 100)
+    sizes = parts.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+    assert len(sizes) == 10 and max(sizes) <= 110
+    assert rows_of(parts) == rows_of(rows)
+    assert plans.in_parts(rows, 500).rdd.getNumPartitions() == 2
+
+
+def test_training_keeps_vectors_in_bounded_parts(monkeypatch, sets):
+    from pyspark.ml.classification import DecisionTreeClassifier
+
+    seen, whole = [], DecisionTreeClassifier.fit
+
+    def fit(self, rows, params=None):
+        seen.append(rows.rdd.getNumPartitions())
+        return whole(self, rows, params)
+
+    monkeypatch.setattr(plans.in_parts, "__defaults__", (500,))
+    monkeypatch.setattr(DecisionTreeClassifier, "fit", fit)
+    n = sets[0].count()
+    plans.fit(sets[0], DecisionTreeClassifier(maxDepth=2))
+    plans.tune(sets[0], DecisionTreeClassifier(), {"maxDepth": [2]}, folds=2)
+    assert len(seen) == 4 and min(seen) >= n / 500 > 1
+
+
+def test_boosted_points_share_a_training(monkeypatch, spark):
+    """Areas are those of a training for every point, though only the longest is run."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = [(float(i % 7), float(i % 11), int(i % 9 == 0 or i % 7 > 4), i % 2) for i in range(600)]
+    df = VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(
+        spark.createDataFrame(rows, "x double, y double, label int, fold int"))
+    runs, whole = [], GBTClassifier.fit
+
+    def fit(self, rows, params=None):
+        runs.append(self.getMaxIter())
+        return whole(self, rows, params)
+
+    monkeypatch.setattr(GBTClassifier, "fit", fit)
+    weighted = plans._balanced(GBTClassifier(maxDepth=2, seed=42), 0.4)
+    points = plans.param_grid(weighted.getStages()[-1], {"maxIter": [2, 5], "maxDepth": [1, 2]})
+    found = dict(plans._fitted_points(df, weighted, points))
+    assert runs == [5, 5] and sorted(found) == [0, 1, 2, 3]
+    for j, point in enumerate(points):
+        alone = weighted.fit(df, point).stages[-1]
+        assert found[j].toDebugString.split("\n", 1)[1] == alone.toDebugString.split("\n", 1)[1]
+        column = ["x", "y", "prediction", "probability"]
+        assert rows_of(found[j].transform(df).select(*column[:3], F.col("probability").cast("string"))) == rows_of(
+            alone.transform(df).select(*column[:3], F.col("probability").cast("string")))
+
+
 def test_grids_fit_their_models():
     for grids in (plans.GRIDS, plans.WIDE_GRIDS):
         for name, model in plans.elastic_classifiers().items():
