@@ -118,6 +118,33 @@ def test_edges_stay_where_they_are(spark, pairs):
         assert not any("Exchange" in line for line in lines[join:at])
 
 
+@pytest.mark.parametrize("broadcast", [0, 1000])
+def test_names_take_no_part_in_the_rounds(spark, pairs, broadcast):
+    """Numbers stand for the airports; their names are joined once, to the last ranks."""
+    found = plans.pagerank(graph(spark, pairs), 3, broadcast_vertices=broadcast)
+    lines = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    scans = [line for line in lines if "FileScan" in line]
+    assert any("src:bigint" in line for line in scans) and not any("src:string" in line for line in scans)
+    assert sum("id:string" in line for line in scans) == 1
+
+
+@pytest.mark.parametrize("broadcast", [0, 1000])
+def test_names_that_share_a_number_stay_apart(monkeypatch, spark, pairs, broadcast):
+    monkeypatch.setattr(plans, "_number", lambda name: F.length(name).cast("long"))
+    found = plans.pagerank(graph(spark, pairs), 4, broadcast_vertices=broadcast)
+    assert dict(rows_of(found)) == pytest.approx(ranks_of(pairs, 4, True))
+
+
+@pytest.mark.parametrize("broadcast", [0, 1000])
+def test_flights_from_or_to_an_unknown_airport(spark, broadcast):
+    """They count as an airport of their own that passes no rank on."""
+    edges = graph(spark, [("a", "b"), ("a", None), (None, "b"), ("b", "a")])
+    found = {r["id"]: r["rank"] for r in plans.pagerank(edges, 1, broadcast_vertices=broadcast).collect()}
+    base = 0.15 / 3
+    assert found == {"a": pytest.approx(base + 0.85 / 3), "b": pytest.approx(base + 0.85 / 6),
+                     None: pytest.approx(base + 0.85 / 6)}
+
+
 @pytest.mark.parametrize("broadcast", [0, 1000])
 def test_rounds_end_when_ranks_rest(spark, pairs, broadcast):
     found = plans.pagerank(graph(spark, pairs), 100, write_every=10, broadcast_vertices=broadcast, tolerance=1e-6)

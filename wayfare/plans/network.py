@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.operators.ranking import top_k
@@ -204,6 +204,11 @@ def wedge_count(edges: DataFrame) -> DataFrame:
     )
 
 
+def _number(name: str) -> Column:
+    """A 64-bit number that stands for an airport; NULL stays NULL."""
+    return F.when(F.col(name).isNotNull(), F.xxhash64(name))
+
+
 def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85, normalize: bool = True,
              write_every: int = 5, limit: int = GROUP_ROWS,
              broadcast_vertices: int = BROADCAST_VERTICES, tolerance: float | None = None) -> DataFrame:
@@ -218,13 +223,27 @@ def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85, normaliz
 
     The ranks of up to `broadcast_vertices` airports travel to the edges. The edges of a larger graph are
     laid out once, in buckets of origin and salt, so that a round shuffles ranks alone.
+
+    Airports go by hashed numbers, a fraction of their names' bytes in every round. Should two names
+    share a number, the names themselves are used.
     """
+    names = cut_lineage(vertices(edges).withColumn("number", _number("id")))
+    n, named, numbers = names.agg(
+        F.count(F.lit(1)), F.count("id"), F.count_distinct("number")).first()
+    if n == 0:
+        return names.select("id", F.lit(0.0).alias("rank"))
+    if numbers == named:
+        edges = edges.select(_number("src").alias("src"), _number("dst").alias("dst"))
+    else:
+        names = names.withColumn("number", F.col("id"))
+    nodes = names.select(F.col("number").alias("id"))
+
+    def with_names(ranks):
+        known = names.select(F.col("id").alias("name"), "number").hint("merge")
+        return ranks.join(known, F.col("id").eqNullSafe(F.col("number"))).select(F.col("name").alias("id"), "rank")
+
     # parallel flights become one weighted edge, whose weight is 1 / flights of the origin
     parallel = cut_lineage(edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("flights")))
-    nodes = cut_lineage(vertices(parallel))
-    n = nodes.count()
-    if n == 0:
-        return nodes.withColumn("rank", F.lit(0.0))
     small = n <= broadcast_vertices
     pairs = None if small else parallel.count()
 
@@ -276,6 +295,6 @@ def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85, normaliz
             ranks = cut_lineage(ranks)
         if ends and tolerance is not None:
             if ranks.agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0] <= tolerance:
-                return ranks.select("id", "rank")
+                return with_names(ranks)
             ranks = ranks.select("id", "rank")
-    return ranks
+    return with_names(ranks)
