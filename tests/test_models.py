@@ -140,6 +140,20 @@ def test_parts_are_bounded_by_rows(spark):
     assert plans.in_parts(rows, 500).rdd.getNumPartitions() == 2
 
 
+def test_empty_parts_do_not_hide_a_large_one(spark):
+    """As many parts as asked for are there, but two of them hold all rows."""
+    rows = spark.createDataFrame([(i % 7, i) for i in range(1000)], "a int, b int").coalesce(2)
+    uneven = rows.unionByName(spark.range(0, 18, 1, 18).selectExpr("1 AS a", "1 AS b", "id").filter("id < 0").drop("id"))
+    assert uneven.rdd.getNumPartitions() == 20
+    parts = plans.in_parts(uneven, 100)
+    assert max(parts.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()) <= 110
+    assert rows_of(parts) == rows_of(rows)
+
+
+def test_no_rows_make_parts(spark):
+    assert plans.in_parts(spark.range(0), 100).count() == 0
+
+
 def test_training_keeps_vectors_in_bounded_parts(monkeypatch, sets):
     from pyspark.ml.classification import DecisionTreeClassifier
 

@@ -142,10 +142,14 @@ def in_parts(rows: DataFrame, limit: int = TASK_ROWS) -> DataFrame:
     """The rows in parts of about `limit` at most.
 
     Files of few columns compress well, and their splits follow their bytes. The vectors made of a
-    split are many times wider, so that their number has to bound a task.
+    split are many times wider, so that their number has to bound a task. Of the splits of one row
+    group all but one are empty, so the largest part is looked at and not the mean.
     """
-    parts = math.ceil(rows.count() / limit)
-    return rows if parts <= rows.rdd.getNumPartitions() else rows.repartition(parts)
+    sizes = rows.groupBy(F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    total, largest = sizes.agg(F.sum("n"), F.max("n")).first()
+    if (largest or 0) <= limit:
+        return rows
+    return rows.repartition(max(math.ceil(total / limit), rows.rdd.getNumPartitions()))
 
 
 def _balanced(estimator, ratio: float) -> Pipeline:
