@@ -171,6 +171,24 @@ def test_training_keeps_vectors_in_bounded_parts(monkeypatch, sets):
     assert len(seen) == 4 and min(seen) >= n / 500 > 1
 
 
+def test_tuning_leaves_memory_to_the_points_of_the_trees(monkeypatch, spark, sets):
+    from pyspark.ml.classification import DecisionTreeClassifier
+
+    def kept():
+        return {i: rdd.getStorageLevel() for i, rdd in dict(spark.sparkContext._jsc.getPersistentRDDs()).items()}
+
+    seen, whole, before = [], DecisionTreeClassifier.fit, set(kept())
+
+    def fit(self, rows, params=None):
+        rows.count()
+        seen.append([level.useMemory() for i, level in kept().items() if i not in before])
+        return whole(self, rows, params)
+
+    monkeypatch.setattr(DecisionTreeClassifier, "fit", fit)
+    plans.tune(sets[0], DecisionTreeClassifier(), {"maxDepth": [2]}, folds=2)
+    assert len(seen) == 3 and all(levels and not any(levels) for levels in seen)
+
+
 def test_boosted_points_share_a_training(monkeypatch, spark):
     """Areas are those of a training for every point, though only the longest is run."""
     from pyspark.ml.classification import GBTClassifier
