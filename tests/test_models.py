@@ -268,3 +268,38 @@ def test_rankings(spark):
     ] or [r["feature"] for r in ranking.collect()] == ["y", "x", "q"]
     assert rows_of(plans.shared_features(top), "feature", "models") == [("y", 2)]
     assert [r["a_feature"] for r in plans.feature_summary(top, ["a", "b"]).collect()] == ["x", "y"]
+
+
+def test_depths_of_a_tree_share_a_training(monkeypatch, spark):
+    """Every node is that of a training for the depth, though only the deepest is run."""
+    from pyspark.ml.classification import DecisionTreeClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = [(float(i % 7), float(i % 11), float(i * i % 13), int(i % 9 == 0 or i % 7 > 4 or i * i % 13 == 3)) for i in range(900)]
+    df = VectorAssembler(inputCols=["x", "y", "z"], outputCol="features").transform(
+        spark.createDataFrame(rows, "x double, y double, z double, label int"))
+    runs, whole = [], DecisionTreeClassifier.fit
+
+    def fit(self, rows, params=None):
+        runs.append(self.getMaxDepth())
+        return whole(self, rows, params)
+
+    def nodes(node):
+        found = [(node.prediction(), node.impurity(), str(node.impurityStats()), node.numDescendants())]
+        if node.numDescendants():
+            found += [node.gain(), *nodes(node.leftChild()), *nodes(node.rightChild())]
+        return found
+
+    monkeypatch.setattr(DecisionTreeClassifier, "fit", fit)
+    weighted = plans._balanced(DecisionTreeClassifier(), 0.4)
+    points = plans.param_grid(weighted.getStages()[-1], {"maxDepth": [8, 0, 1, 2, 3, 5], "minInstancesPerNode": [1, 40]})
+    found = dict(plans._fitted_points(df, weighted, points))
+    assert runs == [8, 8] and sorted(found) == list(range(12))
+    for j, point in enumerate(points):
+        alone = weighted.fit(df, point).stages[-1]
+        assert found[j].toDebugString.split("\n", 1)[1] == alone.toDebugString.split("\n", 1)[1]
+        assert nodes(found[j]._java_obj.rootNode()) == nodes(alone._java_obj.rootNode())
+        assert found[j].featureImportances == alone.featureImportances
+        assert found[j].getMaxDepth() == alone.getMaxDepth()
+        assert rows_of(found[j].transform(df).select("x", "y", "z", F.col("probability").cast("string"))) == rows_of(
+            alone.transform(df).select("x", "y", "z", F.col("probability").cast("string")))
