@@ -303,3 +303,22 @@ def test_depths_of_a_tree_share_a_training(monkeypatch, spark):
         assert found[j].getMaxDepth() == alone.getMaxDepth()
         assert rows_of(found[j].transform(df).select("x", "y", "z", F.col("probability").cast("string"))) == rows_of(
             alone.transform(df).select("x", "y", "z", F.col("probability").cast("string")))
+
+
+def test_training_leaves_memory_to_the_models_own_rows(monkeypatch, spark, sets):
+    from pyspark.ml.classification import DecisionTreeClassifier
+
+    def kept():
+        return {i: rdd.getStorageLevel() for i, rdd in dict(spark.sparkContext._jsc.getPersistentRDDs()).items()}
+
+    seen, whole, before = [], DecisionTreeClassifier.fit, set(kept())
+
+    def fit(self, rows, params=None):
+        rows.count()
+        seen.extend(level for i, level in kept().items() if i not in before)
+        return whole(self, rows, params)
+
+    monkeypatch.setattr(DecisionTreeClassifier, "fit", fit)
+    plans.fit(sets[0], DecisionTreeClassifier(maxDepth=2))
+    assert seen and all(level.useDisk() and not level.useMemory() for level in seen)
+    assert set(kept()) <= before
