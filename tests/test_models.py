@@ -322,3 +322,28 @@ def test_training_leaves_memory_to_the_models_own_rows(monkeypatch, spark, sets)
     plans.fit(sets[0], DecisionTreeClassifier(maxDepth=2))
     assert seen and all(level.useDisk() and not level.useMemory() for level in seen)
     assert set(kept()) <= before
+
+
+def test_folds_are_fitted_together_if_their_rows_are_few(monkeypatch, sets):
+    """The first fits of two folds wait for each other; areas are those of one after another."""
+    from threading import Barrier
+
+    from pyspark.ml.classification import DecisionTreeClassifier
+
+    n, slots, whole = sets[0].count(), sets[0].sparkSession.sparkContext.defaultParallelism, DecisionTreeClassifier.fit
+    assert plans.folds_at_once(sets[0], 3) == 3
+    assert plans.folds_at_once(sets[0], 3, 1.4 * n / slots) == 2
+    assert plans.folds_at_once(sets[0], 3, n // slots // 2) == plans.folds_at_once(sets[0], 3, 0) == 1
+    assert plans.folds_at_once(sets[0].limit(0), 3) == 3
+    tree, grid, met = DecisionTreeClassifier(), {"maxDepth": [2, 4]}, Barrier(2, timeout=120)
+    _, alone = plans.tune(sets[0], tree, grid, folds=2)
+
+    def fit(self, rows, params=None):
+        if len(done) < 2:
+            done.append(met.wait())
+        return whole(self, rows, params)
+
+    done = []
+    monkeypatch.setattr(DecisionTreeClassifier, "fit", fit)
+    _, together = plans.tune(sets[0], tree, grid, folds=2, at_once=2)
+    assert sorted(done) == [0, 1] and together == alone
